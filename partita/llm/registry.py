@@ -1,8 +1,8 @@
 """The corpus queries and their SQL, by name."""
 
-from . import simhash
+from . import packing, sharding, simhash, topk
 
-MODULES = [simhash]
+MODULES = [simhash, topk, sharding, packing]
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp(prefix='partita-')}/partita.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that later stages and lost executors reread them.
 
@@ -34,6 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/partita-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root, True)
