@@ -1,8 +1,8 @@
 """The corpus queries and their SQL, by name."""
 
-from . import packing, sharding, simhash, topk
+from . import decontaminate, linededup, packing, sharding, simhash, topk
 
-MODULES = [simhash, topk, sharding, packing]
+MODULES = [linededup, simhash, topk, sharding, packing, decontaminate]
 
 
 def queries() -> dict:
