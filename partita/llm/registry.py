@@ -1,8 +1,8 @@
 """The corpus queries and their SQL, by name."""
 
-from . import decontaminate, linededup, packing, sharding, simhash, topk
+from . import decontaminate, linededup, packing, quality, sharding, simhash, topk, toxicity
 
-MODULES = [linededup, simhash, topk, sharding, packing, decontaminate]
+MODULES = [linededup, simhash, topk, toxicity, sharding, packing, quality, decontaminate]
 
 
 def queries() -> dict:
