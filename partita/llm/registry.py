@@ -1,8 +1,8 @@
 """The corpus queries and their SQL, by name."""
 
-from . import decontaminate, linededup, packing, quality, sharding, simhash, topk, toxicity
+from . import decontaminate, licenses, linededup, mainhtml, packing, quality, sharding, simhash, topk, toxicity
 
-MODULES = [linededup, simhash, topk, toxicity, sharding, packing, quality, decontaminate]
+MODULES = [linededup, simhash, topk, toxicity, licenses, sharding, mainhtml, packing, quality, decontaminate]
 
 
 def queries() -> dict:
