@@ -9,6 +9,7 @@ packs what remains.  The plan is then dealt out to the pieces by their rank amon
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ from .shared import Scratch, ranked_in, rows_per_bucket, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
-#: Encodings of words a worker keeps at hand before it starts afresh.
-KEPT_WORDS = 400_000
+#: Encodings of words a worker keeps at hand in each of two generations.
+KEPT_WORDS = 600_000
+#: A full stop or comma that ends a word; the splitting rule of the vocabulary always cuts before it.
+CLOSING = re.compile(rb"(?<=[a-z0-9])([.,])(?= |\Z)")
 MOST_BUCKETS = 1 << 16
 
 
@@ -36,8 +39,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    space-separated words in order; each distinct word is encoded once.
+    The vocabulary lower-cases, drops white space and never joins across it or between a letter or
+    digit and a mark, so a text's ids are those of its words and closing marks in order; each
+    distinct word is encoded once while it is in use.
     """
 
     def __init__(self, path: str):
@@ -46,14 +50,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.replace(b"\n", b" ").split(b" ")
+        # ASCII only: other letters are left to the tokenizer, whose rules for them differ from Python's
+        words = CLOSING.sub(rb" \1", text.replace(b"\n", b" ").lower()).split(b" ")
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) > KEPT_WORDS:
-                self.known = {b"": b""}
-            new = list({w for w in words if w not in self.known})
+            if len(self.known) > KEPT_WORDS:  # words of the last generation that come up again move to the new one
+                self.older, self.known = self.known, {b"": b""}
+            missing = {w for w in words if w not in self.known}
+            self.known.update((w, self.older[w]) for w in missing if w in self.older)
+            new = [w for w in missing if w not in self.older]
             made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
             found = [self.known[w] for w in words]
