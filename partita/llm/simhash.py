@@ -26,8 +26,8 @@ FAN = 8
 SEED = 42
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt out as tiles.
 TILE = 2048
-#: Up to this many distinct fingerprints, one of four 16-bit blocks makes a bucket; beyond, two of five.
-ONE_BLOCK = 1 << 26
+#: Blocks are combined until a bucket of evenly spread fingerprints has no more than this many.
+BUCKET = 512
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -49,17 +49,22 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, second: int = 0) -> DataFrame:
+    """(doc_id, hash, fp[, second]): one row per document.
+
+    ``hash`` is the text's own; fp, and ``second`` where asked for, are the fingerprints over shingles of so many words as
+    signed longs.
+    """
+    sizes = [n for n in (shingle, second) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(2)
+            fps = [pa.array(np.array([fingerprint(t.as_py(), n) for t in texts], np.uint64).view(np.int64)) for n in sizes]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps], ["doc_id", "hash", "fp", "second"][: 2 + len(sizes)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("binary"))
+    return rows.mapInArrow(run, "doc_id long, hash long, fp long" + ", second long" * bool(second))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -86,14 +91,16 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, second: np.ndarray | None = None, second_bits: int = 0, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Links that join, within each bucket, all fingerprints connected by chains of ``bits`` or fewer differences.
 
-    ``fps`` (uint64) and ``bucket`` (any integers) are parallel.  Returns two arrays: each fingerprint
-    that is not the first of its chain, and that first one; so never more links than fingerprints.
+    ``fps`` (uint64) and ``bucket`` (any integers) are parallel; with ``second`` fingerprints, a link must also
+    have ``second_bits`` or fewer differences in these.  Returns two arrays of indices: each fingerprint that is
+    not the first of its chain, and that first one; so never more links than fingerprints.
     """
     order = np.lexsort((gray_rank(fps), bucket))
     x, bucket = fps[order], bucket[order]
+    other = None if second is None else second[order]
     n = len(x)
     # level 0 are the fingerprints; each higher level sums up FAN nodes of one bucket
     levels, key = [(x, np.full(n, ~np.uint64(0)), np.arange(n + 1))], bucket
@@ -110,7 +117,7 @@ def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, step: int = 1024)
         levels.append((low & mask, mask, np.r_[cut, levels[-1][2].size - 1]))
     label = np.arange(n)
     if len(levels) == 1:
-        return fps[:0], fps[:0]
+        return order[:0], order[:0]
     roots = np.searchsorted(key, bucket)
     ends = [np.arange(1, n + 1)]  # for each node, one past its last fingerprint
     for _, _, cut in levels[1:]:
@@ -128,13 +135,16 @@ def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, step: int = 1024)
             q, node = q[keep], node[keep]
             keep = np.bitwise_count((x[q] ^ pattern[node]) & mask[node]) <= bits
             q, node = q[keep], node[keep]
+        if other is not None:
+            keep = np.bitwise_count(other[q] ^ other[node]) <= second_bits
+            q, node = q[keep], node[keep]
         label = _merge(label, q, node)
     rest = np.flatnonzero(label != np.arange(n))
-    return x[rest], x[label[rest]]
+    return order[rest], order[label[rest]]
 
 
-def _bucket_rows(fps: DataFrame, blocks: int, match: int) -> DataFrame:
-    """One row per fingerprint and combination of ``match`` of the ``blocks`` bit blocks."""
+def _bucket_rows(nodes: DataFrame, blocks: int, match: int) -> DataFrame:
+    """One row per node and combination of ``match`` of the ``blocks`` bit blocks."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = []
     for some in combinations(range(blocks), match):
@@ -142,32 +152,30 @@ def _bucket_rows(fps: DataFrame, blocks: int, match: int) -> DataFrame:
         for k in some:
             m |= ((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1)
         masks.append(m - (1 << 64) if m >> 63 else m)
-    made = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)]))
-    return fps.select("fp", made.alias("s")).select("fp", "s.part", "s.value")
+    made = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
+    return nodes.select("*", made.alias("bucket"))
 
 
-def links(fps: DataFrame, scratch: Scratch, bits: int = 3, tile: int = TILE) -> DataFrame:
-    """(u, v) pairs of distinct fingerprints whose chains hold every pair at ``bits`` or fewer differing bits.
+def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, second_bits: int = 0, tile: int = TILE) -> DataFrame:
+    """(u, v) pairs of nodes whose chains hold every pair of fingerprints at ``bits`` or fewer differing bits.
 
-    ``fps``: one column fp of distinct longs.  A bucket with more than ``tile`` fingerprints is cut into
+    ``nodes``: (node long, fp long[, second long]), each node once.  A bucket with more than ``tile`` nodes is cut into
     chunks, and every two chunks meet in a task of their own: nothing is dropped, no task grows with
     the bucket.
     """
-    n = fps.count()
-    match = 1 if n <= ONE_BLOCK else 2
-    rows = scratch.write(_bucket_rows(fps, bits + match, match), "buckets")
-    large = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    large = scratch.write(large.withColumn("chunks", F.ceil(F.col("n") / (tile // 2)).cast("int")), "large")
-    hot = large.limit(1).count() > 0
-    if hot:
-        rows = rows.join(large.select("part", "value", "chunks"), ["part", "value"], "left")
-        mine = F.pmod(F.xxhash64("fp", "part"), F.col("chunks").cast("long")).cast("int")
-        spread = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b")))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(mine, c).alias("a"), F.greatest(mine, c).alias("b")))
-        )
-        rows = rows.select("part", "value", "fp", F.explode(spread).alias("t")).select("fp", F.xxhash64("part", "value", "t.a", "t.b").alias("bucket"))
-    else:
-        rows = rows.select("fp", F.xxhash64("part", "value").alias("bucket"))
+    n, match = nodes.count(), 1
+    while n >> (64 * match // (bits + match)) > BUCKET:
+        match += 1
+    rows = _bucket_rows(nodes, bits + match, match)
+    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = scratch.write(large.select("bucket", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("chunks")), "large")
+    if large.limit(1).count():
+        rows = rows.join(large, "bucket", "left")
+        mine = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks").cast("long")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("bucket"), F.least(mine, c), F.greatest(mine, c)))
+        places = F.when(F.col("chunks").isNull(), F.array("bucket")).otherwise(pairs)
+        rows = rows.withColumn("bucket", F.explode(places)).drop("chunks")
+    names = ["node", "fp", *(["second"] if "second" in nodes.columns else []), "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,15 +189,27 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = 3, tile: int = TILE) ->
         if not held:
             return
         t = pa.Table.from_batches(held)
-        fp, bucket = t["fp"].to_numpy(), t["bucket"].to_numpy()
+        bucket = t["bucket"].to_numpy()
         cut = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))  # rows come sorted by bucket
         held[:] = [] if last else t.slice(cut).to_batches()
         if cut:
-            u, v = linked(fp[:cut].view(np.uint64), bucket[:cut], bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            node, fp = t["node"].to_numpy()[:cut], t["fp"].to_numpy()[:cut].view(np.uint64)
+            second = t["second"].to_numpy()[:cut].view(np.uint64) if "second" in names else None
+            u, v = linked(fp, bucket[:cut], bits, second, second_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+    # a hash may put two buckets under one number: pairs are compared on all 64 bits, so no link is wrong
+    return rows.select(*names).repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+
 
-    # a hash may put two buckets under one number: the pairs are checked on all 64 bits, so no link is wrong
-    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column, bits: int, second_bits: int = 0) -> DataFrame:
+    """(node, component): the smallest ``name`` over each component of the links between ``nodes``."""
+    roots = scratch.write(components(links(nodes, scratch, bits, second_bits), scratch), "roots")
+    reps = all_.groupBy("node").agg(F.min(name).alias("rep"))
+    member = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    member = scratch.write(member, "members")
+    found = member.groupBy("root").agg(F.min("rep").alias("component"))
+    return scratch.write(member.join(found, "root").select("node", "component"), "named")
 
 
 def near_duplicates(
@@ -204,16 +224,30 @@ def near_duplicates(
     empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    all_ = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fps")
-    distinct = scratch.write(all_.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(distinct.select("fp"), scratch, bits), scratch)
-    roots = scratch.write(roots, "roots")
-    scratch.drop("buckets", "large")
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    member = member.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = scratch.write(member.join(named, "root").select("fp", "component_id"), "named")
-    return all_.join(named, "fp").select("doc_id", "fp", "component_id")
+    all_ = scratch.write(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "fps")
+    nodes = scratch.write(all_.select("node", "fp").distinct(), "nodes")
+    named = _named(all_, nodes, scratch, F.col("doc_id"), bits)
+    return all_.join(named, "node").select("doc_id", "fp", F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, bits: int = 8, second_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each group of near copies, the one with the smallest id, with all their columns.
+
+    Two documents are near copies if their fingerprints over three-word shingles differ in at most ``bits``
+    bits and those over five-word shingles in at most ``second_bits``.  A similarity of 0.8 of
+    the five-word shingles makes about ten bits' difference; 14 leave room for the spread.  Of rows that
+    share id and text one stays.  Texts without words are copies of each other.  Null ids come first.
+    """
+    scratch = Scratch(docs.sparkSession)
+    all_ = fingerprints(docs, id_col, text_col, 3, 5).withColumn("node", F.xxhash64("fp", "second"))
+    all_ = scratch.write(all_, "fps")
+    nodes = scratch.write(all_.dropDuplicates(["node"]).select("node", "fp", "second"), "nodes")
+    named = _named(all_, nodes, scratch, F.struct("doc_id", "hash"), bits, second_bits)
+    kept = scratch.write(named.select("component.*").distinct().select(F.col("doc_id").alias("_partita_id"), F.col("hash").alias("_partita_hash")), "kept")
+    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_partita_id")) & (F.xxhash64(F.col(text_col)) == F.col("_partita_hash")))
+    if all_.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_partita_id", "_partita_hash"])
+    return out.drop("_partita_id", "_partita_hash")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
