@@ -1,15 +1,67 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, a stage at a time.
+
+Each stage works on all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partita.llm.decontaminate import without_leaks
+from partita.llm.linededup import dedup_lines
+from partita.llm.packing import pack
+from partita.llm.quality import good_documents
+from partita.llm.shared import Scratch, table
+from partita.llm.simhash import one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts; ``n_chars`` follows the text.  All documents stay."""
+    out = dedup_lines(docs).drop("removed", "n_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each(docs)
 
-STAGES: list = []
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of fixed length."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+#: SQL cannot express the trained, iterative and tokenising stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda d, stage: stage[1](spark, d, sf_dir), STAGES, docs)
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+
+    def step(docs: DataFrame, stage: tuple) -> DataFrame:
+        return scratch.write(stage[1](spark, docs, sf_dir), stage[0])
+
+    return reduce(step, STAGES, docs)
