@@ -23,7 +23,9 @@ BITS = 18
 #: Labelled documents of each class that the classifier learns from at most.
 PER_CLASS = 2500
 #: Added to the counts before the ratio.
-SMOOTHING = 2.0
+SMOOTHING = 5.0
+#: Features whose log ratio is nearer to zero than this tell the classes too little to be kept.
+LEAST_RATIO = 0.2
 #: Strength of the pull of the weights towards zero.
 RIDGE = 1.0
 
@@ -52,12 +54,15 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> Model:
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(n, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    length = np.array([len(r[0]) for r in rows])
-    at = np.concatenate([r[0] for r in rows]).astype(np.int32)
-    row = np.repeat(np.arange(len(rows)), length)
-    with_, without = (np.bincount(at[keep], minlength=n) + SMOOTHING for keep in ((y == 1)[row], (y == 0)[row]))
+    with_, without = np.full(n, SMOOTHING), np.full(n, SMOOTHING)
+    for at, label in rows:
+        (with_ if label else without)[at] += 1
     ratio = np.log(with_ / (y.sum() + 2 * SMOOTHING)) - np.log(without / (len(y) - y.sum() + 2 * SMOOTHING))
-    value = ratio[at]
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+    kept = [at[ratio[at] != 0] for at, _ in rows]
+    at = np.concatenate(kept)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
+    value = ratio[at].astype(np.float32)
     weigh = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both classes weigh the same
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
