@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship, table
+from .shared import ship, slices, table
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.05
@@ -156,7 +156,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             find = Finder(items, rate)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not find(normalise(t.as_py())) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, slices, table
 
 MIN_WORDS = 4
 AT = ["doc", "hash", "i"]
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, removed, n_lines = b.column(at).cast(pa.binary()).to_pylist(), [], []
             for k, runs in enumerate(b.column(len(names)).to_pylist()):
                 n_lines.append(0 if texts[k] is None else texts[k].count(b"\n") + 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learning import held_out, minimise, training_rows
-from .shared import ship, table
+from .shared import ship, slices, table
 
 #: Labelled documents of each class that the field learns from at most.
 PER_CLASS = 1500
@@ -26,6 +26,8 @@ RIDGE = 1.0
 THRESHOLD = 0.3
 #: Bytes of text whose features are computed at once; a longer text is computed alone.
 CHUNK = 1 << 20
+#: Rows that are filtered at once.
+ROWS = 256
 
 _KINDS = np.zeros((256, 6), np.uint8)  # upper, digit, sentence mark, other symbol, white space, beyond ASCII
 for _c in range(256):
@@ -181,7 +183,9 @@ def _scored(docs: DataFrame, model: Model, text_col: str, keep: bool):
         for b in batches:
             s = scores(b.column(at).cast(pa.binary()), model)
             if keep:
-                yield b.filter(pa.array(s >= THRESHOLD))
+                good = pa.array(s >= THRESHOLD)
+                for k, part in enumerate(slices([b], ROWS)):
+                    yield part.filter(good.slice(ROWS * k, ROWS))
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, shared_dir, ship, table
 
-__all__ = ["Scratch", "ranked_in", "rows_per_bucket", "shared_dir", "ship", "table"]
+__all__ = ["Scratch", "ranked_in", "rows_per_bucket", "shared_dir", "ship", "slices", "table"]
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that copies of whole texts stay small; an empty batch as it is."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
 
 
 def rows_per_bucket(n: int, target: int = 4096) -> int:
