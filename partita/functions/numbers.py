@@ -13,7 +13,7 @@ MODULUS = 10007
 def uniform(a: Column | str, b: Column | str, seed: int = 0) -> Column:
     """A number in (0, 1] from two integers, the same in any engine with integer arithmetic."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    mixed = (a.cast("long") * 7919 + b.cast("long") * 104729 + 13 + 31 * seed) % MODULUS
+    mixed = (a.cast("long") * (7919 + 1009 * seed) + b.cast("long") * 104729 + 13) % MODULUS
     return (mixed + 1).cast("double") / F.lit(float(MODULUS))
 
 

@@ -13,7 +13,7 @@ qid AS MATERIALIZED (SELECT DISTINCT query_id FROM q)"""
 
 
 def uniform(a: str, b: str, seed: int = 0) -> str:
-    return f"(CAST((CAST({a} AS BIGINT) * 7919 + CAST({b} AS BIGINT) * 104729 + {13 + 31 * seed}) % 10007 + 1 AS DOUBLE) / 10007.0::DOUBLE)"
+    return f"(CAST((CAST({a} AS BIGINT) * {7919 + 1009 * seed} + CAST({b} AS BIGINT) * 104729 + 13) % 10007 + 1 AS DOUBLE) / 10007.0::DOUBLE)"
 
 
 def ctes(k: int = Q.K, iterations: int = 0, p: str = "", x: str = "x", rows: str = "SELECT c_custkey AS row_id FROM customer") -> str:
