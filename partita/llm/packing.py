@@ -24,7 +24,7 @@ from .shared import Scratch, ranked_in, rows_per_bucket, table
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Encodings of words a worker keeps at hand in each of two generations.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 450_000
 #: A full stop or comma that ends a word; the splitting rule of the vocabulary always cuts before it.
 CLOSING = re.compile(rb"(?<=[a-z0-9])([.,])(?= |\Z)")
 MOST_BUCKETS = 1 << 16

@@ -26,8 +26,8 @@ FAN = 8
 SEED = 42
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt out as tiles.
 TILE = 2048
-#: Blocks are combined until a bucket of evenly spread fingerprints has no more than this many.
-BUCKET = 512
+#: Blocks are combined until they make this many bits, and until a bucket of evenly spread fingerprints has no more than this many.
+KEY_BITS, BUCKET = 12, 512
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -164,7 +164,7 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, second_bits: int =
     the bucket.
     """
     n, match = nodes.count(), 1
-    while n >> (64 * match // (bits + match)) > BUCKET:
+    while (made := 64 * match // (bits + match)) < KEY_BITS or n >> made > BUCKET:
         match += 1
     rows = _bucket_rows(nodes, bits + match, match)
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
@@ -208,7 +208,8 @@ def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column,
     reps = all_.groupBy("node").agg(F.min(name).alias("rep"))
     member = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     member = scratch.write(member, "members")
-    found = member.groupBy("root").agg(F.min("rep").alias("component"))
+    # written, so that the join reads both sides from their own shuffle and a large component can be split
+    found = scratch.write(member.groupBy("root").agg(F.min("rep").alias("component")), "components")
     return scratch.write(member.join(found, "root").select("node", "component"), "named")
 
 
