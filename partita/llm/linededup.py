@@ -182,8 +182,34 @@ def without(text: bytes | None, runs: list[dict]) -> tuple[bytes | None, list[tu
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed", "n_lines")
-
-
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"], F.lit("+"), s["count"])), " ")
+    return out.select("doc_id", "text", spans.alias("removed"), "n_lines")
+
+
+#: Every run of four words lies in at most four lines, so all runs of up to four lines are compared.
+SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM raw),
+seq AS (
+  SELECT doc_id, ln, s, len(string_split_regex(s, '[ \t\n\v\f\r]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i
+  FROM (SELECT doc_id, ln, regexp_replace(line, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS s FROM every) WHERE s <> ''),
+runs AS (
+  SELECT a.doc_id, a.i, m.m, list(b.s ORDER BY b.i) AS key
+  FROM seq a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m) m JOIN seq b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.i < a.i + m.m
+  GROUP BY 1, 2, 3 HAVING COUNT(*) = m.m AND SUM(b.w) >= 4),
+later AS (SELECT * FROM (SELECT doc_id, i, m, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS copy FROM runs) WHERE copy > 1),
+dead AS (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS i FROM later),
+spans AS (
+  SELECT doc_id, MIN(ln) AS a, MAX(ln) AS b
+  FROM (SELECT doc_id, ln, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM dead JOIN seq USING (doc_id, i)) GROUP BY doc_id, island),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM every e
+  WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = e.doc_id AND e.ln BETWEEN s.a AND s.b) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+  coalesce((SELECT string_agg(a || '+' || (b - a + 1), ' ' ORDER BY a) FROM spans s WHERE s.doc_id = d.doc_id), '') AS removed,
+  CAST(coalesce(len(r.ls), 0) AS INTEGER) AS n_lines
+FROM documents d LEFT JOIN raw r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
 QUERIES = {"op1_line_dedup": op1_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_line_dedup": SQL}

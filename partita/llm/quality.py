@@ -39,7 +39,7 @@ _NUMBER = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 def line_features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document number, features, length) of each line that is not blank; ``starts`` bound the documents in the bytes."""
     doc_of = np.flatnonzero(np.diff(starts) > 0)
-    if not len(doc_of):
+    if _KINDS[:, 4][data].all():  # white space only, or nothing
         return np.zeros(0, np.int64), np.zeros((0, FEATURES)), np.zeros(0)
     begin = starts[:-1][doc_of]
     cut = np.union1d(begin, np.flatnonzero(data == 10) + 1)
@@ -75,6 +75,8 @@ FEATURES = 14
 
 def _with_neighbours(doc: np.ndarray, f: np.ndarray) -> np.ndarray:
     """A line's features, those of the lines before and after it in its document, whether these exist, and one."""
+    if not len(f):
+        return np.zeros((0, 3 * FEATURES + 3))
     same = doc[1:] == doc[:-1]
     up, down = np.zeros_like(f), np.zeros_like(f)
     up[1:][same] = f[:-1][same]
