@@ -12,7 +12,7 @@ from ..operators.factor import FactorConfig, Factors, fit
 from ..operators.lists import OVERLAP, build_lists, list_cap, list_sizes
 from ..operators.matrix import sample_rows
 from ..operators.search import AdaptiveParams, NaiveParams, query_ids, search
-from ..sources.store import params_text, read_index, write_index, write_results
+from ..sources.store import params_text, read_index, read_meta, write_index, write_results
 from ..storage import Scratch
 
 SAMPLE_SIZE = 150_000
@@ -69,9 +69,9 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        h, lists, meta = read_index(spark, path)
-        if "k" not in meta:
+        if "k" not in read_meta(spark, path):
             raise ValueError(f"no index at {path}")
+        h, lists, meta = read_index(spark, path)
         return cls(h, lists, meta["k"], meta["cap"], meta["n_rows"], meta["n_cols"], build_time_sec=meta.get("build_time_sec", 0.0))
 
 
