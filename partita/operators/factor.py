@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import partial
 from math import inf, isnan, sqrt
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
 from ..storage import Scratch, ship
+from .blocked import BLOCKED_FROM
 from .matrix import BROADCAST_COMPONENTS, gram, times_gram, x_ht, xt_w
 
 #: Fixed value: the floor of divisors, and what is added to the diagonal in the row-wise solver.
@@ -79,17 +81,38 @@ def _multiplied(factor: DataFrame, top: DataFrame, low: DataFrame, shared: str)
 
 def mu_update_w(x: DataFrame, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """W <- W * (X H') / max(W (H H'), eps); zeros stay zeros and are absent."""
-    new = _multiplied(w, x_ht(x, h), times_gram(w, gram(h, "col_id"), "row_id", k), "row_id")
-    return new.select("row_id", "comp", "val")
+    top, g = x_ht(x, h, k), gram(h, "col_id", k)
+    if k >= BLOCKED_FROM:
+        return _rows(w.select("row_id").distinct(), "row_id", top, w, _collected(g, k), _multiply)
+    return _multiplied(w, top, times_gram(w, g, "row_id", k), "row_id").select("row_id", "comp", "val")
 
 
 def mu_update_h(x: DataFrame, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """H <- H * (W' X) / max((W' W) H, eps)."""
-    return _multiplied(h, xt_w(x, w), times_gram(h, gram(w, "row_id"), "col_id", k), "col_id")
+    top, g = xt_w(x, w, k), gram(w, "row_id", k)
+    if k >= BLOCKED_FROM:
+        return _rows(h.select("col_id").distinct(), "col_id", top, h, _collected(g, k), _multiply).select("comp", "col_id", "val")
+    return _multiplied(h, top, times_gram(h, g, "col_id", k), "col_id")
 
 
-def _coordinates(rows: DataFrame, id_col: str, target: DataFrame, factor: DataFrame, g: np.ndarray, sweeps: int) -> DataFrame:
-    """Cyclic non-negative coordinate descent on every row: ``target`` are the right-hand sides, g the Gram matrix."""
+def _multiply(c: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, w * c / np.maximum(w @ g, EPS))
+
+
+def _descend(c: np.ndarray, w: np.ndarray, g: np.ndarray, sweeps: int) -> np.ndarray:
+    """Cyclic non-negative coordinate descent on all rows at once."""
+    gw = w @ g
+    for _ in range(sweeps):
+        for r in range(len(g)):
+            new = np.maximum(0.0, (c[:, r] - gw[:, r] + g[r, r] * w[:, r]) / (g[r, r] + EPS))
+            gw += np.outer(new - w[:, r], g[r])
+            w[:, r] = new
+    return w
+
+
+def _rows(rows: DataFrame, id_col: str, target: DataFrame, factor: DataFrame, g: np.ndarray, step: Callable) -> DataFrame:
+    """Updates every row of a factor alone: ``target`` are the right-hand sides, g the Gram matrix of the other factor."""
+    ship(rows.sparkSession)
     k = len(g)
 
     def array(df: DataFrame, name: str) -> DataFrame:
@@ -103,16 +126,12 @@ def _coordinates(rows: DataFrame, id_col: str, target: DataFrame, factor: DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                c, w = (np.nan_to_num(b.column(j).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k).copy() for j in (1, 2))
-                gw = w @ g
-                for _ in range(sweeps):
-                    for r in range(k):
-                        new = np.maximum(0.0, (c[:, r] - gw[:, r] + g[r, r] * w[:, r]) / (g[r, r] + EPS))
-                        gw += np.outer(new - w[:, r], g[r])
-                        w[:, r] = new
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
+                c, w = (part.column(j).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).copy() for j in (1, 2))
+                w = step(c, w, g)
                 at, comp = np.nonzero(w)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(comp.astype(np.int32)), pa.array(w[at, comp])], [id_col, "comp", "val"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(comp.astype(np.int32)), pa.array(w[at, comp])], [id_col, "comp", "val"])
 
     return joined.mapInArrow(run, f"{id_col} long, comp int, val double")
 
@@ -129,22 +148,23 @@ def _collected(g: DataFrame, k: int) -> np.ndarray:
 
 def hals_update_w(x: DataFrame, w: DataFrame, h: DataFrame, rows: DataFrame, k: int, sweeps: int = 1) -> DataFrame:
     """One or more cyclic sweeps over the components of every row; a zero may come back, so all ``rows`` take part."""
-    ship(x.sparkSession)
-    return _coordinates(rows, "row_id", x_ht(x, h), w, _collected(gram(h, "col_id"), k), sweeps)
+    return _rows(rows, "row_id", x_ht(x, h, k), w, _collected(gram(h, "col_id", k), k), partial(_descend, sweeps=sweeps))
 
 
 def hals_update_h(x: DataFrame, w: DataFrame, h: DataFrame, cols: DataFrame, k: int, sweeps: int = 1) -> DataFrame:
     """The same over the components of every column."""
-    ship(x.sparkSession)
-    return _coordinates(cols, "col_id", xt_w(x, w), h, _collected(gram(w, "row_id"), k), sweeps).select("comp", "col_id", "val")
+    return _rows(cols, "col_id", xt_w(x, w, k), h, _collected(gram(w, "row_id", k), k), partial(_descend, sweeps=sweeps)).select("comp", "col_id", "val")
+
 
+def squared_error(x: DataFrame, w: DataFrame, h: DataFrame, k: int = 0) -> DataFrame:
+    """One row (err2): the squared Frobenius norm of X - W H, without forming W H.
 
-def squared_error(x: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
-    """One row (err2): the squared Frobenius norm of X - W H, without forming W H."""
+    The inner product of X and W H is that of X H' and W, which needs a row per row and component only.
+    """
     squares = x.agg(F.coalesce(F.sum(F.col("val") * F.col("val")), F.lit(0.0)).alias("xx"))
-    wv, hv = w.select("row_id", "comp", F.col("val").alias("_w")), h.select("comp", "col_id", F.col("val").alias("_h"))
-    cross = x.join(wv, "row_id").join(hv, ["comp", "col_id"]).agg(F.coalesce(F.sum(F.col("val") * F.col("_w") * F.col("_h")), F.lit(0.0)).alias("xwh"))
-    both = gram(w, "row_id").withColumnRenamed("val", "_w").join(gram(h, "col_id").withColumnRenamed("val", "_h"), ["a", "b"])
+    cross = x_ht(x, h, k).join(w.select("row_id", "comp", F.col("val").alias("_w")), ["row_id", "comp"])
+    cross = cross.agg(F.coalesce(F.sum(F.col("val") * F.col("_w")), F.lit(0.0)).alias("xwh"))
+    both = gram(w, "row_id", k).withColumnRenamed("val", "_w").join(gram(h, "col_id", k).withColumnRenamed("val", "_h"), ["a", "b"])
     both = both.agg(F.coalesce(F.sum(F.col("_w") * F.col("_h")), F.lit(0.0)).alias("whwh"))
     # three tables of one row each
     return squares.crossJoin(cross).crossJoin(both).select(F.greatest(F.lit(0.0), F.col("xx") - 2 * F.col("xwh") + F.col("whwh")).alias("err2"))
@@ -194,7 +214,7 @@ def fit(x: DataFrame, rows: DataFrame, cols: DataFrame, config: FactorConfig) ->
         scratch.drop(f"w-{i - 1}", f"h-{i - 1}")
         out = replace(out, w=w, h=h, n_iter=i)
         if config.compute_error:
-            error = sqrt(squared_error(x, w, h).first()[0])
+            error = sqrt(squared_error(x, w, h, k).first()[0])
             relative = abs(before - error) / max(before, 1e-12) if before < inf else float("nan")
             out = replace(out, error=error, history=[*out.history, (i, error, before - error, relative)])
             if config.tol > 0 and not isnan(relative) and relative <= config.tol:

@@ -43,9 +43,9 @@ def admitted(scores: DataFrame, cap: int) -> DataFrame:
     return kept.select("comp", (F.row_number().over(place) - 1).cast("int").alias("pos"), "doc_id", "affinity")
 
 
-def build_lists(x: DataFrame, h: DataFrame, cap: int) -> DataFrame:
+def build_lists(x: DataFrame, h: DataFrame, cap: int, k: int = 0) -> DataFrame:
     """The lists of all components over all rows of X; scores are rounded before they are compared."""
-    scores = x_ht(x, h).select("comp", F.col("row_id").alias("doc_id"), rounded("val").alias("affinity"))
+    scores = x_ht(x, h, k).select("comp", F.col("row_id").alias("doc_id"), rounded("val").alias("affinity"))
     return admitted(scores, cap)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocked
+
 #: A k x k Gram matrix is broadcast up to this k (a million numbers); beyond, it is joined by shuffle.
 BROADCAST_COMPONENTS = 1024
 
@@ -24,20 +26,26 @@ def stats(x: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     )
 
 
-def x_ht(x: DataFrame, h: DataFrame) -> DataFrame:
-    """X times H transposed: (row_id, comp, val); absent where no nonzero meets."""
+def x_ht(x: DataFrame, h: DataFrame, k: int = 0) -> DataFrame:
+    """X times H transposed: (row_id, comp, val); absent where no nonzero meets.  Many components ``k`` are multiplied in blocks."""
+    if k >= blocked.BLOCKED_FROM:
+        return blocked.product(x, "row_id", "col_id", h, k)
     h = h.select("comp", "col_id", F.col("val").alias("_h"))
     return x.join(h, "col_id").groupBy("row_id", "comp").agg(F.sum(F.col("val") * F.col("_h")).alias("val"))
 
 
-def xt_w(x: DataFrame, w: DataFrame) -> DataFrame:
+def xt_w(x: DataFrame, w: DataFrame, k: int = 0) -> DataFrame:
     """X transposed times W, given as (comp, col_id, val)."""
+    if k >= blocked.BLOCKED_FROM:
+        return blocked.product(x, "col_id", "row_id", w, k).select("comp", "col_id", "val")
     w = w.select("row_id", "comp", F.col("val").alias("_w"))
     return x.join(w, "row_id").groupBy("comp", "col_id").agg(F.sum(F.col("val") * F.col("_w")).alias("val"))
 
 
-def gram(factor: DataFrame, shared: str) -> DataFrame:
+def gram(factor: DataFrame, shared: str, k: int = 0) -> DataFrame:
     """(a, b, val): inner products of components over the ``shared`` dimension, col_id for H and row_id for W."""
+    if k >= blocked.BLOCKED_FROM:
+        return blocked.gram(factor, shared, k)
     one = factor.select(F.col(shared), F.col("comp").alias("a"), F.col("val").alias("_a"))
     two = factor.select(F.col(shared), F.col("comp").alias("b"), F.col("val").alias("_b"))
     return one.join(two, shared).groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("val"))

@@ -44,7 +44,7 @@ class Index:
             part_rows = part.select("row_id").distinct()
         found = fit(part, part_rows, cols, config)
         cap = list_cap(n, found.k, overlap)
-        lists = scratch.write(build_lists(x, found.h, cap), "lists")
+        lists = scratch.write(build_lists(x, found.h, cap, found.k), "lists")
         return cls(found.h, lists, found.k, cap, n, f, config.max_iter, time.time() - began, found)
 
     def search(self, queries: DataFrame, x: DataFrame, docs: DataFrame, top_k: int, params: NaiveParams | AdaptiveParams | None = None) -> DataFrame:

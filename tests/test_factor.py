@@ -70,6 +70,21 @@ def test_fit_lowers_the_error(spark, solver, init):
     assert np.linalg.norm(dense - w @ h) == pytest.approx(out.error, rel=1e-6)
 
 
+@pytest.mark.parametrize("solver", ["mu", "hals"])
+def test_blocks_give_what_joins_give(spark, monkeypatch, solver):
+    rng = np.random.default_rng(5)
+    dense, w0, h0 = rng.random((50, 40)) * (rng.random((50, 40)) < 0.3), rng.random((50, 5)), rng.random((5, 40))
+    x, w, h = frames(spark, dense, w0, h0)
+    update = {"mu": lambda: (N.mu_update_w(x, w, h, 5), N.mu_update_h(x, w, h, 5)), "hals": lambda: (N.hals_update_w(x, w, h, ids(spark, 50, "row_id"), 5), N.hals_update_h(x, w, h, ids(spark, 40, "col_id"), 5))}[solver]
+    joined = [array(df, a, b, s) for df, a, b, s in zip(update(), ("row_id", "comp"), ("comp", "col_id"), ((50, 5), (5, 40)), strict=True)]
+    error = N.squared_error(x, w, h).first()[0]
+    for module, name, value in ((M.blocked, "BLOCKED_FROM", 2), (N, "BLOCKED_FROM", 2), (M.blocked, "ROWS", 16), (M.blocked, "NUMBERS", 80), (M.blocked, "STEP", 7)):
+        monkeypatch.setattr(module, name, value)
+    packed = [array(df, a, b, s) for df, a, b, s in zip(update(), ("row_id", "comp"), ("comp", "col_id"), ((50, 5), (5, 40)), strict=True)]
+    assert all(np.allclose(a, b) for a, b in zip(joined, packed, strict=True))
+    assert N.squared_error(x, w, h, 5).first()[0] == pytest.approx(error) == pytest.approx(np.linalg.norm(dense - w0 @ h0) ** 2)
+
+
 def test_tolerance_counts_only_with_errors(spark):
     x = spark.createDataFrame(entries(X), "row_id long, col_id long, val double")
     rows, cols = ids(spark, 5, "row_id"), ids(spark, 4, "col_id")
