@@ -123,13 +123,13 @@ class Model(NamedTuple):
     trans: np.ndarray
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Maximum likelihood of the lines' labels given their evidence, with a ridge."""
+def fit(lines: list[np.ndarray], labels: list[int]) -> Model:
+    """Maximum likelihood of the lines' labels given their evidence, with a ridge; ``lines``: each document's features."""
     width = 3 * FEATURES + 3
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return Model(np.r_[np.zeros(width - 1), np.log(share / (1 - share))], np.zeros((2, 2)))
-    doc, f, _ = line_features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    doc, f = np.repeat(np.arange(len(lines)), [len(f) for f in lines]), np.concatenate(lines).astype(np.float64)
     x, y, steps = _with_neighbours(doc, f), np.array(labels)[doc], chains(doc)
     follow = np.flatnonzero(np.r_[False, doc[1:] == doc[:-1]])
     seen = np.zeros((2, 2))
@@ -173,9 +173,19 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = training_rows(docs, labels, "quality", per_class).collect()
-    rows = sorted((r["text"].encode(), r["label"]) for r in rows)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    """The sample's lines come to the driver as features, not as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for t in b.column(0):
+                data = np.frombuffer(t.as_py().encode(), np.uint8)
+                made.append(line_features(data, np.array([0, len(data)]))[1].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], ["f", "label"])
+
+    rows = training_rows(docs, labels, "quality", per_class).mapInArrow(run, "f binary, label int").collect()
+    rows = sorted((bytes(r["f"]), r["label"]) for r in rows)
+    return fit([np.frombuffer(f, "<f4").reshape(-1, FEATURES) for f, _ in rows], [y for _, y in rows])
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str, keep: bool):
