@@ -162,5 +162,33 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    rows = ", ".join(f"('{name}', '{normalise(text)}')" for name, text in sorted(TEMPLATES.items()))
+    t = THRESHOLD
+    return rf"""
+WITH template AS (SELECT license, string_split(text, ' ') AS w FROM (VALUES {rows}) v(license, text)),
+known AS (SELECT license, w[i] || ' ' || w[i + 1] AS pair, COUNT(*) AS cnt FROM (SELECT license, w, unnest(range(1, len(w))) AS i FROM template) GROUP BY 1, 2),
+sized AS (SELECT license, SUM(cnt) AS a, ceil(SUM(cnt) * {t} / (2 - {t}) - 1e-9) AS least, floor(SUM(cnt) * (2 - {t}) / {t} + 1e-9) AS most FROM known GROUP BY 1),
+words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^0-9a-zA-Z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)),
+shared AS (SELECT p.doc_id, k.license, p.pos, p.pair, k.cnt FROM pairs p JOIN known k USING (pair)),
+enough AS (
+  SELECT doc_id, license FROM (SELECT doc_id, license, pair, least(COUNT(*), MAX(cnt)) AS n FROM shared GROUP BY 1, 2, 3) JOIN sized USING (license)
+  GROUP BY doc_id, license HAVING SUM(n) >= MAX(least)),
+here AS MATERIALIZED (SELECT s.*, z.a, z.most FROM shared s SEMI JOIN enough e ON e.doc_id = s.doc_id AND e.license = s.license JOIN sized z ON z.license = s.license),
+stretch AS (SELECT s.doc_id, s.license, s.pos AS start, e.pos - s.pos + 1 AS size, s.a FROM here s JOIN here e ON e.doc_id = s.doc_id AND e.license = s.license AND e.pos >= s.pos AND e.pos - s.pos + 1 <= s.most),
+common AS (
+  SELECT doc_id, license, start, size, a, SUM(n) AS c FROM (
+    SELECT x.doc_id, x.license, x.start, x.size, x.a, h.pair, least(COUNT(*), MAX(h.cnt)) AS n
+    FROM stretch x JOIN here h ON h.doc_id = x.doc_id AND h.license = x.license AND h.pos BETWEEN x.start AND x.start + x.size - 1 GROUP BY ALL) GROUP BY ALL),
+found AS (
+  SELECT doc_id, license, 2 * c / CAST(a + size AS DOUBLE) AS dice, start, size + 1 AS words FROM common WHERE 2 * c / CAST(a + size AS DOUBLE) >= {t}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY 2 * c / CAST(a + size AS DOUBLE) DESC, start, size) = 1)
+SELECT f.doc_id, f.license, f.dice, f.start, f.words,
+  NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.dice > f.dice AND o.start < f.start + f.words AND f.start < o.start + o.words) AS best
+FROM found f
+"""
+
+
 QUERIES = {"op5_licenses": op5_licenses}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_licenses": _sql()}
