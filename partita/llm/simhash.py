@@ -256,5 +256,83 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The constants of XXH64.
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_M = 1 << 64
+
+
+def _sql(bits: int = 3, shingle: int = 3) -> str:
+    """The whole query in SQL, hash included: 64-bit words are 128-bit numbers that are cut after each step."""
+
+    def u(x: int) -> str:
+        return f"{x % _M}::UHUGEINT"
+
+    def cut(x: str) -> str:
+        return f"(({x}) % {_M}::UHUGEINT)"
+
+    def times(x: str, p: int) -> str:
+        return cut(f"({x}) * {u(_P[p - 1])}")
+
+    def turn(x: str, r: int) -> str:
+        return f"({cut(f'({x}) * {1 << r}::UHUGEINT')} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+
+    def round_(acc: str, lane: str) -> str:
+        return times(turn(cut(f"{acc} + {times(lane, 2)}"), 31), 1)
+
+    def merge(h: str, v: str) -> str:
+        return cut(f"{times(f'xor({h}, {round_(u(0), v)})', 1)} + {u(_P[3])}")
+
+    def fold(first: str, items: str, step) -> str:
+        return f"list_reduce(list_concat([{first}], {items}), lambda a, x: {step('a', 'x')})"
+
+    def lane(at: str, width: int) -> str:
+        parts = " || ".join(f"substr(h, 2 * ({at} + {b}) + 1, 2)" for b in reversed(range(width)))
+        return f"CAST(CAST('0x' || {parts} AS UBIGINT) AS UHUGEINT)"
+
+    v = (SEED + _P[0] + _P[1], SEED + _P[1], SEED, SEED - _P[0])
+    stripes = ",\n  ".join(fold(u(v[k]), f"list_transform(range(n // 32), lambda i: lanes[4 * i + {k + 1}])", round_) + f" AS v{k + 1}" for k in range(4))
+    start = cut(f"{turn('v1', 1)} + {turn('v2', 7)} + {turn('v3', 12)} + {turn('v4', 18)}")
+    merged = [f"SELECT *, {start} AS m0 FROM striped"]
+    for k in range(4):
+        merged.append(f"SELECT *, {merge(f'm{k}', f'v{k + 1}')} AS m{k + 1} FROM ({merged[-1]})")
+    eight = fold("h8", "lanes[4 * (n // 32) + 1 :]", lambda a, x: cut(f"{times(turn(f'xor({a}, {round_(u(0), x)})', 27), 1)} + {u(_P[3])}"))
+    four = cut(f"{times(turn(f'xor(h4, {times(lane("(n // 8 * 8)", 4), 1)})', 23), 2)} + {u(_P[2])}")
+    tail = f"list_transform(range(n // 4 * 4, n), lambda i: {lane('i', 1)})"
+    one = fold("h1", tail, lambda a, x: times(turn(f"xor({a}, {times(x, 5)})", 11), 1))
+    white = r"[ \t\n\v\f\r]+"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{white}'), lambda w: w <> '') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {shingle} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {shingle} + 2), lambda i: array_to_string(w[i : i + {shingle - 1}], ' ')) END) AS s FROM words),
+raw AS (SELECT s, hex(encode(s)) AS h, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingled)),
+laned AS (SELECT *, list_transform(range(n // 8), lambda i: {lane('8 * i', 8)}) AS lanes FROM raw),
+striped AS (SELECT *,
+  {stripes} FROM laned),
+merged AS ({merged[-1]}),
+eights AS (SELECT *, {cut("(CASE WHEN n >= 32 THEN m4 ELSE " + u(SEED + _P[4]) + " END) + n::UHUGEINT")} AS h8 FROM merged),
+fours AS (SELECT *, {eight} AS h4 FROM eights),
+ones AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {four} ELSE h4 END AS h1 FROM fours),
+ended AS (SELECT *, {one} AS e FROM ones),
+hashed AS (
+  SELECT s, CAST(xor(c, c // {1 << 32}::UHUGEINT) AS UBIGINT) AS x FROM (
+    SELECT s, {times(f"xor(b, b // {1 << 29}::UHUGEINT)", 3)} AS c FROM (
+      SELECT s, {times(f"xor(e, e // {1 << 33}::UHUGEINT)", 2)} AS b FROM ended))),
+ones_of AS (
+  SELECT doc_id, bit, SUM((x >> bit) & 1::UBIGINT) AS k, COUNT(*) AS n
+  FROM (SELECT doc_id, s, COUNT(*) AS times FROM shingled GROUP BY ALL) JOIN hashed USING (s) CROSS JOIN (SELECT CAST(unnest(range(64)) AS UBIGINT) AS bit)
+  CROSS JOIN LATERAL (SELECT unnest(range(times))) GROUP BY 1, 2),
+fps AS (
+  SELECT d.doc_id, CAST(coalesce(bit_or(CASE WHEN 2 * k > n THEN 1::UHUGEINT << bit::UHUGEINT ELSE 0::UHUGEINT END), 0::UHUGEINT) AS UBIGINT) AS fp
+  FROM documents d LEFT JOIN ones_of o ON o.doc_id = d.doc_id GROUP BY d.doc_id),
+nodes AS (SELECT fp, MIN(doc_id) AS rep FROM fps GROUP BY 1),
+link AS MATERIALIZED (SELECT a.fp AS u, b.fp AS v FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)) <= {bits}),
+reach AS (SELECT fp AS u, fp AS v FROM nodes UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v),
+component AS (SELECT u AS fp, MIN(rep) AS component_id FROM reach JOIN nodes ON nodes.fp = reach.v GROUP BY 1)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM fps JOIN component USING (fp)
+"""
+
+
 QUERIES = {"op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_simhash": _sql()}
