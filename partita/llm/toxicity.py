@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learning import held_out, minimise, sigmoid, training_rows
-from .shared import ship, table
+from .shared import Scratch, ship, table
 
 SIZES = (3, 4, 5)
 BITS = 18
 #: Labelled documents of each class that the classifier learns from at most.
 PER_CLASS = 2500
 #: Added to the counts before the ratio.
-SMOOTHING = 5.0
+SMOOTHING = 2.0
 #: Features whose log ratio is nearer to zero than this tell the classes too little to be kept.
-LEAST_RATIO = 0.2
+LEAST_RATIO = 0.1
+#: Sampled documents whose features are multiplied at once.
+STEP = 256
 #: Strength of the pull of the weights towards zero.
 RIDGE = 1.0
 
@@ -48,34 +50,42 @@ class Model(NamedTuple):
     bias: float
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> Model:
-    """Learns from (distinct hashes, label) rows."""
-    n = 1 << bits
-    y = np.array([r[1] for r in rows], np.float64)
+def ratios(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Smoothed log ratio of each feature's document counts in both classes, 0 where it is too near to it.
+
+    ``counts``: (class, feature); ``documents``: how many there are of each class.
+    """
+    share = (counts + SMOOTHING) / (documents + 2 * SMOOTHING)[:, None]
+    ratio = np.log(share[1]) - np.log(share[0])
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+    return ratio
+
+
+def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray) -> Model:
+    """Learns from (distinct hashes with a ratio, label) rows, which it uses up; both classes weigh the same."""
+    n, y = len(ratio), np.array([r[1] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(n, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    with_, without = np.full(n, SMOOTHING), np.full(n, SMOOTHING)
-    for at, label in rows:
-        (with_ if label else without)[at] += 1
-    ratio = np.log(with_ / (y.sum() + 2 * SMOOTHING)) - np.log(without / (len(y) - y.sum() + 2 * SMOOTHING))
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0
-    kept = [at[ratio[at] != 0] for at, _ in rows]
-    at = np.concatenate(kept)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
-    value = ratio[at].astype(np.float32)
-    weigh = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both classes weigh the same
+    weigh = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    parts = []  # of so many rows that the copies made of their features stay small
+    for k in range(0, len(rows), STEP):
+        length = [len(r[0]) for r in rows[k : k + STEP]]
+        parts.append((slice(k, k + len(length)), np.concatenate([r[0] for r in rows[k : k + STEP]]), np.repeat(np.arange(len(length), dtype=np.int32), length)))
+    rows.clear()
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * p[at], len(rows)) + p[-1]
-        e = weigh * (sigmoid(z) - y)
-        g = np.bincount(at, value * e[row], n + 1)
-        g[-1] = e.sum()
         ridge = RIDGE * p
         ridge[-1] = 0
-        return float(weigh @ np.logaddexp(0, z) - (weigh * y) @ z + 0.5 * ridge @ p), g + ridge
-
-    start = np.zeros(n + 1)
-    p = minimise(loss, start, 40)
+        scaled, value, g, bias = p[:-1] * ratio, 0.5 * float(ridge @ p), np.zeros(n), 0.0
+        for here, at, row in parts:
+            z = np.bincount(row, scaled[at], here.stop - here.start) + p[-1]
+            e = weigh[here] * (sigmoid(z) - y[here])
+            g += np.bincount(at, e[row], n)
+            bias += e.sum()
+            value += float(weigh[here] @ (np.logaddexp(0, z) - y[here] * z))
+        return value, np.r_[g * ratio, bias] + ridge
+
+    p = minimise(loss, np.zeros(n + 1), 40)
     return Model((p[:-1] * ratio).astype(np.float32), float(p[-1]))
 
 
@@ -91,14 +101,36 @@ def score(texts: Iterator, model: Model) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample's features are counted, and those without a ratio left out, before they come to the driver."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.unique(grams(t.as_py())).astype("<i4").tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], ["at", "label"])
 
-    rows = training_rows(docs, labels, label, per_class).mapInArrow(run, "at binary, label int").collect()
-    rows = sorted((bytes(r["at"]), r["label"]) for r in rows)
-    return fit([(np.frombuffer(a, "<i4"), y) for a, y in rows])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, c = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int32)
+        for b in batches:
+            for at, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                c[y, np.frombuffer(at.as_py(), "<i4")] += 1
+                n[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["n", "c"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = [a[ratio[a] != 0].tobytes() for a in (np.frombuffer(at.as_py(), "<i4") for at in b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), b.column(1)], ["at", "label"])
+
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.write(training_rows(docs, labels, label, per_class).mapInArrow(hashed, "at binary, label int"), "sample")
+    n, c = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
+    for r in sample.coalesce(4).mapInArrow(counted, "n binary, c binary").collect():
+        n += np.frombuffer(r["n"], np.int64)
+        c += np.frombuffer(r["c"], np.int32).reshape(2, -1)
+    ratio = ratios(c, n)
+    # a partition of the sample at a time, which halves what the driver's JVM holds
+    rows = sorted((bytes(r["at"]), r["label"]) for r in sample.mapInArrow(kept, "at binary, label int").toLocalIterator())
+    return fit([(np.frombuffer(a, "<i4"), y) for a, y in rows], ratio)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
