@@ -26,8 +26,8 @@ SLICES = 4
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
 TILE = 256
-#: Meeting places of each block of queries, so that its vectors do not all meet it in one task.
-LANES = 32
+#: Vectors are spread over at most so many lanes, about two for each block.
+MOST_LANES = 1024
 #: Stands for a cutoff where fewer than k entries are known.
 NO_CUTOFF = -(2**62)
 
@@ -155,20 +155,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, slices: int = SLIC
     of another length than the query's take no part.  Fewer vectors than k give them all; an empty table, none.
     """
     scratch = Scratch(vectors.sparkSession)
-    v = _blocks(vectors.dropDuplicates(["vec_id", "x"]), VECTOR_BLOCK)
-    v = scratch.write(v.withColumn("lane", (F.monotonically_increasing_id() % LANES).cast("int")), "vectors")
+    vectors = vectors.dropDuplicates(["vec_id", "x"])
+    lanes = min(MOST_LANES, 1 + 2 * (vectors.count() // VECTOR_BLOCK))
+    at = F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    v = scratch.write(_blocks(vectors, VECTOR_BLOCK).withColumn("lane", F.pmod(at, F.lit(lanes)).cast("int")), "vectors")
     one = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
     n = one.count()
     q = _blocks(one.repartition(max(1, -(-n // QUERY_BLOCK)), "vec_id"), QUERY_BLOCK)
     q = q.select(F.monotonically_increasing_id().alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     q = scratch.write(q, "queries")
-    # every block of queries meets every block of vectors of its length; a meeting place is (block, lane)
-    numbers = q.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    dealt = v.join(numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks", "dim")
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
+    # vectors stay in their lane, where every block of queries meets every block of vectors of its length; only the
+    # queries, the smaller side, are copied, once for each lane
+    copies = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
 
     def scan(q: DataFrame, cutoff: bool) -> DataFrame:
-        return dealt.join(q.select("*", lanes), ["block", "lane"]).mapInArrow(_scan(k, slices, cutoff), FOUND)
+        return v.join(q.select("*", copies), ["lane", "dim"]).mapInArrow(_scan(k, slices, cutoff), FOUND)
 
     heads = scratch.write(scan(q, False), "heads")
     kth = _entries(heads, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
