@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..storage import ship
 
-BLOCKED_FROM = 32
+BLOCKED_FROM = 16
 #: Rows of a block of X, and numbers of a block of the factor, which bounds its columns.
 ROWS, NUMBERS = 4096, 1 << 20
 #: Nonzeros that are multiplied at once.

@@ -73,7 +73,7 @@ def test_whole_run(spark, dataset, tmp_path, backend):
     assert values["recall@5"] >= (1.0 if backend == "naive" else 0.5) and json.load(open(f"{tmp_path}/m.json")) == values
     assert values["search_params"] == config.params().label()
     if backend == "adaptive":
-        assert {r["recall_at"] for r in out["runs"]} == {5} and len(out["best"]) == 10
+        assert {r["recall_at"] for r in out["runs"]} == {5} and len(out["runs"]) == 6 and len(out["best"]) == 10
         by, hist, overall = R.coverage(spark, config, 20, 5)
         assert by.count() == 3 and hist.count() == 30 and 0 < overall.first()[0] <= 1
         assert R.k_sweep(spark, R.replace(config, evaluate_recall=False), (2,), [AdaptiveParams(1000, 0.0)], 0.5, 5)[0]["found"]
@@ -105,3 +105,12 @@ def test_stream_of_queries(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [4, 5]
+
+
+def test_recall_sweep_over_a_saved_index(spark, dataset, tmp_path):
+    config = R.preset("toy", data_dir=str(dataset.parent), n_components=2, max_iter=1, backend="adaptive", save_index=f"{tmp_path}/index", save_results="")
+    R.run(spark, config)
+    runs = R.recall_benchmark(spark, config, (1, 1000), (0.0, 0.5)).collect()
+    assert [r["config"] for r in runs] == ["max_misses=1;dr=0", "max_misses=1;dr=0.5", "max_misses=1000;dr=0", "max_misses=1000;dr=0.5"]
+    assert all(0 <= r["mean_recall"] <= 1 and r["qps"] > 0 for r in runs)
+    assert len(R.grid(R.GRID_MISSES, R.GRID_RATIOS)) == 108
