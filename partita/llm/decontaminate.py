@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .shared import ship, slices, table
 
 #: Edits allowed per character of an item.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Items with fewer characters (normalised) are no evidence of a leak and take no part.
 MIN_CHARS = 20
 #: Characters of items that are searched for in one pass over the documents; more items take more passes.
