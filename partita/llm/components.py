@@ -42,7 +42,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             break
         mark = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = scratch.write(roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), f"{name}-roots")
+    scratch.drop(f"{name}-{k}")
+    return roots
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -104,7 +104,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     now, h = ranks.select(*AT, "rank"), 1
     while h <= deepest:
         runs = longer.where((F.col("m") >= h) & (F.col("m") < 2 * h))
-        if h > 1 or deepest > 1:
+        if h > 1:
             tail = now.select("doc", "hash", F.col("i").alias("j"), F.col("rank").alias("r2"))
             runs = runs.join(now.withColumnRenamed("rank", "r1"), AT).withColumn("j", F.col("i") + F.col("m") - h).join(tail, ["doc", "hash", "j"])
             same = _first(runs, ["r1", "r2", "m"])
@@ -114,7 +114,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
             break
         pairs = now.withColumnRenamed("rank", "r1").join(_here(now, h, "r2"), AT)
         now = _ranked(pairs, ["r1", "r2"], scratch, f"rank-{2 * h}").select(*AT, "rank")
+        scratch.drop(f"rank-{h}", f"rank-{2 * h}-ids")
         h *= 2
+    scratch.drop("unique-0", "longer", f"rank-{h}")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)

@@ -251,6 +251,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     made = scratch.write(templates(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html"), scratch), "templates")
+    scratch.drop("tokens", "classes")
     joined = rows.join(made, "host", "left").select("page_id", "url", "html", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

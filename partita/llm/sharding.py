@@ -54,6 +54,7 @@ def stratified_shards(
     ranked = ranked.join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     offset = (seeded(seed, "source") % UNITS) / F.lit(float(UNITS))
     ranked = scratch.write(ranked.withColumn("fraction", (F.col("rank") + offset) / F.col("of")).withColumn("all", F.lit(0)), "ranked")
+    scratch.drop("rows")
     part = F.floor(F.col("fraction") * buckets)
     placed = ranked_in(ranked, "all", ["fraction", "source", "mix", "doc_id", "size"], part, "place")
     shard = F.expr(f"(place * {shards}) div {max(n, 1)}").cast("int")

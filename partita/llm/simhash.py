@@ -204,13 +204,15 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, second_bits: int =
 
 def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column, bits: int, second_bits: int = 0) -> DataFrame:
     """(node, component): the smallest ``name`` over each component of the links between ``nodes``."""
-    roots = scratch.write(components(links(nodes, scratch, bits, second_bits), scratch), "roots")
+    roots = components(links(nodes, scratch, bits, second_bits), scratch)
     reps = all_.groupBy("node").agg(F.min(name).alias("rep"))
     member = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     member = scratch.write(member, "members")
     # written, so that the join reads both sides from their own shuffle and a large component can be split
     found = scratch.write(member.groupBy("root").agg(F.min("rep").alias("component")), "components")
-    return scratch.write(member.join(found, "root").select("node", "component"), "named")
+    named = scratch.write(member.join(found, "root").select("node", "component"), "named")
+    scratch.drop("nodes", "large", "cc-roots", "members", "components")
+    return named
 
 
 def near_duplicates(

@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     ratio = ratios(c, n)
     # a partition of the sample at a time, which halves what the driver's JVM holds
     rows = sorted((bytes(r["at"]), r["label"]) for r in sample.mapInArrow(kept, "at binary, label int").toLocalIterator())
+    scratch.drop("sample")
     return fit([(np.frombuffer(a, "<i4"), y) for a, y in rows], ratio)
 
 
