@@ -142,3 +142,16 @@ def test_exact_and_full_probing_agree(spark):
     assert exact == naive
     walk = S.search(q, x, docs, h, lists, 3, 1000, 5, S.AdaptiveParams(10**6, 0.0)).select("query_id", "rank", "score").orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in walk] == [(a, b, d) for a, b, _, d in exact]
+
+
+def test_reports(spark):
+    from partita.plans import report
+
+    by = spark.createDataFrame([(1, 2.0, 1.0, 0.4, 0.2), (2, 0.0, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0, 0.0)], "list_rank int, avg_found double, cumul_recall double, mean_rel_pos double, std_rel_pos double")
+    hist = spark.createDataFrame([(r, b, int(r == 1 and b < 2), 0.5 if r == 1 and b < 2 else 0.0) for r in (1, 2, 3) for b in range(10)], "list_rank int, bin int, n long, share double")
+    text = report.coverage_report(by, hist, spark.createDataFrame([(1.0,)], "overall_recall double"))
+    assert "overall recall 100.0 %" in text and "██········" in text and text.count("\n   2") == 0
+    assert report.profile([0.0, 0.02, 0.04, 0.06, 0.07, 0.2]) == "·▁▃▅▇█"
+    runs = spark.createDataFrame([("a", 0, 30, 0.95, 0.1, 5.0)], "config string, seq int, recall_at int, mean_recall double, std_recall double, cost double")
+    out = report.runs_report(runs, E.optimal_per_target(runs))
+    assert "recall@30 >= 0.95: a" in out and "recall@30 >= 0.96: None" in out
