@@ -27,44 +27,78 @@ SEED = 42
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt out as tiles.
 TILE = 2048
 #: Blocks are combined until they make this many bits, and until a bucket of evenly spread fingerprints has no more than this many.
-KEY_BITS, BUCKET = 12, 512
-
-
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a whole text (UTF-8); 0 where it has no word."""
+KEY_BITS, BUCKET = 11, 512
+#: Places of a sketch, and in how many of them two near copies may differ.
+PLACES, APART = 128, 30
+#: Pairs whose sketches are compared at once.
+STEP = 1 << 15
+_RNG = np.random.default_rng(5)
+_ODD = _RNG.integers(0, 2**31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = _RNG.integers(0, 2**32, PLACES, dtype=np.uint32)
+
+
+def _shingles(text: bytes | None, shingle: int) -> bytes:
+    """The 8-byte hashes of all shingles of a whole text (UTF-8), repeats included; none without words."""
     words = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return b""
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= shingle:
-        hashes = digest(joined, SEED)
-    else:
-        ends = list(accumulate([len(w) + 1 for w in words]))
-        starts = [0, *ends]
-        hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)])
-    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)  # digests are big-endian
+        return digest(joined, SEED)
+    ends = list(accumulate([len(w) + 1 for w in words]))
+    return b"".join([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a whole text; 0 where it has no word."""
+    raw = np.frombuffer(_shingles(text, shingle), np.uint8).reshape(-1, 8)  # digests are big-endian
     ones = np.zeros(64, np.int64)
     for k in range(0, len(raw), 1 << 15):
         ones += np.unpackbits(raw[k : k + (1 << 15)], axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
 
 
+def sketch(text: bytes | None, shingle: int = 5) -> bytes:
+    """The lowest four bits of the least of each of ``PLACES`` hashes over a text's shingles; zeros without words.
+
+    Of two texts with a Jaccard similarity J of their shingles, a share of J + (1 - J) / 16 of the places agree.
+    """
+    h = np.unique(np.frombuffer(_shingles(text, shingle), ">u8") >> np.uint64(32)).astype(np.uint32)
+    if not len(h):
+        return bytes(PLACES // 2)
+    least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(h), 1 << 11):
+        np.minimum(least, (h[k : k + (1 << 11)] * _ODD[:, None] ^ _MIX[:, None]).min(axis=1), out=least)
+    # the least values are small, so their bits are mixed before some are kept
+    nibble = (least * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
+    return (nibble[::2] << 4 | nibble[1::2]).tobytes()
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the sketches a and b, rows of 64-bit words, differ."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, second: int = 0) -> DataFrame:
     """(doc_id, hash, fp[, second]): one row per document.
 
-    ``hash`` is the text's own; fp, and ``second`` where asked for, are the fingerprints over shingles of so many words as
-    signed longs.
+    ``hash`` is the text's own, fp the fingerprint over shingles of so many words as a signed long, and ``second``, where
+    asked for, the sketch over shingles of so many words.
     """
-    sizes = [n for n in (shingle, second) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2)
-            fps = [pa.array(np.array([fingerprint(t.as_py(), n) for t in texts], np.uint64).view(np.int64)) for n in sizes]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps], ["doc_id", "hash", "fp", "second"][: 2 + len(sizes)])
+            made = [pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))]
+            if second:
+                made.append(pa.array([sketch(t.as_py(), second) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "fp", "second"][: 2 + len(made)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, hash long, fp long" + ", second long" * bool(second))
+    return rows.mapInArrow(run, "doc_id long, hash long, fp long" + ", second binary" * bool(second))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -91,11 +125,11 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, second: np.ndarray | None = None, second_bits: int = 0, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, second: np.ndarray | None = None, apart: int = 0, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Links that join, within each bucket, all fingerprints connected by chains of ``bits`` or fewer differences.
 
-    ``fps`` (uint64) and ``bucket`` (any integers) are parallel; with ``second`` fingerprints, a link must also
-    have ``second_bits`` or fewer differences in these.  Returns two arrays of indices: each fingerprint that is
+    ``fps`` (uint64) and ``bucket`` (any integers) are parallel; with ``second`` sketches (rows of 64-bit words), a link
+    must also have sketches that differ in ``apart`` or fewer places.  Returns two arrays of indices: each fingerprint that is
     not the first of its chain, and that first one; so never more links than fingerprints.
     """
     order = np.lexsort((gray_rank(fps), bucket))
@@ -136,7 +170,10 @@ def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, second: np.ndarra
             keep = np.bitwise_count((x[q] ^ pattern[node]) & mask[node]) <= bits
             q, node = q[keep], node[keep]
         if other is not None:
-            keep = np.bitwise_count(other[q] ^ other[node]) <= second_bits
+            unlike = label[q] != label[node]  # what is linked already needs no confirmation
+            q, node = q[unlike], node[unlike]
+            near = [differing(other[q[s : s + STEP]], other[node[s : s + STEP]]) <= apart for s in range(0, len(q), STEP)]
+            keep = np.concatenate(near) if near else np.zeros(0, bool)
             q, node = q[keep], node[keep]
         label = _merge(label, q, node)
     rest = np.flatnonzero(label != np.arange(n))
@@ -156,10 +193,10 @@ def _bucket_rows(nodes: DataFrame, blocks: int, match: int) -> DataFrame:
     return nodes.select("*", made.alias("bucket"))
 
 
-def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, second_bits: int = 0, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, apart: int = 0, tile: int = TILE) -> DataFrame:
     """(u, v) pairs of nodes whose chains hold every pair of fingerprints at ``bits`` or fewer differing bits.
 
-    ``nodes``: (node long, fp long[, second long]), each node once.  A bucket with more than ``tile`` nodes is cut into
+    ``nodes``: (node long, fp long[, second binary]), each node once; with sketches, a link must be confirmed by them.  A bucket with more than ``tile`` nodes is cut into
     chunks, and every two chunks meet in a task of their own: nothing is dropped, no task grows with
     the bucket.
     """
@@ -194,17 +231,17 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, second_bits: int =
         held[:] = [] if last else t.slice(cut).to_batches()
         if cut:
             node, fp = t["node"].to_numpy()[:cut], t["fp"].to_numpy()[:cut].view(np.uint64)
-            second = t["second"].to_numpy()[:cut].view(np.uint64) if "second" in names else None
-            u, v = linked(fp, bucket[:cut], bits, second, second_bits)
+            second = np.frombuffer(b"".join(t["second"].slice(0, cut).to_pylist()), np.uint64).reshape(cut, -1) if "second" in names else None
+            u, v = linked(fp, bucket[:cut], bits, second, apart)
             yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
     # a hash may put two buckets under one number: pairs are compared on all 64 bits, so no link is wrong
     return rows.select(*names).repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
-def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column, bits: int, second_bits: int = 0) -> DataFrame:
+def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column, bits: int, apart: int = 0) -> DataFrame:
     """(node, component): the smallest ``name`` over each component of the links between ``nodes``."""
-    roots = components(links(nodes, scratch, bits, second_bits), scratch)
+    roots = components(links(nodes, scratch, bits, apart), scratch)
     reps = all_.groupBy("node").agg(F.min(name).alias("rep"))
     member = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     member = scratch.write(member, "members")
@@ -233,19 +270,19 @@ def near_duplicates(
     return all_.join(named, "node").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, bits: int = 8, second_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, bits: int = 9, apart: int = APART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near copies, the one with the smallest id, with all their columns.
 
     Two documents are near copies if their fingerprints over three-word shingles differ in at most ``bits``
-    bits and those over five-word shingles in at most ``second_bits``.  A similarity of 0.8 of
-    the five-word shingles makes about ten bits' difference; 14 leave room for the spread.  Of rows that
+    bits and the sketches of their five-word shingles in at most ``apart`` of 128 places: a Jaccard similarity of 0.8 makes 24
+    differ, with a standard deviation of 4.4.  Of rows that
     share id and text one stays.  Texts without words are copies of each other.  Null ids come first.
     """
     scratch = Scratch(docs.sparkSession)
     all_ = fingerprints(docs, id_col, text_col, 3, 5).withColumn("node", F.xxhash64("fp", "second"))
     all_ = scratch.write(all_, "fps")
     nodes = scratch.write(all_.dropDuplicates(["node"]).select("node", "fp", "second"), "nodes")
-    named = _named(all_, nodes, scratch, F.struct("doc_id", "hash"), bits, second_bits)
+    named = _named(all_, nodes, scratch, F.struct("doc_id", "hash"), bits, apart)
     kept = scratch.write(named.select("component.*").distinct().select(F.col("doc_id").alias("_partita_id"), F.col("hash").alias("_partita_hash")), "kept")
     out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_partita_id")) & (F.xxhash64(F.col(text_col)) == F.col("_partita_hash")))
     if all_.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():

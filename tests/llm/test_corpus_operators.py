@@ -116,15 +116,25 @@ def test_index_links_against_all_pairs(bits):
     near = [b ^ np.uint64(sum(1 << int(z) for z in set(rng.integers(0, 64, rng.integers(0, 2 + bits))))) for b in base for _ in range(20)]
     fps = np.unique(np.array(near, np.uint64))
     bucket = rng.integers(0, 3, len(fps))
-    second = fps ^ rng.integers(0, 8, len(fps)).astype(np.uint64)
+    second = rng.integers(0, 2, (len(fps), 8), dtype=np.uint64) * np.uint64(0x10)
     close = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits) & (bucket[:, None] == bucket[None, :])
     u, v = simhash.linked(fps, bucket, bits, step=64)
     assert unions(len(fps), zip(u, v, strict=True)) == unions(len(fps), zip(*np.nonzero(close), strict=True))
-    both = close & (np.bitwise_count(second[:, None] ^ second[None, :]) <= bits)
-    u, v = simhash.linked(fps, bucket, bits, second, bits)
+    both = close & ((second[:, None] != second[None, :]).sum(axis=2) <= 4)
+    u, v = simhash.linked(fps, bucket, bits, second, 4, step=64)
     assert unions(len(fps), zip(u, v, strict=True)) == unions(len(fps), zip(*np.nonzero(both), strict=True))
 
 
+def test_sketch_estimates_similarity():
+    words = [f"w{i}" for i in range(3000)]
+    for cut in (0, 300, 1000):
+        a, b = " ".join(words[:2000]).encode(), " ".join(words[cut : 2000 + cut]).encode()
+        sa, sb = (np.frombuffer(simhash.sketch(t), np.uint64)[None, :] for t in (a, b))
+        j = (1996 - cut) / (1996 + cut)
+        assert abs(simhash.differing(sa, sb)[0] - 128 * (1 - j) * 15 / 16) <= 18
+    assert simhash.sketch(None) == simhash.sketch(b" \n") == bytes(64) and len(simhash.sketch(b"one")) == 64
+
+
 @pytest.mark.parametrize("tile", [8, 2048])
 def test_links_over_tiles(spark, tile):
     rng = np.random.default_rng(tile)
