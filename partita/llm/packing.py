@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +60,13 @@ class Encoder:
         if None in found:
             if len(self.known) > KEPT_WORDS:  # words of the last generation that come up again move to the new one
                 self.older, self.known = self.known, {b"": b""}
-            missing = {w for w in words if w not in self.known}
-            self.known.update((w, self.older[w]) for w in missing if w in self.older)
-            new = [w for w in missing if w not in self.older]
+            known, older = self.known, self.older
+            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+            known.update((w, older[w]) for w in missing if w in older)
+            new = [w for w in missing if w not in older]
             made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
-            found = [self.known[w] for w in words]
+            known.update((w, pack_ids(f"<{len(ids)}I", *ids)) for w, ids in zip(new, (e.ids for e in made), strict=True))
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
 
