@@ -6,7 +6,8 @@ class; a class with enough pages is part of the host's template if its tokens co
 its pages and always in the same gap between the tokens of the host's root class, in which it is nested.  What
 lies in the gaps are slots.  Text of a valid class is template; the main text is what remains in the slots of the
 article.  Occurrence vectors are compared as sums of page hashes, which are map-side aggregates: no task ever
-holds the pages of a host.
+holds the pages of a host.  Pages with the same text in their articles, and repeated rows, count as one page: copies of
+an article do not make it template.
 """
 
 from __future__ import annotations
@@ -159,8 +160,14 @@ def _number(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def page_tokens(page: str | None) -> dict[int, tuple[int, int]]:
-    """token -> (how often, first place) on a page."""
+def _article(blocks: list[Block]) -> list[Block]:
+    """The blocks that are not in page furniture; of those, the ones in an article or the main element if there are any."""
+    wanted = [b for b in blocks if b.wanted]
+    return [b for b in wanted if b.inside] or wanted
+
+
+def page_tokens(page: str | None) -> tuple[int, dict[int, tuple[int, int]]]:
+    """The number of a page's article text, and token -> (how often, first place) on the page."""
     opened, blocks = parse(page)
     out: dict[int, tuple[int, int]] = {}
     # paths come before the text that they hold; their places are in the order of opening
@@ -168,33 +175,37 @@ def page_tokens(page: str | None) -> dict[int, tuple[int, int]]:
     for k, t in enumerate(seq):
         n, first = out.get(t, (0, k))
         out[t] = n + 1, first
-    return out
+    return _number("a", *[b.text for b in _article(blocks)]), out
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, out = [], []
-            for k, t in enumerate(b.column(2)):
-                found = page_tokens(t.as_py())
+            for k, t in enumerate(b.column(3)):
+                content, found = page_tokens(t.as_py())
                 row += [k] * len(found)
-                out += [(token, n, at) for token, (n, at) in found.items()]
+                out += [(content, token, n, at) for token, (n, at) in found.items()]
             if out:
                 at = pa.array(row, pa.int64())
-                kinds = (pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["host", "page", "token", "often", "place"]
-                )
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                made = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), *made], ["host", "page", "row", "content", "token", "often", "place"])
 
-    return pages.mapInArrow(run, "host string, page long, token long, often int, place int")
+    rows = pages.select("host", "page", F.monotonically_increasing_id().alias("row"), "html")
+    return rows.mapInArrow(run, "host string, page long, row long, content long, token long, often int, place int")
 
 
 def templates(pages: DataFrame, scratch: Scratch, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, tokens): the tokens of the valid classes of each host.
 
-    ``pages``: (host string, page long, html string); ``page`` tells the pages of a host apart.
+    ``pages``: (host string, page long, html string); ``page`` tells the pages of a host apart.  Of the pages of a host that
+    have the same text in their articles, and of repeated rows, one counts.
     """
-    tokens = scratch.write(_tokens(pages.where("host <> ''")), "tokens")
+    every = scratch.write(_tokens(pages.where("host <> ''")), "every")
+    one = every.groupBy("host", "content").agg(F.min(F.struct("page", "row")).alias("one")).select("one.row")
+    tokens = scratch.write(every.join(scratch.write(one, "one"), "row", "left_semi").select("host", "page", "token", "often", "place"), "tokens")
+    scratch.drop("every", "one")
     of = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     vector = F.sum(F.xxhash64("page", "often").cast("decimal(38,0)")).alias("vector")
     seen = tokens.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.avg("place").alias("place"))
@@ -234,10 +245,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text, given the tokens of its host's template."""
     _, blocks = parse(page)
-    wanted = [b for b in blocks if b.wanted]
-    if any(b.inside for b in wanted):
-        wanted = [b for b in wanted if b.inside]
-    return " ".join(b.text for b in wanted if _number("t", b.path, b.text) not in template)
+    return " ".join(b.text for b in _article(blocks) if _number("t", b.path, b.text) not in template)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -245,7 +253,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A null html is an empty page; a page without main text gives an empty string.  Pages without a host in their url
     are judged alone; so are those of hosts with fewer than ``LEAST_PAGES`` pages.  Repeated rows are pages of their
-    own result each, but count as one page of the host; null ids are kept.  Other columns are ignored; an empty table gives no rows.
+    own result each, but count as one page of the host, as pages with the same article text do; null ids are kept.  Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))

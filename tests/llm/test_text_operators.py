@@ -164,6 +164,17 @@ def test_copies_of_an_article_are_not_template(spark):
     assert got[0] == "same text" and got[11] == "text 11"
 
 
+@pytest.mark.parametrize("copies, others, repeats", [(6, 4, 1), (10, 0, 1), (1, 1, 5), (1, 4, 6)])
+def test_copied_articles_and_repeated_rows_count_once(spark, copies, others, repeats):
+    def page(n, words):
+        return (n, f"http://a.example/{n}", f"<div class='x'><p>Site {n}</p></div><nav>{n}</nav><article><h1>{words}</h1><p>{words} one</p><p>{words} two</p></article>")
+
+    rows = [page(n, "same") for n in range(copies)] * repeats + [page(100 + n, f"other {n}") for n in range(others)]
+    got = mainhtml.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert all(r["text"] == ("same same one same two" if r["page_id"] < 100 else "other {0} other {0} one other {0} two".format(r["page_id"] - 100)) for r in got)
+
+
 def edit_distance(p, t, anywhere):
     prev = [0 if anywhere else j for j in range(len(t) + 1)]
     for i, a in enumerate(p, 1):
