@@ -10,7 +10,7 @@ shared bits exceed the budget.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,8 +28,12 @@ SEED = 42
 TILE = 2048
 #: Blocks are combined until they make this many bits, and until a bucket of evenly spread fingerprints has no more than this many.
 KEY_BITS, BUCKET = 11, 512
-#: Places of a sketch, and in how many of them two near copies may differ.
-PLACES, APART = 128, 30
+#: Places of a sketch, and in how many of them two texts at 0.8 may differ: 24 are expected, with a standard deviation of 4.4.
+PLACES, WIDE = 128, 48
+#: Least values that make a band, and bands of a text: of pairs at 0.8 one in 300,000 shares none.
+BAND, BANDS = 4, 24
+#: Texts whose shingles are compared in one task, and bytes of them that are held for one round.
+SETS, HELD = 1024, 1 << 26
 #: Pairs whose sketches are compared at once.
 STEP = 1 << 15
 _RNG = np.random.default_rng(5)
@@ -58,22 +62,35 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
 
 
-def sketch(text: bytes | None, shingle: int = 5) -> bytes:
-    """The lowest four bits of the least of each of ``PLACES`` hashes over a text's shingles; zeros without words.
+def _distinct(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.frombuffer(_shingles(text, shingle), ">u8").astype(np.uint64))
 
-    Of two texts with a Jaccard similarity J of their shingles, a share of J + (1 - J) / 16 of the places agree.
-    """
-    h = np.unique(np.frombuffer(_shingles(text, shingle), ">u8") >> np.uint64(32)).astype(np.uint32)
-    if not len(h):
-        return bytes(PLACES // 2)
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    """The least of each of ``PLACES`` hashes over some hashes of shingles."""
+    h = (h >> np.uint64(32)).astype(np.uint32)
     least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(h), 1 << 11):
         np.minimum(least, (h[k : k + (1 << 11)] * _ODD[:, None] ^ _MIX[:, None]).min(axis=1), out=least)
+    return least
+
+
+def _packed(least: np.ndarray) -> bytes:
     # the least values are small, so their bits are mixed before some are kept
     nibble = (least * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
     return (nibble[::2] << 4 | nibble[1::2]).tobytes()
 
 
+def sketch(text: bytes | None, shingle: int = 5) -> bytes:
+    """The lowest four bits of the least of each of ``PLACES`` hashes over a text's shingles; zeros without words.
+
+    Of two texts with a Jaccard similarity J of their shingles, a share of J + (1 - J) / 16 of the places agree.
+    """
+    h = _distinct(text, shingle)
+    return _packed(_minima(h)) if len(h) else bytes(PLACES // 2)
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In how many places the sketches a and b, rows of 64-bit words, differ."""
     x = a ^ b
@@ -82,23 +99,42 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, second: int = 0) -> DataFrame:
-    """(doc_id, hash, fp[, second]): one row per document.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, hash, text as bytes); ``hash`` is the text's own."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("binary").alias("text"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, hash, fp): one row per document; fp is the fingerprint over shingles of so many words as a signed long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["doc_id", "hash", "fp"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, fp long")
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, hash, node, second, bands): one row per document.
 
-    ``hash`` is the text's own, fp the fingerprint over shingles of so many words as a signed long, and ``second``, where
-    asked for, the sketch over shingles of so many words.
+    ``node`` is a number of the set of shingles, ``second`` the sketch, and ``bands`` numbers of ``BANDS`` groups of least
+    values; a text without words has none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2)
-            made = [pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))]
-            if second:
-                made.append(pa.array([sketch(t.as_py(), second) for t in texts], pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "fp", "second"][: 2 + len(made)])
+            node, second, bands = [], [], []
+            for t in b.column(2):
+                h = _distinct(t.as_py(), shingle)
+                least = _minima(h)
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                second.append(_packed(least))
+                bands.append([xxhash.xxh3_64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)] if len(h) else [])
+            made = [pa.array(node, pa.int64()), pa.array(second, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "node", "second", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, hash long, fp long" + ", second binary" * bool(second))
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, node long, second binary, bands array<long>")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -203,22 +239,42 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, apart: int = 0, til
     n, match = nodes.count(), 1
     while (made := 64 * match // (bits + match)) < KEY_BITS or n >> made > BUCKET:
         match += 1
-    rows = _bucket_rows(nodes, bits + match, match)
+    rows = _tiled(_bucket_rows(nodes, bits + match, match), scratch, tile)
+    names = ["node", "fp", *(["second"] if "second" in nodes.columns else []), "bucket"]
+
+    def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        second = _words(t["second"]) if "second" in names else None
+        return linked(t["fp"].to_numpy().view(np.uint64), t["bucket"].to_numpy(), bits, second, apart)
+
+    # a hash may put two buckets under one number: pairs are compared on all 64 bits, so no link is wrong
+    return _in_buckets(rows.select(*names), found)
+
+
+def _tiled(rows: DataFrame, scratch: Scratch, tile: int, name: str = "large") -> DataFrame:
+    """The rows (node, bucket, ...), those of a bucket with more than ``tile`` of them once for every two chunks that meet."""
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    large = scratch.write(large.select("bucket", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("chunks")), "large")
+    large = scratch.write(large.select("bucket", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("chunks")), name)
     if large.limit(1).count():
         rows = rows.join(large, "bucket", "left")
         mine = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks").cast("long")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("bucket"), F.least(mine, c), F.greatest(mine, c)))
         places = F.when(F.col("chunks").isNull(), F.array("bucket")).otherwise(pairs)
         rows = rows.withColumn("bucket", F.explode(places)).drop("chunks")
-    names = ["node", "fp", *(["second"] if "second" in nodes.columns else []), "bucket"]
+    return rows
+
+
+def _words(sketches: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), -1)
+
+
+def _in_buckets(rows: DataFrame, found: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(u, v): the nodes at the places that ``found`` links, given the rows of whole buckets in order of bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(h.num_rows for h in held) >= 1 << 16:
+            if sum(h.num_rows for h in held) >= 1 << 16 or sum(h.nbytes for h in held) >= HELD:
                 yield from flush(held, False)
         yield from flush(held, True)
 
@@ -230,25 +286,92 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, apart: int = 0, til
         cut = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))  # rows come sorted by bucket
         held[:] = [] if last else t.slice(cut).to_batches()
         if cut:
-            node, fp = t["node"].to_numpy()[:cut], t["fp"].to_numpy()[:cut].view(np.uint64)
-            second = np.frombuffer(b"".join(t["second"].slice(0, cut).to_pylist()), np.uint64).reshape(cut, -1) if "second" in names else None
-            u, v = linked(fp, bucket[:cut], bits, second, apart)
+            t = t.slice(0, cut)
+            node = t["node"].to_numpy()
+            u, v = found(t)
             yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    # a hash may put two buckets under one number: pairs are compared on all 64 bits, so no link is wrong
-    return rows.select(*names).repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+
+
+def alike(bucket: np.ndarray, second: np.ndarray, wide: int = WIDE, sure: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, within each bucket, all rows connected by chains of sketches that differ in ``wide`` or fewer places.
+
+    ``bucket`` is sorted; with ``sure``, a link between two rows must also be confirmed by it.  Returns two arrays of indices: each row
+    that is not the first of its chain, and that first one.
+    """
+    label = np.arange(len(bucket))
+    first = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    many = np.flatnonzero(np.diff(first) > 1)
+    for a, b in zip(first[many], first[many + 1], strict=True):
+        mine = label[a:b]
+        for i in range(a, b - 1):
+            j = i + 1 + np.flatnonzero(mine[i - a + 1 :] != mine[i - a])  # what is linked already needs no comparison
+            j = j[differing(second[i], second[j]) <= wide]
+            if sure is None and len(j):
+                some = np.unique(np.r_[mine[i - a], mine[j - a]])
+                mine[np.isin(mine, some)] = some[0]
+            for k in j if sure is not None else ():
+                x, y = mine[i - a], mine[k - a]
+                if x != y and sure(i, k):
+                    mine[mine == max(x, y)] = min(x, y)
+    rest = np.flatnonzero(label != np.arange(len(label)))
+    return rest, label[rest]
+
+
+def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of numbers, sorted and distinct, have a Jaccard similarity of so many per cent or more."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def near_links(docs: DataFrame, all_: DataFrame, scratch: Scratch, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v) pairs of nodes whose chains hold every pair of texts with a Jaccard similarity of so many per cent or more.
+
+    Texts that share a band and have like sketches are candidates.  All pairs of like sketches within a component of candidates
+    are compared by all their shingles, in tiles where it has more than ``SETS`` texts.
+    """
+    nodes = all_.groupBy("node").agg(F.min(F.struct("doc_id", "hash", "second", "bands")).alias("of"))
+    nodes = scratch.write(nodes.select("node", "of.*"), "nodes")
+    rows = _tiled(nodes.select("node", "second", F.explode("bands").alias("bucket")), scratch, TILE)
+    likely = _in_buckets(rows, lambda t: alike(t["bucket"].to_numpy(), _words(t["second"])))
+    roots = components(likely, scratch, "likely")
+    wanted = nodes.select("node", "doc_id", "hash").join(roots, "node").select("node", F.col("root").alias("bucket"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    wanted = scratch.write(wanted, "wanted")
+    texts = _texts(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "bucket", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_distinct(t.as_py(), shingle) for t in b.column(2)]
+            second = [_packed(_minima(h)) for h in made]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(second, pa.binary()), pa.array([h.tobytes() for h in made], pa.binary())], ["node", "bucket", "second", "set"])
+
+    def confirmed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = t["set"].to_pylist()
+
+        def sure(i: int, j: int) -> bool:
+            return _same(np.frombuffer(held[i], np.uint64), np.frombuffer(held[j], np.uint64), percent)
+
+        return alike(t["bucket"].to_numpy(), _words(t["second"]), WIDE, sure)
+
+    # rows that share id and text come more than once
+    made = scratch.write(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, bucket long, second binary, set binary"), "sets")
+    scratch.drop("likely-roots", "wanted", "nodes", "large")
+    return _in_buckets(_tiled(made, scratch, SETS, "large-sets").select("node", "second", "set", "bucket"), confirmed)
 
 
-def _named(all_: DataFrame, nodes: DataFrame, scratch: Scratch, name: F.Column, bits: int, apart: int = 0) -> DataFrame:
-    """(node, component): the smallest ``name`` over each component of the links between ``nodes``."""
-    roots = components(links(nodes, scratch, bits, apart), scratch)
+def _named(all_: DataFrame, pairs: DataFrame, scratch: Scratch, name: F.Column) -> DataFrame:
+    """(node, component): the smallest ``name`` over each component of the links ``pairs`` between nodes."""
+    roots = components(pairs, scratch)
     reps = all_.groupBy("node").agg(F.min(name).alias("rep"))
     member = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     member = scratch.write(member, "members")
     # written, so that the join reads both sides from their own shuffle and a large component can be split
     found = scratch.write(member.groupBy("root").agg(F.min("rep").alias("component")), "components")
     named = scratch.write(member.join(found, "root").select("node", "component"), "named")
-    scratch.drop("nodes", "large", "cc-roots", "members", "components")
+    scratch.drop("nodes", "large", "sets", "large-sets", "cc-roots", "members", "components")
     return named
 
 
@@ -266,23 +389,22 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     all_ = scratch.write(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "fps")
     nodes = scratch.write(all_.select("node", "fp").distinct(), "nodes")
-    named = _named(all_, nodes, scratch, F.col("doc_id"), bits)
+    named = _named(all_, links(nodes, scratch, bits), scratch, F.col("doc_id"))
     return all_.join(named, "node").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, bits: int = 9, apart: int = APART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near copies, the one with the smallest id, with all their columns.
 
-    Two documents are near copies if their fingerprints over three-word shingles differ in at most ``bits``
-    bits and the sketches of their five-word shingles in at most ``apart`` of 128 places: a Jaccard similarity of 0.8 makes 24
-    differ, with a standard deviation of 4.4.  Of rows that
+    Two documents are near copies if the sets of their five-word shingles have a Jaccard similarity of ``percent`` per cent or
+    more, which is computed from all shingles; groups are chains of near copies.  Candidates come from bands of least hashes (see
+    ``BANDS`` and ``WIDE``), chosen for 80 per cent and more.  Of rows that
     share id and text one stays.  Texts without words are copies of each other.  Null ids come first.
     """
     scratch = Scratch(docs.sparkSession)
-    all_ = fingerprints(docs, id_col, text_col, 3, 5).withColumn("node", F.xxhash64("fp", "second"))
-    all_ = scratch.write(all_, "fps")
-    nodes = scratch.write(all_.dropDuplicates(["node"]).select("node", "fp", "second"), "nodes")
-    named = _named(all_, nodes, scratch, F.struct("doc_id", "hash"), bits, apart)
+    all_ = scratch.write(sketches(docs, id_col, text_col, 5), "sketches")
+    pairs = near_links(docs, all_, scratch, percent, 5, id_col, text_col)
+    named = _named(all_, pairs, scratch, F.struct("doc_id", "hash"))
     kept = scratch.write(named.select("component.*").distinct().select(F.col("doc_id").alias("_partita_id"), F.col("hash").alias("_partita_hash")), "kept")
     out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_partita_id")) & (F.xxhash64(F.col(text_col)) == F.col("_partita_hash")))
     if all_.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():

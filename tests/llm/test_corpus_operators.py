@@ -182,6 +182,36 @@ def test_one_of_each(spark, odd):  # noqa: F811
     assert simhash.one_of_each(empty(spark)).collect() == []
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_one_of_each_against_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "SETS", tile, raising=False)
+    r = random.Random(9)
+    texts = []
+    for k in range(90):
+        words = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(100, 400))]
+        n = len(words) - 4
+        more = int(n / (0.7 + 0.3 * k / 90)) - n  # appended text, for similarities from 0.7 to 1
+        texts += [words, words + [f"n{r.randint(0, 9999)}" for _ in range(more)]]
+    words = [f"v{i}" for i in range(300)]
+    texts += [words[:i] + [f"x{i}"] + words[i + 1 :] for i in range(10, 290, 9)]  # a group larger than a tile
+    texts = [" ".join(w) for w in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = [(i, j) for i, a in enumerate(texts) for j in range(i) if jaccard(a, texts[j]) >= 0.8]
+    want = unions(len(texts), near)
+    assert 40 < sum(want[i] != i for i in range(180)) < 80
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(docs).collect()) == sorted(set(want))
+
+
 # --- top-k ---
 
 
