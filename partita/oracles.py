@@ -215,6 +215,7 @@ ORACLES = {
     "gram_hht": q(ctes(), select=f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(val, 6) + 0.0 AS val FROM ({GRAM_H})"),
     "gram_wtw": q(ctes(), select=f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(val, 6) + 0.0 AS val FROM ({GRAM_W})"),
     "row_dots": _matrix("SELECT i.query_id, c.c_custkey AS doc_id, round(coalesce(SUM(a.val * b.val), 0.0), 6) + 0.0 AS score FROM qid i CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0) c LEFT JOIN q a ON a.query_id = i.query_id LEFT JOIN x b ON b.row_id = c.c_custkey AND b.col_id = a.col_id GROUP BY 1, 2"),
+    "row_dots_whole": _matrix("SELECT i.query_id, c.c_custkey AS doc_id, round(coalesce(s.score, 0.0), 6) + 0.0 AS score FROM (SELECT DISTINCT row_id AS query_id FROM x WHERE row_id % 100 = 0) i CROSS JOIN customer c LEFT JOIN (SELECT a.row_id AS query_id, b.row_id AS doc_id, SUM(a.val * b.val) AS score FROM x a JOIN x b USING (col_id) WHERE a.row_id % 100 = 0 GROUP BY 1, 2) s ON s.query_id = i.query_id AND s.doc_id = c.c_custkey"),
     "row_sample_exact": _matrix(f"SELECT p.place AS row_id, col_id, val FROM x JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM {SAMPLE.format(u=uniform('row_id', '0'), size=100)}) p USING (row_id)"),
     "random_init": q(ctes(), select=FACTORS.format(w="w0", h="h0")),
     "acol_init": q(

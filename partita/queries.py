@@ -1,7 +1,7 @@
 """The engine's operators as queries over the given tables, each with the same result in SQL.
 
-The matrix is customers by parts, a cell the summed quantity; the searched queries are every 97th customer.  The
-corpus-like vectors of ``documents`` serve the loaders.  Values are rounded to six digits, and scores are ranked
+The matrix is customers by parts, a cell the summed quantity; the searched queries are every 97th customer, and in
+``row_dots_whole`` those with ids divisible by 100, against all customers.  Values are rounded to six digits, and scores are ranked
 after rounding.
 """
 
@@ -165,6 +165,16 @@ def row_dots(spark, sf):
     return _out(M.row_dots(d.x, d.queries, pairs), "query_id", "doc_id", digits="score")
 
 
+def row_dots_whole(spark, sf):
+    """The customers whose ids are divisible by 100 against all customers; only pairs that share a part are multiplied."""
+    d, scratch = data(spark, sf)
+    queries = d.x.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "col_id", F.col("val").alias("_q"))
+    met = d.x.withColumnRenamed("row_id", "doc_id").join(queries, "col_id")
+    dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("val") * F.col("_q")).alias("_dot"))
+    pairs = queries.select("query_id").distinct().crossJoin(d.docs)  # the result: every stated pair
+    return _out(pairs.join(dots, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("_dot", F.lit(0.0))), "query_id", "doc_id", digits="score")
+
+
 def row_sample_exact(spark, sf):
     d, scratch = data(spark, sf)
     part = scratch.write(M.sample_rows(d.x, 100), "sample")
@@ -408,7 +418,7 @@ def coverage_overall(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        coo_from_csr, dense_explode, gt_one_based_to_zero, matrix_stats, spmm_xht, spmm_xtw, gram_hht, gram_wtw, row_dots, row_sample_exact,
+        coo_from_csr, dense_explode, gt_one_based_to_zero, matrix_stats, spmm_xht, spmm_xtw, gram_hht, gram_wtw, row_dots, row_dots_whole, row_sample_exact,
         random_init, acol_init, mu_update_w, mu_update_h, mu_fit_error_history, hals_update_w, hals_update_h,
         list_cap, build_lists, list_ties, list_sizes, index_roundtrip,
         project_queries, rank_components, exact_topk, naive_search, naive_search_half_lists, adaptive_search, adaptive_docs_processed,
