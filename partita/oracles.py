@@ -205,6 +205,11 @@ def _k_sweep() -> str:
     return q(*parts, select="\nUNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, config, mean_recall, cost FROM {optimal((0.6,), f'k{k}_', 'recall_at = 5')}" for k in (4, 6)))
 
 
+def whole(text: str) -> str:
+    """The same over lists of the reference's overlap."""
+    return text.replace(cap_of(Q.K), cap_of(Q.K, Q.WHOLE))
+
+
 ORACLES = {
     "coo_from_csr": _matrix("SELECT row_id, col_id, val FROM x"),
     "dense_explode": "SELECT vec_id AS row_id, CAST(i - 1 AS INTEGER) AS col_id, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS val FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] > 0",
@@ -239,6 +244,7 @@ ORACLES = {
     "rank_components": q(index(), select="SELECT query_id, comp, q_score, rank FROM ranked"),
     "exact_topk": q(TRUTH, select="SELECT query_id, rank, doc_id, score FROM truth"),
     "naive_search": q(TRUTH, index(), naive(Q.NAIVE), select="SELECT query_id, rank, doc_id, score FROM found"),
+    "naive_search_whole": whole(q(TRUTH, index(), naive(Q.NAIVE), select="SELECT query_id, rank, doc_id, score FROM found")),
     "naive_search_half_lists": q(TRUTH, index(), naive(Q.HALF), select="SELECT query_id, rank, doc_id, score FROM found"),
     "adaptive_search": q(TRUTH, index(), adaptive(Q.ADAPTIVE), select="SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h.s, h.d) AS INTEGER) AS rank, h.d AS doc_id, -h.s AS score FROM (SELECT query_id, unnest(heap) AS h FROM ended)", recursive=True),
     "adaptive_docs_processed": q(TRUTH, index(), adaptive(Q.ADAPTIVE), select="SELECT query_id, CAST(len(seen) AS BIGINT) AS processed FROM ended", recursive=True),
@@ -248,6 +254,7 @@ ORACLES = {
     "recall_at_k_normalized": q(TRUTH, index(), naive(Q.NAIVE), recall(), select="SELECT query_id, CAST(recall_at AS INTEGER) AS recall_at, round(recall, 6) AS recall FROM recall"),
     "recall_at_k_fixed": q(TRUTH, index(), naive(Q.NAIVE), select="SELECT i.query_id, CAST(5 AS INTEGER) AS recall_at, round((SELECT COUNT(*) FROM found f JOIN truth t ON t.query_id = f.query_id AND t.doc_id = f.doc_id WHERE f.query_id = i.query_id AND f.rank <= 5 AND t.rank <= 5) / 5.0::DOUBLE, 6) AS recall FROM qid i"),
     "recall_mean_std": q(TRUTH, index(), naive(Q.NAIVE), recall(), select="SELECT CAST(recall_at AS INTEGER) AS recall_at, round(AVG(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS std_recall FROM recall GROUP BY recall_at"),
+    "recall_whole": whole(q(TRUTH, index(), naive(Q.NAIVE), recall(), select="SELECT CAST(recall_at AS INTEGER) AS recall_at, round(AVG(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS std_recall FROM recall GROUP BY recall_at")),
     "param_sweep_recall": q(TRUTH, index(), *runs(), select="SELECT config, seq, recall_at, mean_recall, cost FROM runs"),
     "optimal_per_target": q(TRUTH, index(), *runs(), select=f"SELECT recall_at, target, config, mean_recall, cost FROM {optimal((0.3, 0.5, 0.7, 0.9, 0.99))}"),
     "k_sweep_best": _k_sweep(),
