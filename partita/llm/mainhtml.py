@@ -55,6 +55,7 @@ _PARTS = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I | re.S)
 _WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Block(NamedTuple):
@@ -72,6 +73,10 @@ class _Open(NamedTuple):
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
+    """By its name, role or hidden state, or by a class or id all of whose words name furniture.
+
+    The words of headings, and of sections inside an article, are taken for the subject.
+    """
     if name in FURNITURE or (name in HEADS and not inside):
         return True
     if name in ("html", "body", "article", "main") and not (inside and name == "article"):
@@ -80,10 +85,11 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         value, key = "".join(values).lower(), key.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.strip() in ROLES):
             return True
-        if key in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & WORDS or (not inside and words & HEAD_WORDS):
-                return True
+        if key in ("class", "id") and name not in HEADINGS and not (inside and name == "section"):
+            for token in value.split():
+                words = set(_WORD.findall(token))
+                if words and words <= (WORDS if inside else WORDS | HEAD_WORDS):
+                    return True
     return False
 
 

@@ -175,6 +175,13 @@ def test_copied_articles_and_repeated_rows_count_once(spark, copies, others, rep
     assert all(r["text"] == ("same same one same two" if r["page_id"] < 100 else "other {0} other {0} one other {0} two".format(r["page_id"] - 100)) for r in got)
 
 
+def test_words_of_a_class_or_id_as_a_whole():
+    page = """<div class="cookie-banner">c</div><article class="post"><h2 id="social-history">h</h2><section id="related-work">r</section>
+<section id="comments">o</section><div class="search-results-analysis">s</div><div class="wide ad">a</div><div id="share">b</div><p class="social-history">e</p></article>"""
+    assert mainhtml.extract(page) == "h r o s e"
+    assert mainhtml.extract("<div id='cookie-banner'>c</div><h2 class='search'>h</h2><div class='site-header'>t</div><div class='header'>m</div>") == "h t"
+
+
 def edit_distance(p, t, anywhere):
     prev = [0 if anywhere else j for j in range(len(t) + 1)]
     for i, a in enumerate(p, 1):
