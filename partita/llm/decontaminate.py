@@ -17,8 +17,10 @@ from .shared import ship, slices, table
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.08
-#: Items with fewer characters (normalised) are no evidence of a leak and take no part.
+#: Items with fewer characters (normalised) must occur without edits, as whole words.
 MIN_CHARS = 20
+#: Scripts written without spaces, where a word may end anywhere (Thai to Lao, Myanmar, Khmer, Kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Characters of items that are searched for in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 2_000_000
 
@@ -63,13 +65,23 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return a.isalnum() and b.isalnum() and not any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in UNSPACED)
+
+
+def stands(text: str, start: int, stop: int) -> bool:
+    """Whether a stretch of a text begins and ends with words."""
+    return not (start and _joined(text[start - 1], text[start])) and not (stop < len(text) and _joined(text[stop - 1], text[stop]))
+
+
 class Finder:
     """Finds items, given as (number, normalised text), in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t))) for i, t in items]
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= MIN_CHARS else 0) for i, t in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             for a, b in pieces(len(t), k):
@@ -90,6 +102,10 @@ class Finder:
             for n, offset in places:
                 item, pattern, k = self.items[n]
                 start = last + 1 - length - offset
+                if len(pattern) < MIN_CHARS:
+                    if (item not in found or found[item][0]) and stands(text, start, last + 1):
+                        found[item] = 0, start, last + 1
+                    continue
                 slot = n, start // (k + 1)  # starts this close lie in one window
                 if slot in tried or (item in found and not found[item][0]):
                     continue
@@ -106,12 +122,12 @@ class Finder:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of a bounded size, each small enough for the driver and every task."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    rows = rows.where(F.char_length("text") >= MIN_CHARS // 3)  # lower case may be up to three times as long
+    rows = rows.where(F.char_length("text") > 0)
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().collect()
-        yield [(r["item"], t) for r in part if len(t := normalise(r["text"])) >= MIN_CHARS]
+        yield [(r["item"], t) for r in part if (t := normalise(r["text"]))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -119,8 +135,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
 
     Texts are compared as ``normalise`` gives them; start and stop count the characters of that form.  Whole
     texts are searched.  An item may occur with up to rate * (its characters) insertions, deletions and
-    substitutions.  A null or empty text has no leaks; null or empty items, and those under ``MIN_CHARS``
-    characters, take no part; items sharing an id are found under it separately or together as one row.
+    substitutions, one under ``MIN_CHARS`` characters with none, as whole words.  A null or empty text has no leaks; null or
+    empty items take no part; items sharing an id are found under it separately or together as one row.
     Repeated documents repeat their rows, and null ids are kept.  Other columns are ignored.
     """
     ship(docs.sparkSession)

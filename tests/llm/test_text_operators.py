@@ -212,6 +212,14 @@ def test_leaks_against_full_edit_distance(item, before, after, edits):
         assert distance == least == edit_distance(item, text[start:stop], False)
 
 
+def test_short_items_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Who is Ada?"), (2, "東京の人口は"), (3, " ?! ")], "item_id long, text string")
+    rows = [(1, "so who is ada, then"), (2, "who is adam"), (3, "who is ado"), (4, "昨日、東京の人口は何人ですか"), (5, "東京の口は"), (6, "who is adam who is ada")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:4] for r in D.leaks(docs, items).collect()) == [(1, 1, 0, 3), (4, 2, 0, 3), (6, 1, 0, 12)]
+    assert sorted(r["doc_id"] for r in D.without_leaks(docs, items).collect()) == [2, 3, 5]
+
+
 def test_leaks_in_documents(spark, odd):
     item = "the quick brown fox jumps over the lazy dog and runs far away"
     items = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, ""), (None, item)], "item_id long, text string")
