@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def line_scores(data: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.
 def scores(column: pa.Array, model: Model) -> np.ndarray:
     """The quality of each text of a binary column."""
     column = column.fill_null(b"") if column.null_count else column
-    starts = np.r_[0, np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
+    starts = np.r_[0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     skip = int(np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset]) if len(column) else 0
     doc, good, size = line_scores(data[skip : skip + starts[-1]], starts, model)

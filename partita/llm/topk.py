@@ -1,13 +1,16 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 Each vector's dimensions are cut into slices; a slice gives every query a list of partial scores over
-all vectors, and the full score is their sum.  Phase one gathers the head of every list, resolves those
-entries, and so knows a score that the k-th best cannot be below.  Phase two sends each query that
-cutoff: a vector can only reach it if in at least one list it is above that list's floor by an equal share of
-what the cutoff exceeds all floors by.  Phase three resolves the remaining scores of exactly those
-entries whose upper bound still reaches the cutoff.
+all vectors, and the full score is their sum.  Vectors are grouped into cells around pivots and into blocks
+of a cell, and each keeps, for every slice, bounds of what its vectors can score: the list's block maxima.
 
-Vectors and queries meet in blocks of matrices; scores are exact integers.
+* Phase one reads the heads of the lists only: for every slice the cell with the highest bound, and the cell with the highest sum
+  of bounds.  One block of each is resolved, and so a score is known that the k-th best cannot be below.
+* Phase two sends every query that safe cutoff: a vector can only reach it if its partial score in at least one of m lists is the
+  cutoff's m-th part or more, so only cells and blocks above that share in some list, and whose bounds sum up to the cutoff, are read.
+* Phase three resolves the remaining scores of what was read, exactly, and keeps what reaches the cutoff.
+
+Scores are exact integers.  What is sent to all tasks are the bounds of at most ``CELLS`` cells for each length of vectors.
 """
 
 from __future__ import annotations
@@ -16,62 +19,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
 
 SLICES = 4
-#: Queries and vectors of a block; a pair of blocks is one task's unit, worked through in tiles.
-QUERY_BLOCK = 2048
-VECTOR_BLOCK = 8192
-TILE = 256
-#: Vectors are spread over at most so many lanes, about two for each block.
-MOST_LANES = 1024
+#: Cells of vectors, about ``CELL`` vectors in each but never more than ``CELLS`` cells; their pivots are fitted on at most ``SAMPLE`` vectors.
+CELLS, CELL, SAMPLE, ROUNDS = 1024, 256, 16384, 4
+#: Vectors of a block, and queries that meet a block at once.
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
+#: Components are cut to what fits in a long after scaling; beyond these sizes sums are made of Python's integers and cut at the end.
+LONG = 2**63 - 1
 #: Stands for a cutoff where fewer than k entries are known.
-NO_CUTOFF = -(2**62)
+NO_CUTOFF = -(2**63)
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, x): integer components floor(scale * x); null vectors, and those holding a null or non-finite one, go."""
+    """(vec_id, x): integer components floor(scale * x); null vectors, and those holding a null or non-finite one, go.
+
+    A component beyond the range of a long is cut to it.
+    """
     x = F.col(vector_col).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("x").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(
-        "vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("x")
+        "vec_id", F.transform("x", lambda v: F.floor(F.least(F.greatest(v * scale, F.lit(-(2.0**63))), F.lit(2.0**63 - 1024)))).alias("x")
     )
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Packs (vec_id, x) rows of one length, as they come in a partition, into (dim, ids, data) blocks."""
+def cuts(dim: int, slices: int) -> list[tuple[int, int]]:
+    """The bounds of the slices of so many dimensions."""
+    return [(int(c[0]), int(c[-1]) + 1) for c in np.array_split(np.arange(dim), slices) if len(c)] or [(0, 0)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            ids, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            offsets = x.offsets.to_numpy().astype(np.int64)
-            flat = x.values.to_numpy(zero_copy_only=False)
-            length = np.diff(offsets)
-            for d in map(int, np.unique(length)):
-                mine = np.flatnonzero(length == d)
-                held.setdefault(d, []).append((ids[mine], flat[offsets[mine][:, None] + np.arange(d)].astype(np.int64)))
-                if sum(len(h[0]) for h in held[d]) >= size:
-                    yield from flush(held, d)
-        for d in list(held):
-            yield from flush(held, d)
 
-    def flush(held: dict, d: int) -> Iterator[pa.RecordBatch]:
-        got = held.pop(d)
-        ids, data = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        for k in range(0, len(ids), size):
-            one = [pa.array([d], pa.int32()), pa.array([ids[k : k + size].tolist()], pa.list_(pa.int64())), pa.array([data[k : k + size].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, ["dim", "ids", "data"])
-
-    return rows.select("vec_id", "x").mapInArrow(run, "dim int, ids array<long>, data binary")
-
-
-def _product(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
-    """a times b transposed; in doubles where they hold every sum exactly, else in integers."""
-    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if exact else a @ b.T
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a times b transposed, exact: in doubles where they hold every sum, else in longs, else cut to longs."""
+    most = a.shape[1] * (int(np.abs(a.astype(np.float64)).max()) if a.size else 0) * (int(np.abs(b.astype(np.float64)).max()) if b.size else 0)
+    if most < 2**52:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LONG, LONG).astype(np.int64)
 
 
 def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -82,104 +72,254 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))][:k]
 
 
-def meet(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, slices: int, tau=None, floor=None):
-    """Each query's (id, vec_ids, scores, floors of its lists) over one block of vectors.
+class Bounds:
+    """For groups of vectors of one length: middles, radii in every slice, and the least and greatest of every dimension."""
+
+    def __init__(self, slices: int, middle: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.cuts, self.middle, self.radius, self.low, self.high = cuts(middle.shape[1], slices), middle, radius, low, high
+
+    @classmethod
+    def of(cls, x: np.ndarray, slices: int) -> Bounds:
+        """Those of one group, around its middle."""
+        x = x.astype(np.float64)
+        middle = x.mean(axis=0, keepdims=True)
+        far = [np.sqrt(((x[:, lo:hi] - middle[:, lo:hi]) ** 2).sum(axis=1).max()) for lo, hi in cuts(x.shape[1], slices)]
+        return cls(slices, middle, np.array([far]), x.min(axis=0, keepdims=True), x.max(axis=0, keepdims=True))
+
+    def partial(self, q: np.ndarray) -> np.ndarray:
+        """(slice, query, group): what no vector of the group exceeds in a slice; the lesser of a ball's and a box's bound."""
+        q, out = q.astype(np.float64), []
+        for s, (lo, hi) in enumerate(self.cuts):
+            part, middle = q[:, lo:hi], self.middle[:, lo:hi]
+            long, far = np.sqrt((part**2).sum(axis=1))[:, None], self.radius[:, s][None, :]
+            ball = part @ middle.T + long * far
+            box = np.maximum(part, 0) @ self.high[:, lo:hi].T + np.minimum(part, 0) @ self.low[:, lo:hi].T
+            reach = np.sqrt(np.maximum(self.low[:, lo:hi] ** 2, self.high[:, lo:hi] ** 2).sum(axis=1))[None, :] + far
+            out.append(np.minimum(ball, box) + 1e-9 * long * reach + 1)  # more than the rounding of doubles
+        return np.stack(out)
+
+
+def passing(partial: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """(query, group): whether some list's bound reaches the cutoff's uniform share, and the sum of all the cutoff."""
+    share = tau[:, None] / len(partial)
+    return ((partial >= share).any(axis=0)) & (partial.sum(axis=0) >= tau[:, None])
+
+
+def _matrix(column: pa.ListArray | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
+
+
+def _by_length(b: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of the batch's vectors."""
+    size = pc.list_value_length(b[column]).to_numpy(zero_copy_only=False)
+    for d in np.unique(size).tolist():
+        yield int(d), np.flatnonzero(size == d)
+
 
-    Without ``tau`` these are the resolved heads of its lists (phase one); with the cutoffs ``tau`` and the
-    lists' floors over all blocks, the best k of the entries that may reach the cutoff (phases two and three).
+def pivots(vectors: DataFrame, cells: int, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
+    """Middles of at most ``cells`` cells for each length, fitted on a sample of at most ``SAMPLE`` vectors, those first by a hash."""
+    rows = vectors.select("x").orderBy(F.xxhash64("vec_id", "x")).limit(SAMPLE).toArrow()["x"].to_pylist()
+    by: dict[int, list] = {}
+    for x in rows:
+        by.setdefault(len(x), []).append(x)
+    out = {}
+    for d, some in by.items():
+        x = np.array(some, np.float64).reshape(len(some), d)
+        n = max(1, cells * len(some) // len(rows))
+        middle = np.unique(x, axis=0)
+        middle = middle[np.random.default_rng(1).permutation(len(middle))[:n]]
+        for _ in range(rounds):
+            near = nearest(x, middle)
+            count = np.bincount(near, minlength=len(middle))
+            total = np.stack([np.bincount(near, x[:, j], len(middle)) for j in range(d)], axis=1) if d else np.zeros((len(middle), 0))
+            middle = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], middle)
+        out[d] = middle
+    return out
+
+
+def nearest(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    square = (middle**2).sum(axis=1)[None, :]
+    return np.concatenate([(square - 2 * x[k : k + 1024] @ middle.T).argmin(axis=1) for k in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
+
+
+BLOCK = "dim int, cell int, part long, ids array<long>, data binary, middle binary, radius binary, low binary, high binary"
+
+
+def _index(vectors: DataFrame, slices: int, scratch: Scratch, cells: int) -> DataFrame:
+    """Every vector in a block of its cell; a cell with more vectors has more blocks, so a hot one is spread out."""
+    middles = pivots(vectors, cells)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, cell = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+            for d, at in _by_length(b, "x"):
+                dim[at] = d
+                if d in middles:  # a length that is not in the sample is one cell
+                    cell[at] = nearest(_matrix(b["x"].take(pa.array(at)), d).astype(np.float64), middles[d])
+            yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(cell), b["vec_id"], b["x"]], ["dim", "cell", "vec_id", "x"])
+
+    placed = scratch.write(vectors.select("vec_id", "x").mapInArrow(assign, "dim int, cell int, vec_id long, x array<long>"), "placed")
+    size = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / VECTOR_BLOCK)).cast("long")
+    salted = placed.join(size, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts))
+    packed = salted.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("vec_id", "x")).alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, v = b["dim"][i].as_py(), b["v"][i].values
+                x = _matrix(v.field("x"), dim)
+                box = Bounds.of(x, slices)
+                made = [m.tobytes() for m in (x, box.middle, box.radius, box.low, box.high)]
+                one = [pa.array([v.field("vec_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([m], pa.binary()) for m in made)]
+                yield pa.RecordBatch.from_arrays([b[c].slice(i, 1) for c in ("dim", "cell", "part")] + one, ["dim", "cell", "part", "ids", "data", "middle", "radius", "low", "high"])
+
+    return scratch.write(packed.mapInArrow(pack, BLOCK), "blocks")
+
+
+class Cells:
+    """The bounds of all cells: numbers of the order of the number of cells, whatever the number of vectors."""
+
+    def __init__(self, blocks: DataFrame, slices: int):
+        self.by: dict[int, tuple[np.ndarray, Bounds]] = {}
+        held: dict[tuple[int, int], list] = {}
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A task's blocks of a cell as one ball and one box: the ball is around the first block's middle."""
+            cells: dict[tuple[int, int], list] = {}
+            for b in batches:
+                for i in range(b.num_rows):
+                    key = b["dim"][i].as_py(), b["cell"][i].as_py()
+                    new = [np.frombuffer(b[c][i].as_py()) for c in ("middle", "radius", "low", "high")]
+                    cells[key] = _joined(cells[key], new, slices) if key in cells else new
+            if cells:
+                cols = [pa.array([k[0] for k in cells], pa.int32()), pa.array([k[1] for k in cells], pa.int32())]
+                cols += [pa.array([c[j].tobytes() for c in cells.values()], pa.binary()) for j in range(4)]
+                yield pa.RecordBatch.from_arrays(cols, ["dim", "cell", "middle", "radius", "low", "high"])
+
+        few = blocks.select("dim", "cell", "middle", "radius", "low", "high").coalesce(16)
+        for r in few.mapInArrow(merged, "dim int, cell int, middle binary, radius binary, low binary, high binary").collect():
+            new = [np.frombuffer(bytes(r[c])) for c in ("middle", "radius", "low", "high")]
+            key = r["dim"], r["cell"]
+            held[key] = _joined(held[key], new, slices) if key in held else new
+        for d in {k[0] for k in held}:
+            keys = sorted(k for k in held if k[0] == d)
+            made = [np.array([held[k][j] for k in keys]) for j in range(4)]
+            self.by[d] = np.array([k[1] for k in keys], np.int32), Bounds(slices, *made)
+
+
+def _joined(a: list, b: list, slices: int) -> list:
+    far = [max(a[1][s], np.sqrt(((a[0][lo:hi] - b[0][lo:hi]) ** 2).sum()) * (1 + 1e-12) + b[1][s]) for s, (lo, hi) in enumerate(cuts(len(a[0]), slices))]
+    return [a[0], np.array(far), np.minimum(a[2], b[2]), np.maximum(a[3], b[3])]
+
+
+def _sent(queries: DataFrame, cells: Cells, heads: bool) -> DataFrame:
+    """The queries once for each cell that they are sent to, packed: (dim, cell, queries).
+
+    ``queries``: (query_id, x) for the heads of the lists, and tau, last beside them for all cells that the cutoff leaves.
     """
-    dim = q.shape[1]
-    cuts = [(int(c[0]), int(c[-1]) + 1) for c in np.array_split(np.arange(dim), slices) if len(c)] or [(0, 0)]
-    most = [int(np.abs(m).max()) if m.size else 0 for m in (q, v)]
-    exact = dim * most[0] * most[1] < 2**52
-    for a in range(0, len(qid), TILE):
-        part = np.stack([_product(q[a : a + TILE, lo:hi], v[:, lo:hi], exact) for lo, hi in cuts])
-        for r, query in enumerate(qid[a : a + TILE]):
-            lists, m = part[:, r, :], len(cuts)
-            if tau is None:
-                head = max(0, len(vid) - k - 1)  # one more than k: the query's own vector may be among them
-                seen = np.unique(np.argpartition(lists, head, axis=1)[:, head:])
-            else:
-                low, least = floor[a + r], tau[a + r]
-                share = least - int(low.sum())
-                sent = (lists - low[:, None]) * m >= share
-                seen = np.flatnonzero(sent.any(axis=0))
-                bound = np.where(sent[:, seen], lists[:, seen], (low + max(0, -(-share // m)))[:, None])
-                seen = seen[bound.sum(axis=0) >= least]
-            seen = seen[vid[seen] != query]
-            total = lists[:, seen].sum(axis=0)
-            if tau is not None:
-                seen, total = seen[total >= least], total[total >= least]
-            best = _first(total, vid[seen], k)
-            yield int(query), vid[seen][best].tolist(), total[best].tolist(), lists.min(axis=1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(s, QUERY_BLOCK)
+                for d, at in _by_length(part, "x"):
+                    if d not in cells.by:
+                        continue
+                    names, bounds = cells.by[d]
+                    found = bounds.partial(_matrix(part["x"].take(pa.array(at)), d))
+                    if heads:
+                        best = np.concatenate([found.argmax(axis=2), found.sum(axis=0).argmax(axis=1)[None]]).T
+                        row, cell = np.repeat(np.arange(len(at)), best.shape[1]), best.ravel()
+                        pairs = np.unique(np.column_stack([row, cell]), axis=0)
+                        row, cell = pairs[:, 0], pairs[:, 1]
+                    else:
+                        row, cell = np.nonzero(passing(found, part["tau"].to_numpy()[at].astype(np.float64)))
+                    here = part.take(pa.array(at[row]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(names[cell]), *here.columns], ["dim", "cell", *here.schema.names])
+
+    made = queries.mapInArrow(run, "dim int, cell int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema))
+    # the queries of a hot cell are dealt to several packs
+    size = made.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("packs"))
+    salt = F.pmod(F.xxhash64("query_id", "x"), F.col("packs"))
+    return made.join(size, ["dim", "cell"]).groupBy("dim", "cell", salt.alias("pack")).agg(F.collect_list(F.struct(*queries.columns)).alias("q")).drop("pack")
+
+
+FOUND = "query_id long, vec_ids array<long>, scores array<long>, resolved long"
+
+
+def resolve(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, bounds: Bounds | None = None, tau: np.ndarray | None = None, last: np.ndarray | None = None):
+    """Each query's (id, vec_ids, scores, products made) of its best k in a block of vectors, of those that reach its cutoff."""
+    some = np.arange(len(qid)) if tau is None else np.flatnonzero(passing(bounds.partial(q), tau.astype(np.float64))[:, 0])
+    if not len(some):
+        return
+    score = _product(q[some], v)
+    for i, s in zip(some.tolist(), score, strict=True):
+        keep = vid != qid[i]
+        if tau is not None:
+            keep &= (s > tau[i]) | ((s == tau[i]) & (vid <= last[i]))
+        at = np.flatnonzero(keep)
+        best = at[_first(s[at], vid[at], k)]
+        yield int(qid[i]), vid[best].tolist(), s[best].tolist(), len(vid)
 
 
 def _scan(k: int, slices: int, cutoff: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                dim = b["dim"][i].as_py()
-                qid, vid = (b[c][i].values.to_numpy() for c in ("q_ids", "ids"))
-                q, v = (np.frombuffer(b[c][i].as_buffer(), np.int64).reshape(len(ids), dim) for c, ids in (("q_data", qid), ("data", vid)))
-                tau = floor = None
+                dim, rows = b["dim"][i].as_py(), b["q"][i].values
+                qid, vid = rows.field("query_id").to_numpy(), b["ids"][i].values.to_numpy()
+                q, v = _matrix(rows.field("x"), dim), np.frombuffer(b["data"][i].as_buffer(), np.int64).reshape(len(vid), dim)
+                more: tuple = ()
                 if cutoff:
-                    known = {c["query_id"]: c for c in b["cutoffs"][i].as_py()}
-                    tau = [known[x]["tau"] for x in qid.tolist()]
-                    floor = [np.array(known[x]["floor"], np.int64) for x in qid.tolist()]
-                out = list(meet(qid, q, vid, v, k, slices, tau, floor))
-                kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "vec_ids", "scores", "low"])
+                    box = [np.frombuffer(b[c][i].as_py())[None, :] for c in ("middle", "radius", "low", "high")]
+                    more = Bounds(slices, *box), rows.field("tau").to_numpy(), rows.field("last").to_numpy()
+                out = list(resolve(qid, q, vid, v, k, *more))
+                if out:
+                    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "vec_ids", "scores", "resolved"])
 
     return run
 
 
-FOUND = "query_id long, vec_ids array<long>, scores array<long>, low array<long>"
-
-
 def _entries(found: DataFrame, k: int) -> DataFrame:
     """The k best entries of each query."""
-    from pyspark.sql import Window as W
-
     e = found.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e"))
     e = e.select("query_id", F.col("e.vec_ids").alias("vec_id"), F.col("e.scores").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return e.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
 
 
+def phases(queries: DataFrame, vectors: DataFrame, k: int, slices: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What phases one and three resolved, as (query_id, vec_ids, scores, resolved); the second holds the result."""
+    cells = min(CELLS, max(1, vectors.count() // CELL))
+    blocks = _index(vectors, slices, scratch, cells)
+    bounds = Cells(blocks, slices)
+    one = scratch.write(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x")), "queries")
+    names = ["dim", "cell", "q", "ids", "data"]
+    # a block and a pack of queries are of bounded size, and meet once
+    heads = _sent(one, bounds, True).join(blocks.where("part = 0"), ["dim", "cell"]).select(*names).mapInArrow(_scan(k, slices, False), FOUND)
+    heads = scratch.write(heads, "heads")
+    kth = _entries(heads, k).groupBy("query_id").agg(F.min("score").alias("least"), F.max_by("vec_id", "rank").alias("last"), F.count(F.lit(1)).alias("n"))
+    known = F.col("n") >= k
+    cut = one.join(kth, "query_id", "left").select("query_id", "x", F.when(known, F.col("least")).otherwise(F.lit(NO_CUTOFF)).alias("tau"), F.when(known, F.col("last")).otherwise(F.lit(LONG)).alias("last"))
+    cut = scratch.write(cut, "cut")
+    rest = _sent(cut, bounds, False).join(blocks, ["dim", "cell"]).select(*names, "middle", "radius", "low", "high").mapInArrow(_scan(k, slices, True), FOUND)
+    return heads, scratch.write(rest, "rest")
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, slices: int = SLICES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors with the highest inner product for each query.
 
     Both inputs hold (vec_id long, x array<long>) without nulls, as ``quantised`` gives them.  Ties go to the
-    smaller vec_id.  A query meets every vector but those of its own vec_id; rows that repeat vec_id and
-    components count once, and a vec_id queried with several vectors is queried with the smallest.  Vectors
-    of another length than the query's take no part.  Fewer vectors than k give them all; an empty table, none.
+    smaller vec_id.  A query meets every row but those of its own vec_id; rows that repeat vec_id and
+    components are entries of their own, and a vec_id queried with several vectors is queried with the smallest.  Vectors
+    of another length than the query's take no part.  Scores beyond the range of a long are cut to it.  Fewer vectors than k give
+    them all; an empty table, none.
     """
-    scratch = Scratch(vectors.sparkSession)
-    vectors = vectors.dropDuplicates(["vec_id", "x"])
-    lanes = min(MOST_LANES, 1 + 2 * (vectors.count() // VECTOR_BLOCK))
-    at = F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    v = scratch.write(_blocks(vectors, VECTOR_BLOCK).withColumn("lane", F.pmod(at, F.lit(lanes)).cast("int")), "vectors")
-    one = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
-    n = one.count()
-    q = _blocks(one.repartition(max(1, -(-n // QUERY_BLOCK)), "vec_id"), QUERY_BLOCK)
-    q = q.select(F.monotonically_increasing_id().alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    q = scratch.write(q, "queries")
-    # vectors stay in their lane, where every block of queries meets every block of vectors of its length; only the
-    # queries, the smaller side, are copied, once for each lane
-    copies = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-
-    def scan(q: DataFrame, cutoff: bool) -> DataFrame:
-        return v.join(q.select("*", copies), ["lane", "dim"]).mapInArrow(_scan(k, slices, cutoff), FOUND)
-
-    heads = scratch.write(scan(q, False), "heads")
-    kth = _entries(heads, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    low = heads.select("query_id", F.posexplode("low").alias("pos", "low")).groupBy("query_id", "pos").agg(F.min("low").alias("low"))
-    low = low.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "low"))).alias("low"))
-    tau = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(NO_CUTOFF))
-    cut = low.join(kth, "query_id", "left").select("query_id", tau.alias("tau"), F.col("low.low").alias("floor"))
-    cut = q.select("block", F.explode("q_ids").alias("query_id")).join(cut, "query_id")
-    cut = cut.groupBy("block").agg(F.collect_list(F.struct("query_id", "tau", "floor")).alias("cutoffs"))
-    return _entries(scan(q.join(cut, "block"), True), k).select("query_id", "rank", "vec_id", "score")
+    _, found = phases(queries, vectors, k, slices, Scratch(vectors.sparkSession))
+    return _entries(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +333,12 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), q AS (
+  SELECT vec_id, MIN(x) AS x FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, v.vec_id,
          CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+  FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x)
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM s
