@@ -1,11 +1,11 @@
 """SimHash near-duplicate detection over a Gray-ordered hierarchical index.
 
-Fingerprints that differ in at most ``bits`` of 64 bits agree on at least one of ``bits + r`` choose
-``r`` block combinations (pigeonhole), which deals them out to buckets.  In a bucket the distinct
-fingerprints are sorted by Gray rank; neighbours share many bits, so each run of eight is summed up
-by the bits all of them share (mask and pattern), runs of eight nodes likewise, up to one root.  A
-fingerprint walks the tree from the root and leaves a whole group as soon as its differences on the
-shared bits exceed the budget.
+The distinct fingerprints are sorted by Gray rank, all in one order; neighbours share many bits, so each run of
+eight is summed up by the bits all of them share (mask and pattern), runs of eight nodes likewise, up to the top.
+A fingerprint walks the tree from the top and leaves a whole group as soon as its differences on the
+shared bits exceed the budget.  The order is cut into leaves, each held by a task; the tree above the leaves, whose size is
+bounded, is sent to all tasks, so a fingerprint goes only to leaves that it may have neighbours in, and walks on there.
+Every pair is met once, in the leaf of the later fingerprint.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from .shared import Scratch, table
 
 FAN = 8
 SEED = 42
-#: Fingerprints of a bucket that are compared in one task; larger buckets are dealt out as tiles.
+#: Fingerprints of a leaf and the most leaves, beyond which leaves grow; fingerprints that meet a leaf in one task, and walk at once.
+LEAF, LEAVES, COMERS, WALKED = 1 << 15, 2048, 1 << 16, 256
+#: Texts of a band that are compared in one task; larger bands are dealt out as tiles.
 TILE = 2048
-#: Blocks are combined until they make this many bits, and until a bucket of evenly spread fingerprints has no more than this many.
-KEY_BITS, BUCKET = 11, 512
 #: Places of a sketch, and in how many of them two texts at 0.8 may differ: 24 are expected, with a standard deviation of 4.4.
 PLACES, WIDE = 128, 48
 #: Least values that make a band, and bands of a text: of pairs at 0.8 one in 300,000 shares none.
@@ -55,7 +55,12 @@ def _shingles(text: bytes | None, shingle: int) -> bytes:
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of a whole text; 0 where it has no word."""
-    raw = np.frombuffer(_shingles(text, shingle), np.uint8).reshape(-1, 8)  # digests are big-endian
+    return _majority(_shingles(text, shingle))
+
+
+def _majority(hashes: bytes) -> int:
+    """The fingerprint of 8-byte hashes, which are big-endian."""
+    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(raw), 1 << 15):
         ones += np.unpackbits(raw[k : k + (1 << 15)], axis=1).sum(axis=0, dtype=np.uint32)
@@ -116,25 +121,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, hash, node, second, bands): one row per document.
+    """(doc_id, hash, node, fp, second, bands): one row per document.
 
-    ``node`` is a number of the set of shingles, ``second`` the sketch, and ``bands`` numbers of ``BANDS`` groups of least
-    values; a text without words has none.
+    ``node`` is a number of the set of shingles, ``fp`` the fingerprint, ``second`` the sketch, and ``bands`` numbers of ``BANDS`` groups
+    of least values; a text without words has none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, second, bands = [], [], []
+            node, fp, second, bands = [], [], [], []
             for t in b.column(2):
-                h = _distinct(t.as_py(), shingle)
+                raw = _shingles(t.as_py(), shingle)
+                fp.append(_majority(raw))
+                h = np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
                 least = _minima(h)
                 node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 second.append(_packed(least))
                 bands.append([xxhash.xxh3_64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)] if len(h) else [])
-            made = [pa.array(node, pa.int64()), pa.array(second, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "node", "second", "bands"])
+            made = [pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(second, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "node", "fp", "second", "bands"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, node long, second binary, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, node long, fp long, second binary, bands array<long>")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -161,93 +168,183 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def linked(fps: np.ndarray, bucket: np.ndarray, bits: int = 3, second: np.ndarray | None = None, apart: int = 0, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join, within each bucket, all fingerprints connected by chains of ``bits`` or fewer differences.
+class Tree:
+    """Levels of summed-up fingerprints over a Gray order.
 
-    ``fps`` (uint64) and ``bucket`` (any integers) are parallel; with ``second`` sketches (rows of 64-bit words), a link
-    must also have sketches that differ in ``apart`` or fewer places.  Returns two arrays of indices: each fingerprint that is
-    not the first of its chain, and that first one; so never more links than fingerprints.
+    Level 0 are fingerprints, or groups of them given by the bits that all share: the ``mask`` of these bits and their
+    ``pattern``.  A node of a higher level sums up ``FAN`` neighbours by what their patterns share, up to at most ``FAN`` nodes at the top.
     """
-    order = np.lexsort((gray_rank(fps), bucket))
-    x, bucket = fps[order], bucket[order]
-    other = None if second is None else second[order]
-    n = len(x)
-    # level 0 are the fingerprints; each higher level sums up FAN nodes of one bucket
-    levels, key = [(x, np.full(n, ~np.uint64(0)), np.arange(n + 1))], bucket
-    low = high = x
-    while True:
-        first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
-        size = np.diff(np.r_[first, len(key)])
-        if (size == 1).all():
-            break
-        cut = np.concatenate([np.arange(f, f + s, FAN) for f, s in zip(first[size > FAN], size[size > FAN], strict=True)] + [first[size <= FAN]])
-        cut.sort()
-        low, high, key = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut), key[cut]
-        mask = ~(low ^ high)
-        levels.append((low & mask, mask, np.r_[cut, levels[-1][2].size - 1]))
-    label = np.arange(n)
-    if len(levels) == 1:
-        return order[:0], order[:0]
-    roots = np.searchsorted(key, bucket)
-    ends = [np.arange(1, n + 1)]  # for each node, one past its last fingerprint
-    for _, _, cut in levels[1:]:
-        ends.append(ends[-1][cut[1:] - 1])
-    for k in range(0, n, step):
-        q = np.arange(k, min(n, k + step))
-        node = roots[q]
-        for depth in range(len(levels) - 1, 0, -1):
-            cut = levels[depth][2]
-            width = cut[node + 1] - cut[node]
-            q = np.repeat(q, width)
-            node = np.repeat(cut[node], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            pattern, mask, _ = levels[depth - 1]
-            keep = ends[depth - 1][node] > q + 1  # only pairs with a later fingerprint
-            q, node = q[keep], node[keep]
-            keep = np.bitwise_count((x[q] ^ pattern[node]) & mask[node]) <= bits
-            q, node = q[keep], node[keep]
-        if other is not None:
-            unlike = label[q] != label[node]  # what is linked already needs no confirmation
-            q, node = q[unlike], node[unlike]
-            near = [differing(other[q[s : s + STEP]], other[node[s : s + STEP]]) <= apart for s in range(0, len(q), STEP)]
-            keep = np.concatenate(near) if near else np.zeros(0, bool)
+
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray | None = None):
+        self.masked = mask is not None
+        mask = mask if self.masked else np.full(len(pattern), ~np.uint64(0))
+        self.levels, self.visits = [(pattern, mask)], 0
+        while len(self.levels[-1][0]) > FAN:
+            pattern, mask = self.levels[-1]
+            cut = np.arange(0, len(pattern), FAN)
+            low, high = np.bitwise_and.reduceat(pattern, cut), np.bitwise_or.reduceat(pattern, cut)
+            shared = np.bitwise_and.reduceat(mask, cut) & ~(low ^ high)
+            self.levels.append((low & shared, shared))
+
+    def walk(self, x: np.ndarray, start: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, place at level 0) of all pairs that differ in ``bits`` or fewer shared bits, from place ``start`` on.
+
+        A fingerprint leaves a whole group as soon as its differences on the bits the group shares exceed ``bits``.
+        """
+        top, before = len(self.levels) - 1, bool(start.any())
+        size = len(self.levels[top][0])
+        q, node = np.repeat(np.arange(len(x), dtype=np.int32), size), np.tile(np.arange(size, dtype=np.int32), len(x))
+        for depth in range(top, -1, -1):
+            pattern, mask = self.levels[depth]
+            if before:
+                keep = node >= (start // FAN**depth)[q]
+                q, node = q[keep], node[keep]
+            self.visits += len(q)
+            differ = x[q]
+            differ ^= pattern[node]
+            if depth or self.masked:
+                differ &= mask[node]
+            keep = np.flatnonzero(np.bitwise_count(differ) <= bits)
             q, node = q[keep], node[keep]
-        label = _merge(label, q, node)
-    rest = np.flatnonzero(label != np.arange(n))
-    return order[rest], order[label[rest]]
+            if depth:
+                q, node = np.repeat(q, FAN), (node[:, None] * np.int32(FAN) + np.arange(FAN, dtype=np.int32)).ravel()
+                if len(node) and len(self.levels[depth - 1][0]) % FAN:
+                    keep = node < len(self.levels[depth - 1][0])
+                    q, node = q[keep], node[keep]
+        return q, node
+
+
+class Leaf:
+    """The fingerprints of a stretch of the Gray order, in order, which are joined with all that come to it."""
+
+    def __init__(self, fps: np.ndarray, rank: np.ndarray, bits: int):
+        self.tree, self.rank, self.bits = Tree(fps), rank, bits
+        self.label = np.arange(len(fps))
+
+    def meet(self, x: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joins fingerprints with the later ones of the leaf that they are near.
+
+        Returns (place in x, place in the leaf) of one link for each fingerprint that is not the leaf's own; all other links are
+        kept as labels of the leaf's places.
+        """
+        here, there = [], []
+        for s in range(0, len(x), WALKED):
+            some, ranks = x[s : s + WALKED], rank[s : s + WALKED]
+            start = np.searchsorted(self.rank, ranks, "right")
+            q, at = self.tree.walk(some, start, self.bits)
+            if not len(q):
+                continue
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if (q[1:] >= q[:-1]).all() else np.unique(q, return_index=True)[1]
+            one = np.zeros(len(some), np.int64)
+            one[q[first]] = at[first]
+            own = (start > 0) & (self.rank[np.maximum(start, 1) - 1] == ranks)
+            base = np.where(own, start - 1, one)
+            self.label = _merge(self.label, base[q], at)
+            come = q[first][~own[q[first]]]
+            here.append(come + s)
+            there.append(one[come])
+        empty = np.zeros(0, np.int64)
+        return np.concatenate(here or [empty]), np.concatenate(there or [empty])
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, first place) of the leaf's own fingerprints that are linked."""
+        rest = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return rest, self.label[rest]
+
+
+def _rank(fp: str) -> F.Column:
+    """The place in the sequence of Gray codes as a long whose order is the order of places."""
+    x = F.col(fp)
+    for s in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _bucket_rows(nodes: DataFrame, blocks: int, match: int) -> DataFrame:
-    """One row per node and combination of ``match`` of the ``blocks`` bit blocks."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for some in combinations(range(blocks), match):
-        m = 0
-        for k in some:
-            m |= ((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    made = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    return nodes.select("*", made.alias("bucket"))
+def leaves_of(nodes: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
+    """(node, fp, rank, leaf): the nodes in Gray order, cut into stretches of about ``leaf`` nodes, or ``LEAVES`` longer ones."""
+    n = max(1, min(LEAVES, -(-nodes.count() // leaf)))
+    ranked = nodes.select("node", "fp", _rank("fp").alias("rank"))
+    return scratch.write(ranked.repartitionByRange(n, "rank").withColumn("leaf", F.spark_partition_id()), "leaves")
 
 
-def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, apart: int = 0, tile: int = TILE) -> DataFrame:
+def upper_tree(placed: DataFrame) -> tuple[np.ndarray, Tree]:
+    """The numbers of the leaves, and the tree over what the fingerprints of each share: a few numbers for each leaf."""
+    rows = sorted(tuple(r) for r in placed.groupBy("leaf").agg(F.bit_and("fp"), F.bit_or("fp")).collect())
+    low, high = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (1, 2))
+    return np.array([r[0] for r in rows], np.int64), Tree(low & ~(low ^ high), ~(low ^ high))
+
+
+def routed(placed: DataFrame, names: np.ndarray, tree: Tree, bits: int) -> DataFrame:
+    """Every node in its own leaf, and in each later leaf that the differences on its shared bits leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, WALKED):
+                part = b.slice(s, WALKED)
+                own = np.searchsorted(names, part["leaf"].to_numpy())
+                q, at = tree.walk(part["fp"].to_numpy().view(np.uint64), own + 1, bits)
+                q, at = np.r_[np.arange(len(own)), q], np.r_[own, at]
+                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(q)) for c in ("node", "fp", "rank")), pa.array(names[at].astype(np.int32))], ["node", "fp", "rank", "leaf"])
+
+    return placed.select("node", "fp", "rank", "leaf").mapInArrow(run, "node long, fp long, rank long, leaf int")
+
+
+def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, leaf: int = LEAF, comers: int = COMERS) -> DataFrame:
     """(u, v) pairs of nodes whose chains hold every pair of fingerprints at ``bits`` or fewer differing bits.
 
-    ``nodes``: (node long, fp long[, second binary]), each node once; with sketches, a link must be confirmed by them.  A bucket with more than ``tile`` nodes is cut into
-    chunks, and every two chunks meet in a task of their own: nothing is dropped, no task grows with
-    the bucket.
+    ``nodes``: (node long, fp long), each node and each fingerprint once.  The upper tree, of at most ``LEAVES`` leaves, goes to all
+    tasks; fingerprints go only to leaves that it leaves open.  A leaf that more than ``comers`` come to is met in
+    several tasks: nothing is dropped, and no task grows with a group of near fingerprints.
     """
-    n, match = nodes.count(), 1
-    while (made := 64 * match // (bits + match)) < KEY_BITS or n >> made > BUCKET:
-        match += 1
-    rows = _tiled(_bucket_rows(nodes, bits + match, match), scratch, tile)
-    names = ["node", "fp", *(["second"] if "second" in nodes.columns else []), "bucket"]
+    placed = leaves_of(nodes, scratch, leaf)
+    if not placed.limit(1).count():
+        return placed.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    queries = scratch.write(routed(placed, *upper_tree(placed), bits), "routed")
+    parts = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / comers).cast("int").alias("parts"))
+    parts = F.broadcast(scratch.write(parts, "parts"))  # a row for each of at most LEAVES leaves
+    part = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
+    come = queries.join(parts, "leaf").select("leaf", part.alias("part"), F.lit(1).alias("kind"), "rank", "node", "fp")
+    held = placed.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rank", "node", "fp")
+    by = ["leaf", "part"]
+    return held.union(come).repartition(*by).sortWithinPartitions(*by, "kind", "rank").mapInArrow(_met(bits), "u long, v long")
+
+
+def _met(bits: int):
+    """Joins the nodes of each leaf (kind 0), which come first, with those that come to it (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held, leaf, nodes = None, [], None, None
+
+        def out(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        second = _words(t["second"]) if "second" in names else None
-        return linked(t["fp"].to_numpy().view(np.uint64), t["bucket"].to_numpy(), bits, second, apart)
+        def close() -> Iterator[pa.RecordBatch]:
+            if leaf is not None:
+                a, b = leaf.joined()
+                yield from out(nodes[a], nodes[b])
 
-    # a hash may put two buckets under one number: pairs are compared on all 64 bits, so no link is wrong
-    return _in_buckets(rows.select(*names), found)
+        for b in batches:
+            place, part, kind, rank, node, fp = (b[c].to_numpy() for c in ("leaf", "part", "kind", "rank", "node", "fp"))
+            cut = np.flatnonzero((place[1:] != place[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip(np.r_[0, cut], np.r_[cut, len(place)], strict=True):
+                if s == e:
+                    continue
+                if (place[s], part[s]) != slot:
+                    yield from close()
+                    slot, held, leaf, nodes = (place[s], part[s]), [], None, None
+                here = fp[s:e].view(np.uint64), rank[s:e], node[s:e]
+                if not kind[s]:
+                    held.append(here)
+                    continue
+                if leaf is None:
+                    fps, ranks, nodes = (np.concatenate(c) for c in zip(*held, strict=True))
+                    leaf, held = Leaf(fps, ranks, bits), []
+                u, v = leaf.meet(*here[:2])
+                yield from out(here[2][u], nodes[v])
+        yield from close()
+
+    return run
 
 
 def _tiled(rows: DataFrame, scratch: Scratch, tile: int, name: str = "large") -> DataFrame:
@@ -327,17 +424,32 @@ def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_links(docs: DataFrame, all_: DataFrame, scratch: Scratch, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _by_bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v) links between nodes that share a band and have like sketches."""
+    rows = _tiled(nodes.select("node", "second", F.explode("bands").alias("bucket")), scratch, TILE)
+    return _in_buckets(rows, lambda t: alike(t["bucket"].to_numpy(), _words(t["second"])))
+
+
+def _by_index(nodes: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
+    """(u, v) links that join the nodes whose fingerprints the Gray index links; a fingerprint is a node of its own, by its hash."""
+    fps = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    fps = scratch.write(fps.select(F.col("fp").alias("node"), "fp", "n"), "prints")
+    pairs = scratch.write(links(fps.select("node", "fp"), scratch, bits), "print-links")
+    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).union(fps.where("n > 1").select("fp")).distinct()
+    own = nodes.select("node", "fp").join(wanted, "fp").select(F.col("node").alias("u"), F.xxhash64("fp").alias("v"))
+    return own.union(pairs.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
+
+
+def near_links(docs: DataFrame, all_: DataFrame, scratch: Scratch, percent: int, shingle: int, id_col: str, text_col: str, bits: int = 3) -> DataFrame:
     """(u, v) pairs of nodes whose chains hold every pair of texts with a Jaccard similarity of so many per cent or more.
 
-    Texts that share a band and have like sketches are candidates.  All pairs of like sketches within a component of candidates
+    Candidates are texts whose fingerprints the Gray index links, and, as no budget that an index of 64 bits can prune by reaches
+    texts as far apart as 0.8, texts that share a band and have like sketches.  All pairs of like sketches within a component of candidates
     are compared by all their shingles, in tiles where it has more than ``SETS`` texts.
     """
-    nodes = all_.groupBy("node").agg(F.min(F.struct("doc_id", "hash", "second", "bands")).alias("of"))
+    nodes = all_.groupBy("node").agg(F.min(F.struct("doc_id", "hash", "fp", "second", "bands")).alias("of"))
     nodes = scratch.write(nodes.select("node", "of.*"), "nodes")
-    rows = _tiled(nodes.select("node", "second", F.explode("bands").alias("bucket")), scratch, TILE)
-    likely = _in_buckets(rows, lambda t: alike(t["bucket"].to_numpy(), _words(t["second"])))
-    roots = components(likely, scratch, "likely")
+    roots = components(_by_index(nodes, scratch, bits).union(_by_bands(nodes, scratch)), scratch, "likely")
     wanted = nodes.select("node", "doc_id", "hash").join(roots, "node").select("node", F.col("root").alias("bucket"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
     wanted = scratch.write(wanted, "wanted")
     texts = _texts(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "bucket", "text")
@@ -358,7 +470,7 @@ def near_links(docs: DataFrame, all_: DataFrame, scratch: Scratch, percent: int,
 
     # rows that share id and text come more than once
     made = scratch.write(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, bucket long, second binary, set binary"), "sets")
-    scratch.drop("likely-roots", "wanted", "nodes", "large")
+    scratch.drop("likely-roots", "wanted", "nodes", "large", "leaves", "routed", "parts", "prints", "print-links")
     return _in_buckets(_tiled(made, scratch, SETS, "large-sets").select("node", "second", "set", "bucket"), confirmed)
 
 
@@ -371,7 +483,7 @@ def _named(all_: DataFrame, pairs: DataFrame, scratch: Scratch, name: F.Column)
     # written, so that the join reads both sides from their own shuffle and a large component can be split
     found = scratch.write(member.groupBy("root").agg(F.min("rep").alias("component")), "components")
     named = scratch.write(member.join(found, "root").select("node", "component"), "named")
-    scratch.drop("nodes", "large", "sets", "large-sets", "cc-roots", "members", "components")
+    scratch.drop("nodes", "large", "leaves", "routed", "parts", "sets", "large-sets", "cc-roots", "members", "components")
     return named
 
 
@@ -397,8 +509,8 @@ def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """The documents with one of each group of near copies, the one with the smallest id, with all their columns.
 
     Two documents are near copies if the sets of their five-word shingles have a Jaccard similarity of ``percent`` per cent or
-    more, which is computed from all shingles; groups are chains of near copies.  Candidates come from bands of least hashes (see
-    ``BANDS`` and ``WIDE``), chosen for 80 per cent and more.  Of rows that
+    more, which is computed from all shingles; groups are chains of near copies.  Candidates come from the Gray index over five-word
+    fingerprints at 3 bits and from bands of least hashes (see ``BANDS`` and ``WIDE``), chosen for 80 per cent and more.  Of rows that
     share id and text one stays.  Texts without words are copies of each other.  Null ids come first.
     """
     scratch = Scratch(docs.sparkSession)

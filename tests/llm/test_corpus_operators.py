@@ -109,20 +109,46 @@ def test_fingerprint_by_definition():
     assert simhash.fingerprint(None) == 0
 
 
-@pytest.mark.parametrize("bits", [1, 3, 8])
-def test_index_links_against_all_pairs(bits):
-    rng = np.random.default_rng(bits)
+def near_prints(seed, bits):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(z) for z in set(rng.integers(0, 64, rng.integers(0, 2 + bits))))) for b in base for _ in range(20)]
-    fps = np.unique(np.array(near, np.uint64))
-    bucket = rng.integers(0, 3, len(fps))
-    second = rng.integers(0, 2, (len(fps), 8), dtype=np.uint64) * np.uint64(0x10)
-    close = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits) & (bucket[:, None] == bucket[None, :])
-    u, v = simhash.linked(fps, bucket, bits, step=64)
-    assert unions(len(fps), zip(u, v, strict=True)) == unions(len(fps), zip(*np.nonzero(close), strict=True))
-    both = close & ((second[:, None] != second[None, :]).sum(axis=2) <= 4)
-    u, v = simhash.linked(fps, bucket, bits, second, 4, step=64)
-    assert unions(len(fps), zip(u, v, strict=True)) == unions(len(fps), zip(*np.nonzero(both), strict=True))
+    return np.unique(np.array(near, np.uint64))
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_index_links_against_all_pairs(bits, monkeypatch):
+    monkeypatch.setattr(simhash, "WALKED", 64)
+    fps = near_prints(bits, bits)
+    rank = (simhash.gray_rank(fps) ^ np.uint64(1 << 63)).view(np.int64)
+    order = np.argsort(rank)
+    fps, rank = fps[order], rank[order]
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
+    # the walk finds each pair from a place on, and no other
+    start = np.arange(len(fps)) * 2 % len(fps)
+    q, at = simhash.Tree(fps).walk(fps, start, bits)
+    assert sorted(zip(q.tolist(), at.tolist(), strict=True)) == [(i, j) for i, j in zip(*np.nonzero(close), strict=True) if j >= start[i]]
+    # a leaf of some, met by all
+    for some in (np.arange(len(fps)), np.arange(len(fps) // 3, len(fps))):
+        leaf = simhash.Leaf(fps[some], rank[some], bits)
+        u, v = leaf.meet(fps, rank)
+        a, b = leaf.joined()
+        got = [(int(i), int(some[j])) for i, j in zip(u, v, strict=True)] + [(int(some[i]), int(some[j])) for i, j in zip(a, b, strict=True)]
+        want = [(i, j) for i, j in zip(*np.nonzero(close), strict=True) if j in some and (i in some or i < some[0])]
+        assert unions(len(fps), got) == unions(len(fps), want) and len(got) <= len(fps)
+
+
+def test_groups_are_left_by_accumulated_differences():
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    tree = simhash.Tree(fps)
+    for (pattern, mask), (above, over) in zip(tree.levels, tree.levels[1:], strict=False):
+        group = np.arange(len(pattern)) // simhash.FAN
+        assert (over[group] & ~mask == 0).all() and ((pattern ^ above[group]) & over[group] == 0).all()
+    tree.walk(fps[:500], np.zeros(500, np.int64), 3)
+    print("visits a fingerprint:", tree.visits / 500, "of", len(fps))
+    assert tree.visits / 500 < len(fps) / 3
 
 
 def test_sketch_estimates_similarity():
@@ -135,16 +161,17 @@ def test_sketch_estimates_similarity():
     assert simhash.sketch(None) == simhash.sketch(b" \n") == bytes(64) and len(simhash.sketch(b"one")) == 64
 
 
-@pytest.mark.parametrize("tile", [8, 2048])
-def test_links_over_tiles(spark, tile):
-    rng = np.random.default_rng(tile)
+@pytest.mark.parametrize("leaf, comers", [(8, 4), (16, 1 << 16), (1 << 15, 7)])
+def test_links_over_leaves(spark, leaf, comers):
+    rng = np.random.default_rng(leaf)
     base = int(rng.integers(0, 2**63))
-    fps = sorted({base ^ sum(1 << int(z) for z in set(rng.integers(0, 64, 3))) for _ in range(60)} | {int(x) for x in rng.integers(0, 2**63, 20)})
+    fps = sorted({base ^ sum(1 << int(z) for z in set(rng.integers(0, 64, 3))) for _ in range(60)} | {int(x) for x in rng.integers(0, 2**63, 20)} | {int(x) for x in near_prints(leaf, 3)})
     nodes = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "node long, fp long")
     at = {signed(f): i for i, f in enumerate(fps)}
-    got = [(at[r["u"]], at[r["v"]]) for r in simhash.links(nodes, Scratch(spark), tile=tile).collect()]
+    got = [(at[r["u"]], at[r["v"]]) for r in simhash.links(nodes, Scratch(spark), leaf=leaf, comers=comers).collect()]
     want = [(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if (a ^ b).bit_count() <= 3]
     assert unions(len(fps), got) == unions(len(fps), want)
+    assert simhash.links(nodes.limit(0), Scratch(spark)).collect() == []
 
 
 def test_components(spark):
