@@ -24,8 +24,8 @@ from .shared import Scratch, table
 
 FAN = 8
 SEED = 42
-#: Fingerprints of a leaf and the most leaves, beyond which leaves grow; fingerprints that meet a leaf in one task, and walk at once.
-LEAF, LEAVES, COMERS, WALKED = 1 << 15, 2048, 1 << 16, 256
+#: Fingerprints of a leaf, the fewest leaves and the most, beyond which they grow; fingerprints that meet a leaf in one task, and walk at once.
+LEAF, SPREAD, LEAVES, COMERS, WALKED = 1 << 15, 32, 2048, 1 << 16, 256
 #: Texts of a band that are compared in one task; larger bands are dealt out as tiles.
 TILE = 2048
 #: Places of a sketch, and in how many of them two texts at 0.8 may differ: 24 are expected, with a standard deviation of 4.4.
@@ -252,19 +252,34 @@ class Leaf:
         return rest, self.label[rest]
 
 
-def _rank(fp: str) -> F.Column:
+def _signed_rank(fp: np.ndarray) -> np.ndarray:
     """The place in the sequence of Gray codes as a long whose order is the order of places."""
+    return (gray_rank(fp.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _rank(fp: str) -> F.Column:
+    """The same as an expression."""
     x = F.col(fp)
     for s in (1, 2, 4, 8, 16, 32):
         x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def leaves_of(nodes: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
-    """(node, fp, rank, leaf): the nodes in Gray order, cut into stretches of about ``leaf`` nodes, or ``LEAVES`` longer ones."""
-    n = max(1, min(LEAVES, -(-nodes.count() // leaf)))
-    ranked = nodes.select("node", "fp", _rank("fp").alias("rank"))
-    return scratch.write(ranked.repartitionByRange(n, "rank").withColumn("leaf", F.spark_partition_id()), "leaves")
+def leaves_of(prints: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
+    """(fp, leaf): fingerprints by stretches of the Gray order, cut at approximate quantiles.
+
+    There are ``SPREAD`` stretches, as many as it takes for ``leaf`` fingerprints in each, or ``LEAVES`` longer ones.
+    """
+    n = max(1, min(LEAVES, max(SPREAD, -(-prints.count() // leaf))))
+    at = [k / n for k in range(1, n)] or [0.5]
+    cut = np.unique(np.array(prints.agg(F.percentile_approx(_rank("fp"), at, 20 * n)).first()[0] or [], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rank = _signed_rank(b["fp"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array(np.searchsorted(cut, rank, "right").astype(np.int32))], ["fp", "leaf"])
+
+    return scratch.write(prints.select("fp").mapInArrow(run, "fp long, leaf int"), "leaves")
 
 
 def upper_tree(placed: DataFrame) -> tuple[np.ndarray, Tree]:
@@ -275,7 +290,7 @@ def upper_tree(placed: DataFrame) -> tuple[np.ndarray, Tree]:
 
 
 def routed(placed: DataFrame, names: np.ndarray, tree: Tree, bits: int) -> DataFrame:
-    """Every node in its own leaf, and in each later leaf that the differences on its shared bits leave open."""
+    """(fp, leaf): every fingerprint in its own leaf, and in each later leaf that the differences on its shared bits leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,36 +299,39 @@ def routed(placed: DataFrame, names: np.ndarray, tree: Tree, bits: int) -> DataF
                 own = np.searchsorted(names, part["leaf"].to_numpy())
                 q, at = tree.walk(part["fp"].to_numpy().view(np.uint64), own + 1, bits)
                 q, at = np.r_[np.arange(len(own)), q], np.r_[own, at]
-                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(q)) for c in ("node", "fp", "rank")), pa.array(names[at].astype(np.int32))], ["node", "fp", "rank", "leaf"])
+                yield pa.RecordBatch.from_arrays([part["fp"].take(pa.array(q)), pa.array(names[at].astype(np.int32))], ["fp", "leaf"])
 
-    return placed.select("node", "fp", "rank", "leaf").mapInArrow(run, "node long, fp long, rank long, leaf int")
+    return placed.mapInArrow(run, "fp long, leaf int")
 
 
-def links(nodes: DataFrame, scratch: Scratch, bits: int = 3, leaf: int = LEAF, comers: int = COMERS) -> DataFrame:
-    """(u, v) pairs of nodes whose chains hold every pair of fingerprints at ``bits`` or fewer differing bits.
+def links(prints: DataFrame, scratch: Scratch, bits: int = 3, leaf: int = LEAF, comers: int = COMERS) -> DataFrame:
+    """(u, v) pairs of fingerprints whose chains hold every pair at ``bits`` or fewer differing bits.
 
-    ``nodes``: (node long, fp long), each node and each fingerprint once.  The upper tree, of at most ``LEAVES`` leaves, goes to all
+    ``prints``: (fp long), each once.  The upper tree, of at most ``LEAVES`` leaves, goes to all
     tasks; fingerprints go only to leaves that it leaves open.  A leaf that more than ``comers`` come to is met in
     several tasks: nothing is dropped, and no task grows with a group of near fingerprints.
     """
-    placed = leaves_of(nodes, scratch, leaf)
+    placed = leaves_of(prints, scratch, leaf)
     if not placed.limit(1).count():
-        return placed.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    queries = scratch.write(routed(placed, *upper_tree(placed), bits), "routed")
-    parts = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / comers).cast("int").alias("parts"))
+        return placed.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    come = scratch.write(routed(placed, *upper_tree(placed), bits), "routed")
+    parts = come.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / comers).cast("long").alias("parts"))
     parts = F.broadcast(scratch.write(parts, "parts"))  # a row for each of at most LEAVES leaves
-    part = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
-    come = queries.join(parts, "leaf").select("leaf", part.alias("part"), F.lit(1).alias("kind"), "rank", "node", "fp")
-    held = placed.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rank", "node", "fp")
-    by = ["leaf", "part"]
-    return held.union(come).repartition(*by).sortWithinPartitions(*by, "kind", "rank").mapInArrow(_met(bits), "u long, v long")
+
+    def slot(part) -> F.Column:
+        return (F.col("leaf").cast("long") * (1 << 40) + part).alias("slot")
+
+    come = come.join(parts, "leaf").select(slot(F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(1).alias("kind"), "fp")
+    held = placed.join(parts, "leaf").select("leaf", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    held = held.select(slot(F.col("part")), F.lit(0).alias("kind"), "fp")
+    return held.union(come).repartition("slot").sortWithinPartitions("slot", "kind", _rank("fp")).mapInArrow(_met(bits), "u long, v long")
 
 
 def _met(bits: int):
-    """Joins the nodes of each leaf (kind 0), which come first, with those that come to it (kind 1)."""
+    """Joins the fingerprints of each leaf (kind 0), which come first, with those that come to it (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, held, leaf, nodes = None, [], None, None
+        now, held, leaf, own = None, [], None, None
 
         def out(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(u):
@@ -322,26 +340,26 @@ def _met(bits: int):
         def close() -> Iterator[pa.RecordBatch]:
             if leaf is not None:
                 a, b = leaf.joined()
-                yield from out(nodes[a], nodes[b])
+                yield from out(own[a], own[b])
 
-        for b in batches:
-            place, part, kind, rank, node, fp = (b[c].to_numpy() for c in ("leaf", "part", "kind", "rank", "node", "fp"))
-            cut = np.flatnonzero((place[1:] != place[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for s, e in zip(np.r_[0, cut], np.r_[cut, len(place)], strict=True):
+        for batch in batches:
+            slot, kind, fp = (batch[c].to_numpy() for c in ("slot", "kind", "fp"))
+            cut = np.flatnonzero((slot[1:] != slot[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip(np.r_[0, cut], np.r_[cut, len(slot)], strict=True):
                 if s == e:
                     continue
-                if (place[s], part[s]) != slot:
+                if slot[s] != now:
                     yield from close()
-                    slot, held, leaf, nodes = (place[s], part[s]), [], None, None
-                here = fp[s:e].view(np.uint64), rank[s:e], node[s:e]
+                    now, held, leaf, own = slot[s], [], None, None
+                some = fp[s:e]
                 if not kind[s]:
-                    held.append(here)
+                    held.append(some)
                     continue
                 if leaf is None:
-                    fps, ranks, nodes = (np.concatenate(c) for c in zip(*held, strict=True))
-                    leaf, held = Leaf(fps, ranks, bits), []
-                u, v = leaf.meet(*here[:2])
-                yield from out(here[2][u], nodes[v])
+                    own, held = np.concatenate(held), []
+                    leaf = Leaf(own.view(np.uint64), _signed_rank(own), bits)
+                u, v = leaf.meet(some.view(np.uint64), _signed_rank(some))
+                yield from out(some[u], own[v])
         yield from close()
 
     return run
@@ -433,8 +451,8 @@ def _by_bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def _by_index(nodes: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     """(u, v) links that join the nodes whose fingerprints the Gray index links; a fingerprint is a node of its own, by its hash."""
     fps = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    fps = scratch.write(fps.select(F.col("fp").alias("node"), "fp", "n"), "prints")
-    pairs = scratch.write(links(fps.select("node", "fp"), scratch, bits), "print-links")
+    fps = scratch.write(fps, "prints")
+    pairs = scratch.write(links(fps, scratch, bits), "print-links")
     wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).union(fps.where("n > 1").select("fp")).distinct()
     own = nodes.select("node", "fp").join(wanted, "fp").select(F.col("node").alias("u"), F.xxhash64("fp").alias("v"))
     return own.union(pairs.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
