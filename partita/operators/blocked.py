@@ -21,8 +21,8 @@ BLOCKED_FROM = 16
 ROWS, NUMBERS = 4096, 1 << 20
 #: Nonzeros that are multiplied at once.
 STEP = 1 << 13
-#: Tasks that each sum up a Gram matrix of their own.
-GRAM_TASKS = 64
+#: Tasks that each sum up stripes of a Gram matrix; numbers of a stripe, which a task holds, and of what they hand on.
+GRAM_TASKS, STRIPE, PIECE = 64, 1 << 24, 1 << 17
 
 
 def _tiles(m: DataFrame, row: str, col: str, rows: int, cols: int, names: tuple[str, str]) -> DataFrame:
@@ -71,22 +71,85 @@ def product(x: DataFrame, row: str, col: str, factor: DataFrame, k: int) -> Data
     return met.mapInArrow(run, f"{row} long, comp int, val double").groupBy(row, "comp").agg(F.sum("val").alias("val"))
 
 
-def gram(factor: DataFrame, shared: str, k: int) -> DataFrame:
-    """(a, b, val): inner products of components; each of a bounded number of tasks sums a k x k matrix."""
+def gram_blocks(factor: DataFrame, shared: str, k: int) -> DataFrame:
+    """(first, data): rows of the k x k matrix of inner products of components, from row ``first`` on, as doubles.
+
+    A task sums up one stripe of the matrix at a time, of at most ``STRIPE`` numbers; with many components the factor is read once
+    for each stripe.  Pieces of at most ``PIECE`` numbers are then summed over the tasks.
+    """
     ship(factor.sparkSession)
+    rows = max(1, STRIPE // k)
+    piece = max(1, min(rows, PIECE // k))
     packed = factor.groupBy(shared).agg(F.collect_list(F.struct(F.col("comp").cast("int").alias("r"), F.col("val").alias("v"))).alias("e"))
+    if rows >= k:
+        source = packed.select("e", F.lit(0).alias("first")).coalesce(GRAM_TASKS)
+    else:
+        source = packed.select(shared, "e", F.explode(F.array(*[F.lit(r) for r in range(0, k, rows)])).alias("first"))
+        source = source.repartition(GRAM_TASKS, "first", F.pmod(F.xxhash64(shared), F.lit(8))).sortWithinPartitions("first").select("e", "first")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, g = None, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for s in range(0, 0 if g is None else len(g), piece):
+                yield pa.RecordBatch.from_arrays([pa.array([now + s], pa.int32()), pa.array([g[s : s + piece].tobytes()], pa.binary())], ["first", "data"])
+
+        for b in batches:
+            first = b["first"].to_numpy()
+            for s in range(0, b.num_rows, 256):
+                for start in np.unique(first[s : s + 256]).tolist():
+                    if start != now:
+                        yield from flush()
+                        now, g = start, np.zeros((min(rows, k - start), k))
+                    at = s + np.flatnonzero(first[s : s + 256] == start)
+                    e = b["e"].take(pa.array(at))
+                    dense = np.zeros((len(e), k))
+                    line = np.repeat(np.arange(len(e)), np.diff(e.offsets.to_numpy()))
+                    flat = e.flatten()
+                    dense[line, flat.field("r").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
+                    g += dense[:, start : start + len(g)].T @ dense
+        yield from flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for b in batches:
+            for first, data in zip(b["first"].to_pylist(), b["data"], strict=True):
+                new = np.frombuffer(data.as_buffer())
+                if first == now:
+                    held += new
+                    continue
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["first", "data"])
+                now, held = first, new.copy()
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["first", "data"])
+
+    parts = source.mapInArrow(partial, "first int, data binary")
+    return parts.repartition("first").sortWithinPartitions("first").mapInArrow(total, "first int, data binary")
+
+
+def gram(factor: DataFrame, shared: str, k: int) -> DataFrame:
+    """(a, b, val): inner products of components that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((k, k))
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                e = b["e"].slice(s, 1024)
-                dense = np.zeros((len(e), k))
-                line = np.repeat(np.arange(len(e)), np.diff(e.offsets.to_numpy()))
-                flat = e.flatten()
-                dense[line, flat.field("r").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
-                g += dense.T @ dense
-        a, c = np.nonzero(g)
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(g[a, c])], ["a", "b", "val"])
-
-    return packed.select("e").coalesce(GRAM_TASKS).mapInArrow(run, "a int, b int, val double").groupBy("a", "b").agg(F.sum("val").alias("val"))
+            for first, data in zip(b["first"].to_pylist(), b["data"], strict=True):
+                g = np.frombuffer(data.as_buffer()).reshape(-1, k)
+                a, c = np.nonzero(g)
+                yield pa.RecordBatch.from_arrays([pa.array((a + first).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(g[a, c])], ["a", "b", "val"])
+
+    return gram_blocks(factor, shared, k).mapInArrow(run, "a int, b int, val double")
+
+
+def gram_array(factor: DataFrame, shared: str, k: int) -> np.ndarray:
+    """The same as one array on the driver: k x k numbers, whatever the number of rows and columns."""
+    out = np.zeros((k, k))
+    for r in gram_blocks(factor, shared, k).collect():
+        g = np.frombuffer(bytes(r["data"])).reshape(-1, k)
+        out[r["first"] : r["first"] + len(g)] = g
+    return out
+
+
+def times(factor: DataFrame, g: DataFrame, shared: str, k: int) -> DataFrame:
+    """(``shared``, comp, val): the factor times its Gram-shaped partner (a, b, val), a block of components at a time."""
+    return product(factor.withColumnRenamed("comp", "_at"), shared, "_at", g.select(F.col("b").alias("comp"), F.col("a").alias("_at"), "val"), k)

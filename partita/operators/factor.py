@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
 from ..storage import Scratch, ship
-from .blocked import BLOCKED_FROM
-from .matrix import BROADCAST_COMPONENTS, gram, times_gram, x_ht, xt_w
+from .blocked import BLOCKED_FROM, gram_array
+from .matrix import gram, times_gram, x_ht, xt_w
 
 #: Fixed value: the floor of divisors, and what is added to the diagonal in the row-wise solver.
 EPS = 1e-10
+#: Up to so many components a Gram matrix (128 MB) goes to all tasks; beyond, updates multiply it block by block.
+SENT = 4096
 
 
 @dataclass(frozen=True)
@@ -81,18 +83,18 @@ def _multiplied(factor: DataFrame, top: DataFrame, low: DataFrame, shared: str)
 
 def mu_update_w(x: DataFrame, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """W <- W * (X H') / max(W (H H'), eps); zeros stay zeros and are absent."""
-    top, g = x_ht(x, h, k), gram(h, "col_id", k)
-    if k >= BLOCKED_FROM:
-        return _rows(w.select("row_id").distinct(), "row_id", top, w, _collected(g, k), _multiply)
-    return _multiplied(w, top, times_gram(w, g, "row_id", k), "row_id").select("row_id", "comp", "val")
+    top = x_ht(x, h, k)
+    if BLOCKED_FROM <= k <= SENT:
+        return _rows(w.select("row_id").distinct(), "row_id", top, w, gram_array(h, "col_id", k), _multiply)
+    return _multiplied(w, top, times_gram(w, gram(h, "col_id", k), "row_id", k), "row_id").select("row_id", "comp", "val")
 
 
 def mu_update_h(x: DataFrame, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """H <- H * (W' X) / max((W' W) H, eps)."""
-    top, g = xt_w(x, w, k), gram(w, "row_id", k)
-    if k >= BLOCKED_FROM:
-        return _rows(h.select("col_id").distinct(), "col_id", top, h, _collected(g, k), _multiply).select("comp", "col_id", "val")
-    return _multiplied(h, top, times_gram(h, g, "col_id", k), "col_id")
+    top = xt_w(x, w, k)
+    if BLOCKED_FROM <= k <= SENT:
+        return _rows(h.select("col_id").distinct(), "col_id", top, h, gram_array(w, "row_id", k), _multiply).select("comp", "col_id", "val")
+    return _multiplied(h, top, times_gram(h, gram(w, "row_id", k), "col_id", k), "col_id")
 
 
 def _multiply(c: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -136,24 +138,21 @@ def _rows(rows: DataFrame, id_col: str, target: DataFrame, factor: DataFrame, g:
     return joined.mapInArrow(run, f"{id_col} long, comp int, val double")
 
 
-def _collected(g: DataFrame, k: int) -> np.ndarray:
-    """A Gram matrix on the driver: k x k numbers, whatever the number of rows and columns."""
-    if k > 8 * BROADCAST_COMPONENTS:
-        raise ValueError(f"{k} components are too many for the row-wise solver")
-    out = np.zeros((k, k))
-    for r in g.collect():
-        out[r["a"], r["b"]] = r["val"]
-    return out
+def _descent_gram(factor: DataFrame, shared: str, k: int) -> np.ndarray:
+    """The row-wise solver goes through all components of a row in turn, so each task needs the whole matrix."""
+    if k > 2 * SENT:
+        raise ValueError(f"{k} components are too many for the row-wise solver, which sends {8 * k * k >> 20} MB to each task")
+    return gram_array(factor, shared, k)
 
 
 def hals_update_w(x: DataFrame, w: DataFrame, h: DataFrame, rows: DataFrame, k: int, sweeps: int = 1) -> DataFrame:
     """One or more cyclic sweeps over the components of every row; a zero may come back, so all ``rows`` take part."""
-    return _rows(rows, "row_id", x_ht(x, h, k), w, _collected(gram(h, "col_id", k), k), partial(_descend, sweeps=sweeps))
+    return _rows(rows, "row_id", x_ht(x, h, k), w, _descent_gram(h, "col_id", k), partial(_descend, sweeps=sweeps))
 
 
 def hals_update_h(x: DataFrame, w: DataFrame, h: DataFrame, cols: DataFrame, k: int, sweeps: int = 1) -> DataFrame:
     """The same over the components of every column."""
-    return _rows(cols, "col_id", xt_w(x, w, k), h, _collected(gram(w, "row_id", k), k), partial(_descend, sweeps=sweeps)).select("comp", "col_id", "val")
+    return _rows(cols, "col_id", xt_w(x, w, k), h, _descent_gram(w, "row_id", k), partial(_descend, sweeps=sweeps)).select("comp", "col_id", "val")
 
 
 def squared_error(x: DataFrame, w: DataFrame, h: DataFrame, k: int = 0) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rounded
 from .matrix import x_ht
 
 #: Fixed value: lists hold this many times their even share of the rows.
@@ -44,8 +43,8 @@ def admitted(scores: DataFrame, cap: int) -> DataFrame:
 
 
 def build_lists(x: DataFrame, h: DataFrame, cap: int, k: int = 0) -> DataFrame:
-    """The lists of all components over all rows of X; scores are rounded before they are compared."""
-    scores = x_ht(x, h, k).select("comp", F.col("row_id").alias("doc_id"), rounded("val").alias("affinity"))
+    """The lists of all components over all rows of X, by their exact scores whatever the scale of X."""
+    scores = x_ht(x, h, k).select("comp", F.col("row_id").alias("doc_id"), F.col("val").alias("affinity"))
     return admitted(scores, cap)
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from . import blocked
 
-#: A k x k Gram matrix is broadcast up to this k (a million numbers); beyond, it is joined by shuffle.
-BROADCAST_COMPONENTS = 1024
-
 
 def coo(df: DataFrame, row: str, col: str, val: str) -> DataFrame:
     """A sparse matrix of summed values; zeros and nulls are absent."""
@@ -53,8 +50,9 @@ def gram(factor: DataFrame, shared: str, k: int = 0) -> DataFrame:
 
 def times_gram(factor: DataFrame, g: DataFrame, shared: str, k: int) -> DataFrame:
     """The factor multiplied by its k x k Gram-shaped partner along the components: (comp, ``shared``, val)."""
-    g = g.select("a", "b", F.col("val").alias("_g"))
-    g = F.broadcast(g) if k <= BROADCAST_COMPONENTS else g
+    if k >= blocked.BLOCKED_FROM:
+        return blocked.times(factor, g, shared, k).select("comp", shared, "val")
+    g = F.broadcast(g.select("a", "b", F.col("val").alias("_g")))  # a few hundred numbers
     joined = factor.join(g, factor["comp"] == g["a"])
     return joined.groupBy(F.col("b").alias("comp"), shared).agg(F.sum(F.col("val") * F.col("_g")).alias("val"))
 

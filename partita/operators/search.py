@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rounded
 from ..storage import ship
 from .matrix import row_dots, x_ht
 
@@ -45,7 +44,7 @@ def query_ids(queries: DataFrame) -> DataFrame:
 
 def project(queries: DataFrame, h: DataFrame) -> DataFrame:
     """(query_id, comp, q_score): inner products of queries and components; absent where nothing is shared."""
-    return x_ht(queries, h).select(F.col("row_id").alias("query_id"), "comp", rounded("val").alias("q_score"))
+    return x_ht(queries, h).select(F.col("row_id").alias("query_id"), "comp", F.col("val").alias("q_score"))
 
 
 def rank_components(projected: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -69,12 +68,12 @@ def exact_top_k(queries: DataFrame, x: DataFrame, top_k: int) -> DataFrame:
     """Ground truth: the best rows by inner product, of those that share a column with the query."""
     qv = queries.select(F.col("row_id").alias("query_id"), "col_id", F.col("val").alias("_q"))
     xv = x.select(F.col("row_id").alias("doc_id"), "col_id", F.col("val").alias("_x"))
-    dots = qv.join(xv, "col_id").groupBy("query_id", "doc_id").agg(rounded(F.sum(F.col("_q") * F.col("_x"))).alias("score"))
+    dots = qv.join(xv, "col_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("_q") * F.col("_x")).alias("score"))
     return best_k(dots, top_k)
 
 
 def _scored(queries: DataFrame, x: DataFrame, pairs: DataFrame) -> DataFrame:
-    return row_dots(x, queries, pairs).withColumn("score", rounded("score"))
+    return row_dots(x, queries, pairs)
 
 
 def naive_candidates(ranked: DataFrame, lists: DataFrame, docs: DataFrame, cap: int, params: NaiveParams) -> DataFrame:

@@ -13,12 +13,12 @@ qid AS MATERIALIZED (SELECT DISTINCT query_id FROM q)"""
 
 
 def uniform(a: str, b: str, seed: int = 0) -> str:
-    return f"(CAST((CAST({a} AS BIGINT) * {7919 + 1009 * seed} + CAST({b} AS BIGINT) * 104729 + 13) % 10007 + 1 AS DOUBLE) / 10007.0::DOUBLE)"
+    return f"(CAST(CAST('0x' || substr(md5('{seed}|' || CAST({a} AS BIGINT) || '|' || CAST({b} AS BIGINT)), 1, 13) AS BIGINT) + 1 AS DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def ctes(k: int = Q.K, iterations: int = 0, p: str = "", x: str = "x", rows: str = "SELECT c_custkey AS row_id FROM customer") -> str:
     """Initial factors and updates: {p}w0, {p}h0, {p}w1, {p}h1, ..."""
-    scale = f"(SELECT sqrt(greatest((SELECT SUM(val) FROM x) / greatest(1, n * f), 1e-12) / {k}) FROM dims)"
+    scale = f"(SELECT sqrt(greatest((SELECT SUM(val) FROM {x}) / greatest(1, (SELECT COUNT(*) FROM ({rows})) * f), 1e-12) / {k}) FROM dims)"
     out = [
         f"{p}w0 AS MATERIALIZED (SELECT row_id, comp, {uniform('row_id', 'comp')} * (2 * {scale}) AS val FROM ({rows}) r, (SELECT unnest(range({k})) AS comp) c)",
         f"{p}h0 AS MATERIALIZED (SELECT comp, p_partkey AS col_id, {uniform('p_partkey', 'comp', 1)} * (2 * {scale}) AS val FROM part, (SELECT unnest(range({k})) AS comp) c)",
@@ -70,14 +70,14 @@ def index(k: int = Q.K, iterations: int = Q.ITERATIONS, p: str = "", x: str = "x
     """Factors, {p}lists and the ranked components {p}ranked."""
     h = f"{p}h{iterations}"
     return f"""{ctes(k, iterations, p, x, rows)},
-{p}scores AS (SELECT comp, row_id AS doc_id, round(SUM(a.val * b.val), 6) + 0.0 AS affinity FROM x a JOIN {h} b USING (col_id) GROUP BY 1, 2),
+{p}scores AS (SELECT comp, row_id AS doc_id, SUM(a.val * b.val) AS affinity FROM x a JOIN {h} b USING (col_id) GROUP BY 1, 2),
 {heap(f"{p}scores", cap_of(k), p)},
-{p}projected AS (SELECT query_id, comp, round(SUM(a.val * b.val), 6) + 0.0 AS q_score FROM q a JOIN {h} b USING (col_id) GROUP BY 1, 2),
+{p}projected AS (SELECT query_id, comp, SUM(a.val * b.val) AS q_score FROM q a JOIN {h} b USING (col_id) GROUP BY 1, 2),
 {p}ranked AS MATERIALIZED (SELECT query_id, CAST(comp AS INTEGER) AS comp, q_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY q_score DESC, comp) AS INTEGER) AS rank FROM (
   SELECT i.query_id, c.comp, coalesce(p.q_score, 0.0) AS q_score FROM qid i CROSS JOIN (SELECT unnest(range({k})) AS comp) c LEFT JOIN {p}projected p ON p.query_id = i.query_id AND p.comp = c.comp))"""
 
 
-TRUTH = f"""dots AS MATERIALIZED (SELECT q.query_id, x.row_id AS doc_id, round(SUM(q.val * x.val), 6) + 0.0 AS score FROM q JOIN x USING (col_id) GROUP BY 1, 2),
+TRUTH = f"""dots AS MATERIALIZED (SELECT q.query_id, x.row_id AS doc_id, SUM(q.val * x.val) AS score FROM q JOIN x USING (col_id) GROUP BY 1, 2),
 truth AS MATERIALIZED (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM dots) WHERE rank <= {Q.TOP})"""
 
 
@@ -88,15 +88,15 @@ def naive(params, name: str = "found", p: str = "", k: int = Q.K, top: int = Q.T
   SELECT c.query_id, c.doc_id, coalesce(d.score, 0.0) AS score FROM {name}_cand c LEFT JOIN dots d USING (query_id, doc_id))) WHERE rank <= {top})"""
 
 
-def adaptive(params, top: int = Q.TOP) -> str:
+def adaptive(params, top: int = Q.TOP, p: str = "") -> str:
     """A recursive walk: one visited entry of every query per step."""
-    return f"""bests AS (SELECT query_id, MAX(q_score) AS best FROM ranked GROUP BY 1),
-seq AS MATERIALIZED (SELECT r.query_id, r.rank AS lst, l.doc_id, coalesce(d.score, 0.0) AS score, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, l.pos) AS i
-  FROM ranked r JOIN bests USING (query_id) JOIN lists l USING (comp) LEFT JOIN dots d ON d.query_id = r.query_id AND d.doc_id = l.doc_id
+    return f"""{p}bests AS (SELECT query_id, MAX(q_score) AS best FROM ranked GROUP BY 1),
+{p}seq AS MATERIALIZED (SELECT r.query_id, r.rank AS lst, l.doc_id, coalesce(d.score, 0.0) AS score, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, l.pos) AS i
+  FROM ranked r JOIN {p}bests USING (query_id) JOIN lists l USING (comp) LEFT JOIN dots d ON d.query_id = r.query_id AND d.doc_id = l.doc_id
   WHERE r.q_score > 0 AND r.q_score >= best * {params.drop_ratio}),
-walk AS (
+{p}walk AS (
   SELECT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s DOUBLE, o BIGINT, d BIGINT)[]) AS heap, CAST([] AS BIGINT[]) AS seen, CAST(-1 AS INTEGER) AS lst, CAST(0 AS INTEGER) AS misses
-  FROM (SELECT DISTINCT query_id FROM seq)
+  FROM (SELECT DISTINCT query_id FROM {p}seq)
   UNION ALL
   SELECT query_id, i,
     CASE WHEN enters THEN list_slice(list_sort(list_append(heap, {{'s': -score, 'o': CAST(len(seen) + 1 AS BIGINT), 'd': doc_id}})), 1, {top}) ELSE heap END,
@@ -105,8 +105,8 @@ walk AS (
   FROM (SELECT *, NOT skipped AND (len(heap) < {top} OR score > -heap[len(heap)].s) AS enters FROM (
     SELECT *, m < 0 OR list_contains(seen, doc_id) AS skipped FROM (
       SELECT w.query_id, s.i, w.heap, w.seen, s.lst, s.doc_id, s.score, CASE WHEN s.lst <> w.lst THEN 0 ELSE w.misses END AS m
-      FROM walk w JOIN seq s ON s.query_id = w.query_id AND s.i = w.i + 1)))),
-ended AS (SELECT query_id, arg_max(heap, i) AS heap, arg_max(seen, i) AS seen FROM walk GROUP BY 1)"""
+      FROM {p}walk w JOIN {p}seq s ON s.query_id = w.query_id AND s.i = w.i + 1)))),
+{p}ended AS (SELECT query_id, arg_max(heap, i) AS heap, arg_max(seen, i) AS seen FROM {p}walk GROUP BY 1)"""
 
 
 def hals(target: str, factor: str, gram: str, ids: str, k: int, sweeps: int, key: str) -> str:
@@ -205,6 +205,22 @@ def _k_sweep() -> str:
     return q(*parts, select="\nUNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, config, mean_recall, cost FROM {optimal((0.6,), f'k{k}_', 'recall_at = 5')}" for k in (4, 6)))
 
 
+def _adaptive_sweep() -> str:
+    parts, union = [], []
+    for seq, params in enumerate(Q.ADAPTIVE_SWEEP):
+        name = f"found{seq}"
+        parts += [
+            adaptive(params, p=f"a{seq}_"),
+            f"{name} AS MATERIALIZED (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h.s, h.d) AS INTEGER) AS rank, h.d AS doc_id FROM (SELECT query_id, unnest(heap) AS h FROM a{seq}_ended))",
+            recall(name, f"recall{seq}"),
+        ]
+        union.append(
+            f"SELECT '{params.label()}' AS config, CAST({seq} AS INTEGER) AS seq, CAST(recall_at AS INTEGER) AS recall_at, round(AVG(recall), 6) AS mean_recall, "
+            f"round((SELECT SUM(len(seen)) FROM a{seq}_ended) / (SELECT COUNT(*) FROM qid), 6) AS cost FROM recall{seq} GROUP BY recall_at"
+        )
+    return q(TRUTH, index(), *parts, select="\nUNION ALL ".join(union), recursive=True)
+
+
 def whole(text: str) -> str:
     """The same over lists of the reference's overlap."""
     return text.replace(cap_of(Q.K), cap_of(Q.K, Q.WHOLE))
@@ -236,12 +252,12 @@ ORACLES = {
     "hals_update_w": q(ctes(Q.HALS_K), hals(XHT, "w0", GRAM_H, "SELECT c_custkey AS row_id FROM customer", Q.HALS_K, 2, "row_id"), select="SELECT row_id, CAST(comp AS INTEGER) AS comp, round(val, 6) + 0.0 AS val FROM done WHERE val > 0", recursive=True),
     "hals_update_h": q(ctes(Q.HALS_K), hals(XTW, "h0", GRAM_W, "SELECT p_partkey AS col_id FROM part", Q.HALS_K, 1, "col_id"), select="SELECT CAST(comp AS INTEGER) AS comp, col_id, round(val, 6) + 0.0 AS val FROM done WHERE val > 0", recursive=True),
     "list_cap": _matrix(f"SELECT CAST(k AS INTEGER) AS k, CAST(greatest(1, ceil(n / k * o)) AS INTEGER) AS cap, o AS overlap FROM (SELECT unnest([1, {Q.K}, 7, 100]) AS k) CROSS JOIN (SELECT unnest([0.5::DOUBLE, 10.0::DOUBLE]) AS o), dims"),
-    "build_lists": q(index(), select="SELECT CAST(comp AS INTEGER) AS comp, pos, doc_id, affinity FROM lists"),
+    "build_lists": q(index(), select="SELECT CAST(comp AS INTEGER) AS comp, pos, doc_id, round(affinity, 6) + 0.0 AS affinity FROM lists"),
     "list_ties": "WITH s AS (SELECT l_linenumber AS comp, l_partkey AS doc_id, CAST(SUM(l_quantity % 3 - 1) AS DOUBLE) AS affinity FROM lineitem GROUP BY 1, 2),\n" + heap("s", "40") + "\nSELECT comp, pos, doc_id, affinity FROM lists",
     "list_sizes": q(index(), select=f"SELECT CAST(c.comp AS INTEGER) AS comp, COUNT(l.doc_id) AS size FROM (SELECT unnest(range({Q.K})) AS comp) c LEFT JOIN lists l USING (comp) GROUP BY 1"),
-    "index_roundtrip": q(index(), select=f"SELECT (SELECT COUNT(*) FROM h{Q.ITERATIONS}) AS n_components, round((SELECT SUM(val) FROM h{Q.ITERATIONS}), 3) AS sum_components, (SELECT COUNT(*) FROM lists) AS n_lists, round((SELECT SUM(affinity) FROM lists), 3) AS sum_lists, 'nmf-ivf' AS algo, CAST({Q.K} AS INTEGER) AS k, CAST({cap_of(Q.K)} AS INTEGER) AS cap"),
-    "project_queries": q(index(), select="SELECT query_id, CAST(comp AS INTEGER) AS comp, q_score FROM projected"),
-    "rank_components": q(index(), select="SELECT query_id, comp, q_score, rank FROM ranked"),
+    "index_roundtrip": q(index(), select=f"SELECT (SELECT COUNT(*) FROM h{Q.ITERATIONS}) AS n_components, round((SELECT SUM(val) FROM h{Q.ITERATIONS}), 3) AS sum_components, (SELECT COUNT(*) FROM lists) AS n_lists, round((SELECT SUM(affinity) FROM lists), 3) AS sum_lists, 'nmf-lists' AS algo, CAST({Q.K} AS INTEGER) AS k, CAST({cap_of(Q.K)} AS INTEGER) AS cap"),
+    "project_queries": q(index(), select="SELECT query_id, CAST(comp AS INTEGER) AS comp, round(q_score, 6) + 0.0 AS q_score FROM projected"),
+    "rank_components": q(index(), select="SELECT query_id, comp, round(q_score, 6) + 0.0 AS q_score, rank FROM ranked"),
     "exact_topk": q(TRUTH, select="SELECT query_id, rank, doc_id, score FROM truth"),
     "naive_search": q(TRUTH, index(), naive(Q.NAIVE), select="SELECT query_id, rank, doc_id, score FROM found"),
     "naive_search_whole": whole(q(TRUTH, index(), naive(Q.NAIVE), select="SELECT query_id, rank, doc_id, score FROM found")),
@@ -259,6 +275,15 @@ ORACLES = {
     "optimal_per_target": q(TRUTH, index(), *runs(), select=f"SELECT recall_at, target, config, mean_recall, cost FROM {optimal((0.3, 0.5, 0.7, 0.9, 0.99))}"),
     "k_sweep_best": _k_sweep(),
     "sampling_recall": _sampling(),
+    "param_sweep_adaptive": _adaptive_sweep(),
+    "spmm_xht_blocks": q(ctes(Q.MANY), select=f"SELECT row_id, CAST(comp AS INTEGER) AS comp, round(val, 6) + 0.0 AS val FROM ({XHT})"),
+    "spmm_xtw_blocks": q(ctes(Q.MANY), select=f"SELECT CAST(comp AS INTEGER) AS comp, col_id, round(val, 6) + 0.0 AS val FROM ({XTW})"),
+    "gram_hht_blocks": q(ctes(Q.MANY), select=f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(val, 6) + 0.0 AS val FROM ({GRAM_H})"),
+    "gram_wtw_blocks": q(ctes(Q.MANY), select=f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(val, 6) + 0.0 AS val FROM ({GRAM_W})"),
+    "mu_update_blocks": q(ctes(Q.MANY, 1), select=FACTORS.format(w="w1", h="h1")),
+    "hals_update_w_blocks": q(ctes(Q.MANY), hals(XHT, "w0", GRAM_H, "SELECT c_custkey AS row_id FROM customer", Q.MANY, 1, "row_id"), select="SELECT row_id, CAST(comp AS INTEGER) AS comp, round(val, 6) + 0.0 AS val FROM done WHERE val > 0", recursive=True),
+    "build_lists_blocks": q(index(Q.MANY), select="SELECT CAST(comp AS INTEGER) AS comp, pos, doc_id, round(affinity, 6) + 0.0 AS affinity FROM lists").replace(cap_of(Q.MANY), cap_of(Q.MANY, 2.0)),
+    "naive_search_blocks": q(TRUTH, index(Q.MANY), naive(Q.S.NaiveParams(4, 1.0), k=Q.MANY), select="SELECT query_id, rank, doc_id, score FROM found").replace(cap_of(Q.MANY), cap_of(Q.MANY, Q.WHOLE)),
     "coverage_by_rank": q(TRUTH, index(), COVER, select=f"SELECT CAST(r.list_rank AS INTEGER) AS list_rank, round(COUNT(h.rel_pos) / {N_QUERIES}, 6) AS avg_found, round(SUM(COUNT(h.rel_pos)) OVER (ORDER BY r.list_rank) / {N_QUERIES} / {Q.TOP}, 6) AS cumul_recall, round(coalesce(AVG(h.rel_pos), 0.0), 6) AS mean_rel_pos, round(coalesce(stddev_pop(h.rel_pos), 0.0), 6) AS std_rel_pos FROM (SELECT unnest(range(1, {Q.K + 1})) AS list_rank) r LEFT JOIN hit h USING (list_rank) GROUP BY r.list_rank"),
     "coverage_histogram": q(TRUTH, index(), COVER, "tenth AS (SELECT list_rank, least(CAST(floor(rel_pos * 10) AS INTEGER), 9) AS bin, COUNT(*) AS n FROM hit GROUP BY 1, 2)", select=f"SELECT CAST(r.list_rank AS INTEGER) AS list_rank, CAST(b.bin AS INTEGER) AS bin, CAST(coalesce(t.n, 0) AS BIGINT) AS n, round(coalesce(t.n / CAST(SUM(t.n) OVER (PARTITION BY r.list_rank) AS DOUBLE), 0.0), 6) AS share FROM (SELECT unnest(range(1, {Q.K + 1})) AS list_rank) r CROSS JOIN (SELECT unnest(range(10)) AS bin) b LEFT JOIN tenth t USING (list_rank, bin)"),
     "coverage_overall": q(TRUTH, index(), COVER, select=f"SELECT round(COUNT(*) / CAST({N_QUERIES} * {Q.TOP} AS DOUBLE), 6) AS overall_recall FROM hit"),

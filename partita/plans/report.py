@@ -4,38 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.evaluate import BINS
-
-#: Marks for a tenth's share of the hits, from none to a tenth of a sixth of them and more.
-MARKS = "·▁▃▅▇█"
+#: What a tenth of a list is shown as: nothing, some, at least its even share, at least twice that.
+LEVELS = ((0.2, "#"), (0.1, "+"), (1e-12, "."), (-1.0, " "))
 
 
 def profile(shares: list[float]) -> str:
-    """One mark for each tenth of the list; a share of 5/60 or more is a full one."""
-    return "".join(MARKS[min(int(s * len(MARKS) * BINS), len(MARKS) - 1)] for s in shares)
+    """One mark for each tenth of a list, by its share of the list's hits."""
+    return "".join(next(mark for least, mark in LEVELS if s >= least) for s in shares)
 
 
 def coverage_report(by_rank: DataFrame, histogram: DataFrame, overall: DataFrame) -> str:
-    """Coverage by list rank, until nothing more is found, with where in the lists the true rows stand."""
-    shares: dict[int, list[float]] = {}
+    """Coverage by list rank with where in the lists the true rows stand; ranks after the last that finds anything are summed up."""
+    tenths: dict[int, list[float]] = {}
     for r in histogram.orderBy("list_rank", "bin").collect():
-        shares.setdefault(r["list_rank"], []).append(r["share"])
-    lines, deciles, before = [f"overall recall {100 * overall.first()[0]:.1f} %", "rank  found  recall so far  place (mean, deviation)  front to back"], ["rank " + "".join(f"{10 * b:>4}-{10 * b + 10}%" for b in range(BINS))], 0.0
-    for r in by_rank.orderBy("list_rank").collect():
-        rank, some = r["list_rank"], any(shares[r["list_rank"]])
-        if some:
-            deciles.append(f"{rank:>4} " + "".join(f"{100 * s:>8.1f}" for s in shares[rank]))
-        if rank > 1 and r["avg_found"] < 1e-9 and before > 0.9999:
-            break
-        place = f"{r['mean_rel_pos']:.3f}, {r['std_rel_pos']:.3f}" if some else "-"
-        lines.append(f"{rank:>4}  {r['avg_found']:.3f}  {100 * r['cumul_recall']:.1f} %  {place}  {profile(shares[rank])}")
-        before = r["cumul_recall"]
-    return "\n".join([*lines, "", *deciles])
+        tenths.setdefault(r["list_rank"], []).append(r["share"])
+    ranks = by_rank.orderBy("list_rank").collect()
+    useful = [r for r in ranks if r["avg_found"] > 0]
+    last = useful[-1]["list_rank"] if useful else 0
+    lines = [f"overall recall {100 * overall.first()[0]:.1f} %", f"{'rank':>6}{'found':>9}{'recall':>9}{'place':>8}{'spread':>8}  front to back"]
+    for r in ranks[:last]:
+        lines.append(f"{r['list_rank']:>6}{r['avg_found']:>9.3f}{100 * r['cumul_recall']:>8.1f}%{r['mean_rel_pos']:>8.3f}{r['std_rel_pos']:>8.3f}  |{profile(tenths[r['list_rank']])}|")
+    if last < len(ranks):
+        lines.append(f"ranks {last + 1} to {len(ranks)} find nothing more")
+    lines += ["", "share of a list's hits by tenths, in %"]
+    lines += [f"{r['list_rank']:>6}" + "".join(f"{100 * s:>7.1f}" for s in tenths[r["list_rank"]]) for r in useful]
+    return "\n".join(lines)
 
 
 def runs_report(runs: DataFrame, best: DataFrame) -> str:
     """Every configuration's recall and cost, and the cheapest for each target."""
-    lines = [f"{r['config']:<36} recall@{r['recall_at']:<4} {r['mean_recall']:.4f} ± {r['std_recall']:.4f}  {r['cost']:.3f} ms  {'#' * int(40 * r['mean_recall'])}" for r in runs.orderBy("seq", "recall_at").collect()]
+    lines = [f"{r['config']:<36} recall@{r['recall_at']:<4} {r['mean_recall']:.4f} (deviation {r['std_recall']:.4f}) at {r['cost']:.3f}" for r in runs.orderBy("seq", "recall_at").collect()]
     for r in best.orderBy("recall_at", "target").collect():
-        lines.append(f"recall@{r['recall_at']} >= {r['target']:.2f}: " + (f"{r['config']} ({r['mean_recall']:.4f}, {r['cost']:.3f} ms)" if r["config"] else "None"))
+        lines.append(f"recall@{r['recall_at']} >= {r['target']:.2f}: " + (f"{r['config']} ({r['mean_recall']:.4f}, {r['cost']:.3f})" if r["config"] else "None"))
     return "\n".join(lines)

@@ -1,14 +1,13 @@
 """The engine's operators as queries over the given tables, each with the same result in SQL.
 
 The matrix is customers by parts, a cell the summed quantity; the searched queries are every 97th customer, and in
-``row_dots_whole`` those with ids divisible by 100, against all customers.  Values are rounded to six digits, and scores are ranked
-after rounding.
+``row_dots_whole`` those with ids divisible by 100, against all customers.  What is shown is rounded to six digits; nothing is
+compared after rounding.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ from .operators import factor as N
 from .operators import lists as L
 from .operators import matrix as M
 from .operators import search as S
+from .plans import run as R
+from .plans.index import SAMPLE_SIZE, Index
 from .sources import store
 from .storage import Scratch, table
 
@@ -32,7 +33,10 @@ NAIVE = S.NaiveParams(2, 1.0)
 HALF = S.NaiveParams(3, 0.5)
 ADAPTIVE = S.AdaptiveParams(4, 0.3)
 SWEEP = (S.NaiveParams(1, 1.0), S.NaiveParams(2, 1.0), S.NaiveParams(4, 1.0), S.NaiveParams(6, 1.0))
+ADAPTIVE_SWEEP = (S.AdaptiveParams(4, 0.3), S.AdaptiveParams(80, 0.2))
 ATS = (1, 5, 10)
+#: So many components are multiplied in blocks, as those of the presets are.
+MANY = 16
 HALS_K = 4
 
 
@@ -77,41 +81,28 @@ def started(d: Data, k: int = K) -> tuple[DataFrame, DataFrame]:
     return N.random_init(d.rows, d.cols, k, d.mean)
 
 
-def factored(d: Data, scratch: Scratch, k: int = K, iterations: int = ITERATIONS, x: DataFrame | None = None, rows: DataFrame | None = None, mean: float | None = None) -> tuple[DataFrame, DataFrame]:
-    x, rows = d.x if x is None else x, d.rows if rows is None else rows
-    w, h = N.random_init(rows, d.cols, k, d.mean if mean is None else mean)
-    for i in range(iterations):
-        w = scratch.write(N.mu_update_w(x, w, h, k), f"w-{k}-{i}")
-        h = scratch.write(N.mu_update_h(x, w, h, k), f"h-{k}-{i}")
-    return w, h
+def config(k: int = K, iterations: int = ITERATIONS, error: bool = False) -> N.FactorConfig:
+    return N.FactorConfig(k, iterations, 0.0, "random", compute_error=error, seed=0)
 
 
 @dataclass
 class Built:
     d: Data
     scratch: Scratch
-    h: DataFrame
-    lists: DataFrame
-    ranked: DataFrame
-    cap: int
-    k: int
+    index: Index
 
 
 def built(spark: SparkSession, sf_dir: str, k: int = K, overlap: float = OVERLAP) -> Built:
     d, scratch = data(spark, sf_dir)
-    _, h = factored(d, scratch, k)
-    cap = L.list_cap(d.n, k, overlap)
-    lists = scratch.write(L.build_lists(d.x, h, cap), f"lists-{k}")
-    ranked = scratch.write(S.rank_components(S.project(d.queries, h), S.query_ids(d.queries), k), f"ranked-{k}")
-    return Built(d, scratch, h, lists, ranked, cap, k)
+    return Built(d, scratch, Index.build(d.x, d.rows, d.cols, config(k), overlap=overlap))
 
 
-def _naive(b: Built, params: S.NaiveParams, top: int = TOP) -> DataFrame:
-    return S.naive_search(b.d.queries, b.d.x, b.d.docs, b.ranked, b.lists, b.cap, top, params)
+def _search(b: Built, params: S.NaiveParams | S.AdaptiveParams, top: int = TOP) -> DataFrame:
+    return b.index.search(b.d.queries, b.d.x, b.d.docs, top, params)
 
 
-def _adaptive(b: Built, params: S.AdaptiveParams, top: int = TOP) -> DataFrame:
-    return S.adaptive_search(b.d.queries, b.d.x, b.d.docs, b.ranked, b.lists, top, params)
+def _truth(d: Data) -> DataFrame:
+    return S.exact_top_k(d.queries, d.x, TOP)
 
 
 def _out(df: DataFrame, *cols: str, digits: str = "val") -> DataFrame:
@@ -207,19 +198,14 @@ def mu_update_w(spark, sf):
 
 def mu_update_h(spark, sf):
     d, scratch = data(spark, sf)
-    return _out(factored(d, scratch, iterations=1)[1], "comp", "col_id")
+    w, h = started(d)
+    return _out(N.mu_update_h(d.x, scratch.write(N.mu_update_w(d.x, w, h, K), "w"), h, K), "comp", "col_id")
 
 
 def mu_fit_error_history(spark, sf):
-    d, scratch = data(spark, sf)
-    w, h = started(d)
-    out, before = [], None
-    for i in (1, 2, 3):
-        w = scratch.write(N.mu_update_w(d.x, w, h, K), f"w-{i}")
-        h = scratch.write(N.mu_update_h(d.x, w, h, K), f"h-{i}")
-        err = sqrt(N.squared_error(d.x, w, h).first()[0])
-        out.append((i, err, None if before is None else before - err, None if before is None else abs(before - err) / max(before, 1e-12)))
-        before = err
+    d, _ = data(spark, sf)
+    found = N.fit(d.x, d.rows, d.cols, config(K, 3, True)).history
+    out = [(i, err, better if i > 1 else None, relative if i > 1 else None) for i, err, better, relative in found]
     df = spark.createDataFrame(out, "iter int, err double, improvement double, relative double")
     return df.select("iter", F.round("err", 4).alias("err"), F.round("improvement", 4).alias("improvement"), rounded("relative").alias("relative"))
 
@@ -246,7 +232,7 @@ def list_cap(spark, sf):
 
 
 def build_lists(spark, sf):
-    return built(spark, sf).lists
+    return _out(built(spark, sf).index.lists, "comp", "pos", "doc_id", digits="affinity")
 
 
 def list_ties(spark, sf):
@@ -257,18 +243,18 @@ def list_ties(spark, sf):
 
 
 def list_sizes(spark, sf):
-    b = built(spark, sf)
-    return L.list_sizes(b.lists, b.k)
+    return built(spark, sf).index.sizes()
 
 
 def index_roundtrip(spark, sf):
     b = built(spark, sf)
     path = f"{b.scratch.root}/index"
-    store.write_index(b.h, b.lists, path, k=b.k, cap=b.cap, n_rows=b.d.n, n_cols=b.d.f)
-    h, lists, meta = store.read_index(spark, path)
+    b.index.save(path)
+    i, meta = Index.load(spark, path), store.read_meta(spark, path)
+    h, lists = i.h, i.lists
     a = h.agg(F.count(F.lit(1)).alias("n_components"), F.round(F.sum("val"), 3).alias("sum_components"))
     c = lists.agg(F.count(F.lit(1)).alias("n_lists"), F.round(F.sum("affinity"), 3).alias("sum_lists"))
-    return a.crossJoin(c).select("*", F.lit(meta["algo"]).alias("algo"), F.lit(meta["k"]).alias("k"), F.lit(meta["cap"]).alias("cap"))  # one row each
+    return a.crossJoin(c).select("*", F.lit(meta["algo"]).alias("algo"), F.lit(i.k).alias("k"), F.lit(i.cap).alias("cap"))  # one row each
 
 
 # --- search ---
@@ -276,11 +262,12 @@ def index_roundtrip(spark, sf):
 
 def project_queries(spark, sf):
     b = built(spark, sf)
-    return S.project(b.d.queries, b.h)
+    return _out(S.project(b.d.queries, b.index.h), "query_id", "comp", digits="q_score")
 
 
 def rank_components(spark, sf):
-    return built(spark, sf).ranked
+    b = built(spark, sf)
+    return _out(S.rank_components(S.project(b.d.queries, b.index.h), S.query_ids(b.d.queries), b.index.k), "query_id", "comp", "rank", digits="q_score")
 
 
 def exact_topk(spark, sf):
@@ -289,29 +276,29 @@ def exact_topk(spark, sf):
 
 
 def naive_search(spark, sf):
-    return _naive(built(spark, sf), NAIVE)
+    return _search(built(spark, sf), NAIVE)
 
 
 def naive_search_whole(spark, sf):
     """Search of an index with the reference's overlap, whose lists leave out no row with entries."""
-    return _naive(built(spark, sf, K, WHOLE), NAIVE)
+    return _search(built(spark, sf, K, WHOLE), NAIVE)
 
 
 def naive_search_half_lists(spark, sf):
-    return _naive(built(spark, sf), HALF)
+    return _search(built(spark, sf), HALF)
 
 
 def adaptive_search(spark, sf):
-    return _adaptive(built(spark, sf), ADAPTIVE).drop("processed")
+    return _search(built(spark, sf), ADAPTIVE).drop("processed")
 
 
 def adaptive_docs_processed(spark, sf):
-    return _adaptive(built(spark, sf), ADAPTIVE).select("query_id", "processed").distinct()
+    return _search(built(spark, sf), ADAPTIVE).select("query_id", "processed").distinct()
 
 
 def results_padded(spark, sf):
     b = built(spark, sf)
-    p = store.padded(_naive(b, NAIVE), S.query_ids(b.d.queries), TOP + 2)
+    p = store.padded(_search(b, NAIVE), S.query_ids(b.d.queries), TOP + 2)
     e = p.select("query_id", F.posexplode(F.arrays_zip("knns", "dists")).alias("place", "e"))
     return e.select("query_id", "place", F.col("e.knns").alias("knn"), F.when(F.col("e.dists") > float("-inf"), F.col("e.dists")).alias("dist"))
 
@@ -319,7 +306,7 @@ def results_padded(spark, sf):
 def results_roundtrip(spark, sf):
     b = built(spark, sf)
     path = f"{b.scratch.root}/results"
-    store.write_results(_naive(b, NAIVE), S.query_ids(b.d.queries), TOP + 2, path, params=store.params_text(K, ITERATIONS, NAIVE))
+    store.write_results(_search(b, NAIVE), S.query_ids(b.d.queries), TOP + 2, path, params=store.params_text(K, ITERATIONS, NAIVE))
     return store.read_results(spark, path, 5).select("query_id", "rank", "doc_id", "score", F.lit(store.attribute(spark, path, "params")).alias("params"))
 
 
@@ -332,100 +319,130 @@ def params_string(spark, sf):
 
 
 def _recall(b: Built, found: DataFrame) -> DataFrame:
-    truth = S.exact_top_k(b.d.queries, b.d.x, TOP)
-    return E.recall_normalised(found, truth, S.query_ids(b.d.queries), ATS)
+    return E.recall_normalised(found, _truth(b.d), S.query_ids(b.d.queries), ATS)
 
 
 def recall_at_k_normalized(spark, sf):
     b = built(spark, sf)
-    return _out(_recall(b, _naive(b, NAIVE)), "query_id", "recall_at", digits="recall")
+    return _out(_recall(b, _search(b, NAIVE)), "query_id", "recall_at", digits="recall")
 
 
 def recall_at_k_fixed(spark, sf):
     b = built(spark, sf)
-    found = _naive(b, NAIVE)
-    truth = S.exact_top_k(b.d.queries, b.d.x, TOP)
-    return _out(E.recall_fixed(found, truth, S.query_ids(b.d.queries), 5), "query_id", "recall_at", digits="recall")
+    found = _search(b, NAIVE)
+    return _out(E.recall_fixed(found, _truth(b.d), S.query_ids(b.d.queries), 5), "query_id", "recall_at", digits="recall")
 
 
 def recall_mean_std(spark, sf):
     b = built(spark, sf)
-    m = E.mean_std(_recall(b, _naive(b, NAIVE)), ["recall_at"], "recall")
+    m = E.mean_std(_recall(b, _search(b, NAIVE)), ["recall_at"], "recall")
     return m.select("recall_at", rounded("mean_recall").alias("mean_recall"), rounded("std_recall").alias("std_recall"))
 
 
 def recall_whole(spark, sf):
     b = built(spark, sf, K, WHOLE)
-    m = E.mean_std(_recall(b, _naive(b, NAIVE)), ["recall_at"], "recall")
+    m = E.mean_std(_recall(b, _search(b, NAIVE)), ["recall_at"], "recall")
     return m.select("recall_at", rounded("mean_recall").alias("mean_recall"), rounded("std_recall").alias("std_recall"))
 
 
-def _runs(b: Built) -> DataFrame:
-    """Recall of each configuration, at the deterministic cost of candidates a query."""
-    n = S.query_ids(b.d.queries).count()
-    truth = b.scratch.write(S.exact_top_k(b.d.queries, b.d.x, TOP), f"truth-{b.k}")
-    out = None
-    for seq, p in enumerate(SWEEP):
-        cost = S.naive_candidates(b.ranked, b.lists, b.d.docs, b.cap, p).agg((F.count(F.lit(1)) / n).alias("cost"))
-        m = E.mean_std(E.recall_normalised(_naive(b, p), truth, S.query_ids(b.d.queries), ATS), ["recall_at"], "recall").drop("std_recall")
-        m = m.crossJoin(cost).select(F.lit(p.label()).alias("config"), F.lit(seq).alias("seq"), "recall_at", rounded("mean_recall").alias("mean_recall"), rounded("cost").alias("cost"))
-        out = m if out is None else out.union(m)
-    return b.scratch.write(out, f"runs-{b.k}")
+def _runs(b: Built, configs: tuple = SWEEP) -> DataFrame:
+    """Recall of each configuration, at the cost of rows scored a query, which is the same everywhere."""
+    truth = b.scratch.write(_truth(b.d), "truth")
+    return R.sweep_runs(b.d.spark, b.index, b.d.queries, b.d.x, b.d.docs, truth, configs, TOP, ATS, R.rows_scored)
+
+
+def _shown(runs: DataFrame) -> DataFrame:
+    return runs.select("config", "seq", "recall_at", rounded("mean_recall").alias("mean_recall"), rounded("cost").alias("cost"))
 
 
 def param_sweep_recall(spark, sf):
-    return _runs(built(spark, sf))
+    return _shown(_runs(built(spark, sf)))
+
+
+def param_sweep_adaptive(spark, sf):
+    return _shown(_runs(built(spark, sf), ADAPTIVE_SWEEP))
 
 
 def optimal_per_target(spark, sf):
-    return E.optimal_per_target(_runs(built(spark, sf)), (0.3, 0.5, 0.7, 0.9, 0.99))
+    return E.optimal_per_target(_shown(_runs(built(spark, sf))), (0.3, 0.5, 0.7, 0.9, 0.99))
 
 
 def k_sweep_best(spark, sf):
-    out = None
-    for k in (4, 6):
-        runs = _runs(built(spark, sf, k)).where("recall_at = 5")
-        best = E.optimal_per_target(runs, (0.6,)).select(F.lit(k).alias("k"), "config", "mean_recall", "cost")
-        out = best if out is None else out.union(best)
-    return out
+    d, scratch = data(spark, sf)
+    truth = scratch.write(_truth(d), "truth")
+    found = R.best_per_k(spark, d.x, d.rows, d.cols, d.queries, truth, config(), (4, 6), list(SWEEP), 0.6, TOP, 5, SAMPLE_SIZE, OVERLAP, R.rows_scored)
+    out = [(best["k"], best.get("config"), best.get("recall"), best.get("cost")) for _, best, _ in found]
+    return spark.createDataFrame(out, "k int, config string, mean_recall double, cost double").select("k", "config", rounded("mean_recall").alias("mean_recall"), rounded("cost").alias("cost"))
 
 
 def sampling_recall(spark, sf):
     """Mean recall of indexes learnt on samples of two sizes and searched over all rows."""
-    out = None
-    for size in (60, 120):
-        d, scratch = data(spark, sf)
-        x = scratch.write(M.sample_rows(d.x, size), "sample")
-        rows = x.select("row_id").distinct()
-        _, h = factored(d, scratch, K, 1, x, rows)
-        cap = L.list_cap(d.n, K, OVERLAP)
-        lists = scratch.write(L.build_lists(d.x, h, cap), "lists")
-        ranked = S.rank_components(S.project(d.queries, h), S.query_ids(d.queries), K)
-        b = Built(d, scratch, h, lists, ranked, cap, K)
-        m = E.mean_std(_recall(b, _naive(b, NAIVE)), ["recall_at"], "recall")
-        m = m.select(F.lit(size).alias("sample_size"), "recall_at", rounded("mean_recall").alias("mean_recall"))
-        out = m if out is None else out.union(m)
-    return out
-
-
-def _hits(b: Built) -> DataFrame:
-    truth = S.exact_top_k(b.d.queries, b.d.x, TOP)
-    return E.first_hits(S.project(b.d.queries, b.h), truth, b.lists, S.query_ids(b.d.queries), b.k, K, TOP)
+    d, scratch = data(spark, sf)
+    m = R.recall_by_sample(d.x, d.rows, d.cols, d.queries, scratch.write(_truth(d), "truth"), config(K, 1), (60, 120), (0,), NAIVE, TOP, ATS, OVERLAP)
+    return m.select("sample_size", "recall_at", rounded("mean_recall").alias("mean_recall"))
 
 
-def coverage_by_rank(spark, sf):
+def _coverage(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = built(spark, sf)
-    out = E.coverage_by_rank(_hits(b), S.query_ids(b.d.queries).count(), K, TOP)
+    return R.coverage_of(spark, b.index, b.d.queries, b.scratch.write(_truth(b.d), "truth"), K, TOP)
+
+
+def coverage_by_rank(spark, sf):
+    out = _coverage(spark, sf)[0]
     return out.select("list_rank", *[rounded(c).alias(c) for c in out.columns[1:]])
 
 
 def coverage_histogram(spark, sf):
-    return _out(E.coverage_histogram(_hits(built(spark, sf)), K), "list_rank", "bin", "n", digits="share")
+    return _out(_coverage(spark, sf)[1], "list_rank", "bin", "n", digits="share")
 
 
 def coverage_overall(spark, sf):
-    b = built(spark, sf)
-    return _out(E.coverage_overall(_hits(b), S.query_ids(b.d.queries).count(), TOP), digits="overall_recall")
+    return _out(_coverage(spark, sf)[2], digits="overall_recall")
+
+
+# --- the same with as many components as are multiplied in blocks ---
+
+
+def spmm_xht_blocks(spark, sf):
+    d, _ = data(spark, sf)
+    return _out(M.x_ht(d.x, started(d, MANY)[1], MANY), "row_id", "comp")
+
+
+def spmm_xtw_blocks(spark, sf):
+    d, _ = data(spark, sf)
+    return _out(M.xt_w(d.x, started(d, MANY)[0], MANY), "comp", "col_id")
+
+
+def gram_hht_blocks(spark, sf):
+    d, _ = data(spark, sf)
+    return _out(M.gram(started(d, MANY)[1], "col_id", MANY), "a", "b")
+
+
+def gram_wtw_blocks(spark, sf):
+    d, _ = data(spark, sf)
+    return _out(M.gram(started(d, MANY)[0], "row_id", MANY), "a", "b")
+
+
+def mu_update_blocks(spark, sf):
+    d, scratch = data(spark, sf)
+    w, h = started(d, MANY)
+    w = scratch.write(N.mu_update_w(d.x, w, h, MANY), "w")
+    h = N.mu_update_h(d.x, w, h, MANY)
+    return _out(w, F.lit("w").alias("factor"), F.col("row_id").alias("id"), "comp").union(_out(h, F.lit("h").alias("factor"), F.col("col_id").alias("id"), "comp"))
+
+
+def hals_update_w_blocks(spark, sf):
+    d, _ = data(spark, sf)
+    w, h = started(d, MANY)
+    return _out(N.hals_update_w(d.x, w, h, d.rows, MANY, 1), "row_id", "comp")
+
+
+def build_lists_blocks(spark, sf):
+    return _out(built(spark, sf, MANY, 2.0).index.lists, "comp", "pos", "doc_id", digits="affinity")
+
+
+def naive_search_blocks(spark, sf):
+    return _search(built(spark, sf, MANY, WHOLE), S.NaiveParams(4, 1.0))
 
 
 QUERIES = {
@@ -437,6 +454,7 @@ QUERIES = {
         project_queries, rank_components, exact_topk, naive_search, naive_search_whole, naive_search_half_lists, adaptive_search, adaptive_docs_processed,
         results_padded, results_roundtrip, params_string,
         recall_at_k_normalized, recall_at_k_fixed, recall_mean_std, recall_whole, param_sweep_recall, optimal_per_target, k_sweep_best, sampling_recall,
-        coverage_by_rank, coverage_histogram, coverage_overall,
+        coverage_by_rank, coverage_histogram, coverage_overall, param_sweep_adaptive,
+        spmm_xht_blocks, spmm_xtw_blocks, gram_hht_blocks, gram_wtw_blocks, mu_update_blocks, hals_update_w_blocks, build_lists_blocks, naive_search_blocks,
     )
 }

@@ -19,7 +19,8 @@ META = T.StructType(
     + [T.StructField(n, T.DoubleType()) for n in ("build_time_sec", "query_time_sec")]
     + [T.StructField(n, T.LongType()) for n in ("k", "cap", "n_rows", "n_cols")]
 )
-ALGO, TASK = "nmf-ivf", "task3"
+#: What an index and its results say of themselves.
+ALGO, TASK = "nmf-lists", "top-k"
 
 
 def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:

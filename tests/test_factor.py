@@ -70,15 +70,15 @@ def test_fit_lowers_the_error(spark, solver, init):
     assert np.linalg.norm(dense - w @ h) == pytest.approx(out.error, rel=1e-6)
 
 
-@pytest.mark.parametrize("solver", ["mu", "hals"])
-def test_blocks_give_what_joins_give(spark, monkeypatch, solver):
+@pytest.mark.parametrize("solver, stripe, sent", [("mu", 1 << 24, 4096), ("mu", 10, 3), ("hals", 10, 4096)])
+def test_blocks_give_what_joins_give(spark, monkeypatch, solver, stripe, sent):
     rng = np.random.default_rng(5)
     dense, w0, h0 = rng.random((50, 40)) * (rng.random((50, 40)) < 0.3), rng.random((50, 5)), rng.random((5, 40))
     x, w, h = frames(spark, dense, w0, h0)
     update = {"mu": lambda: (N.mu_update_w(x, w, h, 5), N.mu_update_h(x, w, h, 5)), "hals": lambda: (N.hals_update_w(x, w, h, ids(spark, 50, "row_id"), 5), N.hals_update_h(x, w, h, ids(spark, 40, "col_id"), 5))}[solver]
     joined = [array(df, a, b, s) for df, a, b, s in zip(update(), ("row_id", "comp"), ("comp", "col_id"), ((50, 5), (5, 40)), strict=True)]
     error = N.squared_error(x, w, h).first()[0]
-    for module, name, value in ((M.blocked, "BLOCKED_FROM", 2), (N, "BLOCKED_FROM", 2), (M.blocked, "ROWS", 16), (M.blocked, "NUMBERS", 80), (M.blocked, "STEP", 7)):
+    for module, name, value in ((M.blocked, "BLOCKED_FROM", 2), (N, "BLOCKED_FROM", 2), (M.blocked, "ROWS", 16), (M.blocked, "NUMBERS", 80), (M.blocked, "STEP", 7), (M.blocked, "STRIPE", stripe), (M.blocked, "PIECE", 7), (N, "SENT", sent)):
         monkeypatch.setattr(module, name, value)
     packed = [array(df, a, b, s) for df, a, b, s in zip(update(), ("row_id", "comp"), ("comp", "col_id"), ((50, 5), (5, 40)), strict=True)]
     assert all(np.allclose(a, b) for a, b in zip(joined, packed, strict=True))
@@ -130,3 +130,23 @@ def test_numbering_and_sampling(spark):
     a, b = (sorted(r[0] for r in M.sample_rows(x, 10, s).collect()) for s in (1, 2))
     assert len(a) == len(b) == 10 and a != b
     assert M.sample_rows(x, 500).count() == 101
+
+
+def test_random_numbers_are_uniform(spark):
+    from pyspark.sql import functions as F
+
+    from partita.functions.numbers import uniform
+
+    n = 200_000
+    u = np.array([r[0] for r in spark.range(n).select(uniform("id", F.lit(3), 5)).collect()])
+    assert len(np.unique(u)) == n and 0 < u.min() and u.max() <= 1
+    chi = ((np.bincount((u * 256).astype(int).clip(0, 255), minlength=256) - n / 256) ** 2 / (n / 256)).sum()
+    assert 170 < chi < 350  # 255 are expected, with a deviation of 23
+    assert abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.01 and abs(np.corrcoef(u[:-10007], u[10007:])[0, 1]) < 0.01
+    v = np.array([r[0] for r in spark.range(n).select(uniform("id", F.lit(4), 5)).collect()])
+    assert abs(np.corrcoef(u, v)[0, 1]) < 0.01
+    x = spark.range(60_000).selectExpr("id as row_id", "0L as col_id", "1d as val")
+    chosen = np.array([r[0] for r in M.sample_rows(x, 3000, 1).select("row_id").collect()])
+    assert len(chosen) == 3000 and len(np.unique(chosen % 97)) == 97 and abs(chosen.mean() - 30_000) < 1300
+    draws = N.acol_draws(spark, x.selectExpr("row_id as place", "row_id"), 60_000, 1000, 20).select("row_id").distinct().count()
+    assert 16_000 < draws < 18_200  # of 20,000 draws from 60,000 rows about 17,009 differ

@@ -144,14 +144,30 @@ def test_exact_and_full_probing_agree(spark):
     assert [tuple(r) for r in walk] == [(a, b, d) for a, b, _, d in exact]
 
 
+def test_scale_of_the_matrix_changes_nothing(spark):
+    """Scores are compared as they are: a matrix of tiny numbers has the lists and results of the matrix times a power of two."""
+    random.seed(10)
+    rows = [(r, c, float(random.randint(1, 9))) for r in range(60) for c in random.sample(range(12), 4)]
+    h = spark.createDataFrame([(c % 4, c, 0.25 + c) for c in range(12)], "comp int, col_id long, val double")
+    got = []
+    for scale in (1.0, 2.0**-40):
+        x = spark.createDataFrame([(r, c, v * scale) for r, c, v in rows], "row_id long, col_id long, val double")
+        lists = L.build_lists(x, h, 20).orderBy("comp", "pos").collect()
+        found = S.search(x.where("row_id < 6"), x, x.selectExpr("row_id as doc_id").distinct(), h, L.build_lists(x, h, 20), 4, 20, 5, S.AdaptiveParams(30, 0.1)).orderBy("query_id", "rank").collect()
+        exact = S.exact_top_k(x.where("row_id < 6"), x, 5).orderBy("query_id", "rank").collect()
+        got.append(([tuple(r)[:3] for r in lists], [tuple(r)[:3] for r in found], [tuple(r)[:3] for r in exact]))
+        assert lists and found and all(r["affinity"] > 0 for r in lists) and all(r["score"] > 0 for r in exact)
+    assert got[0] == got[1]
+
+
 def test_reports(spark):
     from partita.plans import report
 
     by = spark.createDataFrame([(1, 2.0, 1.0, 0.4, 0.2), (2, 0.0, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0, 0.0)], "list_rank int, avg_found double, cumul_recall double, mean_rel_pos double, std_rel_pos double")
     hist = spark.createDataFrame([(r, b, int(r == 1 and b < 2), 0.5 if r == 1 and b < 2 else 0.0) for r in (1, 2, 3) for b in range(10)], "list_rank int, bin int, n long, share double")
     text = report.coverage_report(by, hist, spark.createDataFrame([(1.0,)], "overall_recall double"))
-    assert "overall recall 100.0 %" in text and "██········" in text and text.count("\n   2") == 0
-    assert report.profile([0.0, 0.02, 0.04, 0.06, 0.07, 0.2]) == "·▁▃▅▇█"
+    assert "overall recall 100.0 %" in text and "|##        |" in text and "ranks 2 to 3 find nothing more" in text
+    assert report.profile([0.0, 0.02, 0.1, 0.19, 0.2, 1.0]) == " .++##"
     runs = spark.createDataFrame([("a", 0, 30, 0.95, 0.1, 5.0)], "config string, seq int, recall_at int, mean_recall double, std_recall double, cost double")
     out = report.runs_report(runs, E.optimal_per_target(runs))
     assert "recall@30 >= 0.95: a" in out and "recall@30 >= 0.96: None" in out

@@ -41,7 +41,7 @@ def test_results_and_attributes(spark, tmp_path):
     assert rows[0]["knns"] == [6, 4, 0] and rows[0]["dists"] == [2.0, 1.0, float("-inf")] and rows[2]["knns"] == [0, 0, 0]
     assert sorted(map(tuple, store.read_results(spark, path).collect())) == sorted(map(tuple, found.collect()))
     store.write_meta(spark, path, params="b=2;")
-    assert store.read_meta(spark, path) == {"algo": "nmf-ivf", "task": "task3", "params": "b=2;", "query_time_sec": 2.5}
+    assert store.read_meta(spark, path) == {"algo": store.ALGO, "task": store.TASK, "params": "b=2;", "query_time_sec": 2.5}
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +68,7 @@ def test_whole_run(spark, dataset, tmp_path, backend):
     assert out["k"] == 3 and out["n_iter"] == 2 and len(out["history"]) == 2
     again = Index.load(spark, config.save_index)
     assert (again.k, again.cap, again.n_rows) == (3, 200, 60) and again.sizes().count() == 3
-    values = R.evaluate_saved(spark, config.save_results, f"{dataset}/knns", 5, f"{tmp_path}/m.json", "toy")
+    values = R.evaluate_saved(spark, config.save_results, f"{dataset}/knns", 5, f"{tmp_path}/m.json", dataset="toy")
     # every list is probed by one strategy, those of positive components by the other
     assert values["recall@5"] >= (1.0 if backend == "naive" else 0.5) and json.load(open(f"{tmp_path}/m.json")) == values
     assert values["search_params"] == config.params().label()
