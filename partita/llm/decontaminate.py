@@ -97,7 +97,7 @@ class Finder:
         found: dict[int, tuple[int, int, int]] = {}
         if not self.items:
             return found
-        tried: set[tuple[int, int]] = set()
+        tried: dict[int, set[int]] = {}
         for last, (length, places) in self.automaton.iter(text):
             for n, offset in places:
                 item, pattern, k = self.items[n]
@@ -106,12 +106,13 @@ class Finder:
                     if (item not in found or found[item][0]) and stands(text, start, last + 1):
                         found[item] = 0, start, last + 1
                     continue
-                slot = n, start // (k + 1)  # starts this close lie in one window
-                if slot in tried or (item in found and not found[item][0]):
-                    continue
-                tried.add(slot)
-                lo = max(0, slot[1] * (k + 1) - k)
-                part = text[lo : (slot[1] + 1) * (k + 1) + len(pattern) + k]
+                tried.setdefault(n, set()).add(start // (k + 1))  # starts this close lie in one window
+        for n, slots in tried.items():
+            item, pattern, k = self.items[n]
+            for lo, stop in _stretches(sorted(slots), k, len(pattern)):
+                if item in found and not found[item][0]:
+                    break
+                part = text[lo:stop]
                 got = myers(pattern, part, k)
                 if got and (item not in found or got[0] < found[item][0]):
                     back = myers(pattern[::-1], part[: got[1]][::-1][: len(pattern) + k], got[0])
@@ -119,6 +120,22 @@ class Finder:
         return found
 
 
+def _stretches(slots: list[int], k: int, m: int) -> Iterator[tuple[int, int]]:
+    """The windows of m characters and k edits around starts in these slots; windows that overlap as one, so no character is read twice."""
+    lo = stop = None
+    for slot in slots:
+        first, last = max(0, slot * (k + 1) - k), (slot + 1) * (k + 1) + m + k
+        if lo is None:
+            lo, stop = first, last
+        elif first <= stop:
+            stop = last
+        else:
+            yield lo, stop
+            lo, stop = first, last
+    if lo is not None:
+        yield lo, stop
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of a bounded size, each small enough for the driver and every task."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null")

@@ -30,6 +30,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return found.groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).drop("_id")
 
 
+def bounded(sample: DataFrame, column: str, most: int) -> DataFrame:
+    """The sample's rows, first by a hash of their features, whose features make up ``most`` bytes at most; one row's at least.
+
+    The sizes of the sample's rows, of which there is a bounded number, come to the driver.
+    """
+    mark = F.xxhash64(column)
+    last, total = None, 0
+    for h, n in sorted(tuple(r) for r in sample.select(mark, F.octet_length(column)).collect()):
+        total += n
+        if total > most and last is not None:
+            break
+        last = h
+    return sample if total <= most else sample.where(mark <= last)
+
+
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 60, memory: int = 8, tolerance: float = 1e-5) -> np.ndarray:
     """Limited-memory quasi-Newton descent with backtracking; f gives the value and the gradient."""
     value, g = f(x)

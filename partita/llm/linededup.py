@@ -123,7 +123,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
     """The documents with later copies of repeated line runs deleted; adds ``removed`` and ``n_lines``.
 
     ``removed`` lists the maximal deleted spans as (start, count) over the original line numbers from 0, blank
@@ -132,11 +132,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     copy by (id, hash of the text, line) stays; a null id comes before all others.  Rows repeating id and text are one
     document and are treated alike.  A null or empty text stays as it is, with ``removed`` empty.  Overlapping
     copies within one text keep their first line run.  Other columns, whatever their names, pass through
-    (a column named removed or n_lines is replaced); an empty table gives an empty table.
+    (a column named removed or n_lines is replaced); without ``report`` nothing is added, and such columns pass through
+    too.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.drop("removed", "n_lines")
+    docs = docs.drop("removed", "n_lines") if report else docs
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col))]
     found = repeated_runs(docs.select(key[0].alias("doc"), key[1].alias("hash"), F.col(text_col).cast("binary")), scratch, min_words)
     spans = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("i", "m")).alias("_partita_runs"))
@@ -155,12 +156,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             cols = [b.column(k) for k in range(len(names))]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind), pa.array(n_lines, pa.int32())], [*names, "removed", "n_lines"])
+            more = [pa.array(removed, kind), pa.array(n_lines, pa.int32())] if report else []
+            yield pa.RecordBatch.from_arrays([*cols, *more], [*names, "removed", "n_lines"][: len(cols) + len(more)])
 
     from pyspark.sql import types as T
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("count", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("removed", span), T.StructField("n_lines", T.IntegerType())])
+    more = [T.StructField("removed", span), T.StructField("n_lines", T.IntegerType())] if report else []
+    schema = T.StructType([*docs.schema.fields, *more])
     return joined.mapInArrow(run, schema)
 
 

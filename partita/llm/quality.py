@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learning import held_out, minimise, training_rows
-from .shared import ship, slices, table
+from .learning import bounded, held_out, minimise, training_rows
+from .shared import Scratch, ship, slices, table
 
 #: Labelled documents of each class that the field learns from at most.
 PER_CLASS = 1500
+#: Bytes of the features of these documents' lines, 56 for each line: documents beyond are left out of the sample.
+SAMPLE_BYTES = 1 << 24
 RIDGE = 1.0
 THRESHOLD = 0.3
 #: Bytes of text whose features are computed at once; a longer text is computed alone.
@@ -184,8 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 made.append(line_features(data, np.array([0, len(data)]))[1].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], ["f", "label"])
 
-    rows = training_rows(docs, labels, "quality", per_class).mapInArrow(run, "f binary, label int").collect()
-    rows = sorted((bytes(r["f"]), r["label"]) for r in rows)
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.write(training_rows(docs, labels, "quality", per_class).mapInArrow(run, "f binary, label int"), "sample")
+    rows = sorted((bytes(r["f"]), r["label"]) for r in bounded(sample, "f", SAMPLE_BYTES).collect())
+    scratch.drop("sample")
     return fit([np.frombuffer(f, "<f4").reshape(-1, FEATURES) for f, _ in rows], [y for _, y in rows])
 
 
@@ -210,7 +214,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_c
 
     Only the text is scored.  ``labels`` has doc_id and quality (0 or 1; others and null are ignored); ids
     whose crc32 modulo 5 is 0 are never learnt from.  At most ``per_class`` labelled documents of each class train
-    the field.  A text without lines (null, empty, white space) scores what a line without evidence would.  Without labels of
+    the field, with at most ``SAMPLE_BYTES`` of features in all.  A text without lines (null, empty, white space) scores what a line without evidence would.  Without labels of
     both classes every line gets the smoothed share of the known one.  Repeated rows and null ids are scored like any.
     """
     ship(docs.sparkSession)

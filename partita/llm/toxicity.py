@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learning import held_out, minimise, sigmoid, training_rows
+from .learning import bounded, held_out, minimise, sigmoid, training_rows
 from .shared import Scratch, ship, table
 
 SIZES = (3, 4, 5)
 BITS = 18
 #: Labelled documents of each class that the classifier learns from at most.
 PER_CLASS = 2500
+#: Bytes of these documents' features, four for each: documents beyond are left out of the sample.
+SAMPLE_BYTES = 1 << 27
 #: Added to the counts before the ratio.
 SMOOTHING = 2.0
 #: Features whose log ratio is nearer to zero than this tell the classes too little to be kept.
@@ -123,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     scratch = Scratch(docs.sparkSession)
     sample = scratch.write(training_rows(docs, labels, label, per_class).mapInArrow(hashed, "at binary, label int"), "sample")
+    sample = bounded(sample, "at", SAMPLE_BYTES)
     n, c = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
     for r in sample.coalesce(4).mapInArrow(counted, "n binary, c binary").collect():
         n += np.frombuffer(r["n"], np.int64)
@@ -139,7 +142,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_
 
     Only the text is scored.  ``labels`` has doc_id and toxic (0 or 1; others and null are ignored); ids
     whose crc32 modulo 5 is 0 are never learnt from.  At most ``per_class`` labelled documents of each
-    class train the classifier.  A null or empty text scores by the bias alone.  Without labels of both classes, every
+    class train the classifier, with at most ``SAMPLE_BYTES`` of features in all.  A null or empty text scores by the bias alone.  Without labels of both classes, every
     text gets the smoothed share of the known one.  Repeated rows and null ids (not held out) are scored like any.
     """
     ship(docs.sparkSession)

@@ -306,6 +306,38 @@ def test_pipeline(spark, smallest):
     assert C.run(spark, smallest).count() == counts[5]
 
 
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):  # noqa: F811
+    """Nulls, empty and long texts, repeated rows, and columns named like those that the stages make."""
+    import corpus_pipeline as C
+
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{r.randint(0, 3000)}" for _ in range(60)) + ".") for i in range(100, 130)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = odd.unionByName(more, allowMissingColumns=True).selectExpr("*", "1 as removed", "2 as n_lines", "3L as n_chars", "'s' as source", "'en' as lang", "4 as bucket", "5 as fp", "6 as _id")
+    item = rows[3][1][:200]
+    for name, df in (
+        ("documents", docs), ("labels", spark.createDataFrame([(i, 1, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")),
+        ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")),
+    ):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    here, scratch = spark.read.parquet(f"{tmp_path}/documents.parquet"), Scratch(spark)
+    for name, stage in C.STAGES:
+        out = scratch.write(stage(spark, here, str(tmp_path)), name)
+        assert name == "packing" or out.schema.simpleString() == docs.schema.simpleString()
+        kept = {x["doc_id"] for x in out.collect()}
+        assert kept >= set(range(100, 130)) - ({103} if name in ("decontaminate", "packing") else set())
+        if name == "line_dedup":
+            assert all(x["n_chars"] == len(x["text"]) for x in out.where("text is not null").collect()) and {x["removed"] for x in out.collect()} == {1}
+        if name == "near_dedup":
+            assert Counter(x["text"] for x in out.collect()).most_common(1)[0][1] == 1
+        here = out
+    assert 103 not in kept
+    empty_dir = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty_dir}/{name}.parquet")
+    assert C.run(spark, str(empty_dir)).collect() == []
+
+
 def test_every_query_runs(spark, smallest):
     from partita.llm import registry
 

@@ -212,6 +212,40 @@ def test_leaks_against_full_edit_distance(item, before, after, edits):
         assert distance == least == edit_distance(item, text[start:stop], False)
 
 
+def test_repeating_texts_are_read_once():
+    import time
+
+    text, item = "the cat sat on the mat and the " * 20_000, "the cat sat on the mat and then the cat sat on a hat"
+    began = time.time()
+    got = D.Finder([(1, item)], 0.08)(text)
+    assert time.time() - began < 8 and ((1 in got) == (edit_distance(item, text[:200], True) <= 4))
+    assert list(D._stretches([0, 1, 9, 30], 1, 5)) == [(0, 10), (17, 26), (59, 68)]
+
+
+def test_samples_are_bounded_by_their_size(spark):
+    sample = spark.createDataFrame([(bytes(10) + bytes([n]), n % 2) for n in range(20)], "f binary, label int")
+    assert learning.bounded(sample, "f", 1000).count() == 20 and learning.bounded(sample, "f", 60).count() == 5 and learning.bounded(sample, "f", 3).count() == 1
+
+
+def test_ratios_and_score_against_brute_force():
+    texts = [("bad bad day", 1), ("a bad word", 1), ("good day", 0), ("a good word", 0), ("fine", 0)]
+    docs = [{int(g) for g in toxicity.grams(t)} for t, _ in texts]
+    y = [label for _, label in texts]
+    counts, n = np.zeros((2, 1 << toxicity.BITS), np.int64), np.bincount(y)
+    for d, label in zip(docs, y, strict=True):
+        counts[label, list(d)] += 1
+    ratio = toxicity.ratios(counts, n)
+    for g in set().union(*docs):
+        share = [(sum(g in d for d, label in zip(docs, y, strict=True) if label == c) + toxicity.SMOOTHING) / (n[c] + 2 * toxicity.SMOOTHING) for c in (0, 1)]
+        want = np.log(share[1] / share[0])
+        assert ratio[g] == pytest.approx(want if abs(want) >= toxicity.LEAST_RATIO else 0)
+    model = toxicity.fit([(np.array(sorted(g for g in d if ratio[g]), np.int32), label) for d, label in zip(docs, y, strict=True)], ratio)
+    got = toxicity.score(pa.array([t for t, _ in texts]), model)
+    for d, s in zip(docs, got, strict=True):
+        assert s == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(float(model.weight[g]) for g in d)))), rel=1e-6)
+    assert min(got[:2]) > max(got[2:])
+
+
 def test_short_items_as_whole_words(spark):
     items = spark.createDataFrame([(1, "Who is Ada?"), (2, "東京の人口は"), (3, " ?! ")], "item_id long, text string")
     rows = [(1, "so who is ada, then"), (2, "who is adam"), (3, "who is ado"), (4, "昨日、東京の人口は何人ですか"), (5, "東京の口は"), (6, "who is adam who is ada")]
@@ -272,7 +306,7 @@ def test_dominance_is_optimal_on_small_cases():
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
-    docs = odd.where("length(text) < 100000 or text is null").unionByName(spark.createDataFrame([(50, "Hello, big WORLD. " * 3000), (51, "á İ <|endoftext|>, it's 12.")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = odd.unionByName(spark.createDataFrame([(50, "Hello, big WORLD. " * 3000), (51, "á İ <|endoftext|>, it's 12.")], "doc_id long, text string"), allowMissingColumns=True)
     got = packing.pack(docs).collect()
     plain = Tokenizer.from_file(packing.vocabulary_path())
     want = []
