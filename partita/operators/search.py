@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import Scratch
 from .matrix import row_dots, x_ht
 
 
+#: Entries of a list that the adaptive search scores at first, at least, and how many times as many when these do not end it.
+SLICE, GROWTH = 32, 4
+
+
 @dataclass(frozen=True)
 class NaiveParams:
     nprobe: int = 10
@@ -87,14 +91,11 @@ def naive_search(queries: DataFrame, x: DataFrame, docs: DataFrame, ranked: Data
     return best_k(_scored(queries, x, naive_candidates(ranked, lists, docs, cap, params)), top_k)
 
 
-def adaptive_candidates(ranked: DataFrame, lists: DataFrame, docs: DataFrame, params: AdaptiveParams) -> DataFrame:
-    """(query_id, rank, pos, doc_id): entries of the lists that pass the cutoff, in visiting order by (rank, pos).
-
-    A component passes with a positive score of at least drop_ratio times the query's best.
-    """
+def passing_lists(ranked: DataFrame, params: AdaptiveParams) -> DataFrame:
+    """(query_id, rank, comp) of the lists that pass the cutoff: a positive score of at least drop_ratio times the query's best."""
     best = F.max("q_score").over(W.partitionBy("query_id"))
     passing = ranked.withColumn("_best", best).where((F.col("q_score") > 0) & (F.col("q_score") >= F.col("_best") * params.drop_ratio))
-    return passing.select("query_id", "rank", "comp").join(lists.join(docs, "doc_id", "left_semi"), "comp").select("query_id", "rank", "pos", "doc_id")
+    return passing.select("query_id", "rank", "comp")
 
 
 class Walk:
@@ -127,42 +128,88 @@ def adaptive_search(
 ) -> DataFrame:
     """(query_id, rank, doc_id, score, processed): lists are left after ``max_misses`` misses in a row.
 
-    A miss is a newly scored row that does not enter the k best so far; ``processed`` counts the rows scored.  Scores are
-    computed by joins; the walk, which depends on its order, then runs over each query's sorted entries as a stream
-    that holds one query's state at a time.
+    A miss is a newly scored row that does not enter the k best so far; ``processed`` counts the rows that the walk scores.
+    """
+    return adaptive_rounds(queries, x, docs, ranked, lists, top_k, params)[0]
+
+
+def adaptive_rounds(
+    queries: DataFrame, x: DataFrame, docs: DataFrame, ranked: DataFrame, lists: DataFrame, top_k: int, params: AdaptiveParams | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The results, and (query_id, doc_id, score) of all rows that were scored for them.
+
+    A round scores the next slice of each open list, by joins, and then walks through what is scored, a query at a time in visiting
+    order.  A list that the walk leaves within its slice is never read further; where a slice ends before the walk leaves its
+    list, the list is open and gets a slice ``GROWTH`` times as deep; the lists after it are walked as if it had ended, and may be read deeper
+    than the walk needs in the end.  A query without open lists is done, and takes no part in later rounds.
     """
     if top_k < 1:
         raise ValueError("top_k must be positive")
     params = params or AdaptiveParams()
-    ship(x.sparkSession)
-    entries = adaptive_candidates(ranked, lists, docs, params)
-    scored = _scored(queries, x, entries.select("query_id", "doc_id").distinct())
-    seq = entries.join(scored, ["query_id", "doc_id"]).select("query_id", "rank", "pos", "doc_id", "score")
-    max_misses = params.max_misses
+    scratch = Scratch(x.sparkSession)
+    # positions among the rows that can be scored; a list is capped, so its window is too
+    place = F.row_number().over(W.partitionBy("comp").orderBy("pos")).cast("long") - 1
+    heads = scratch.write(lists.join(docs, "doc_id", "left_semi").select("comp", place.alias("pos"), "doc_id"), "heads")
+    sizes = heads.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    first = F.lit(max(SLICE, min(params.max_misses, 1 << 30))).cast("long")
+    depth = passing_lists(ranked, params).join(sizes, "comp").select("query_id", "rank", "comp", "size", F.lit(0).cast("long").alias("lo"), first.alias("hi"))
+    depth, entries, scored, done, n = scratch.write(depth, "depth-0"), None, None, None, 0
+    while True:
+        fresh = depth.where("lo < hi").join(heads, "comp").where("pos >= lo and pos < hi").select("query_id", "rank", "pos", "doc_id")
+        fresh = scratch.write(fresh, f"entries-{n}")
+        pairs = fresh.select("query_id", "doc_id").distinct()
+        pairs = pairs if scored is None else pairs.join(scored, ["query_id", "doc_id"], "left_anti")
+        new = scratch.write(row_dots(x, queries, scratch.write(pairs, f"pairs-{n}")), f"scored-{n}")
+        entries, scored = (fresh, new) if entries is None else (entries.union(fresh), scored.union(new))
+        ends = depth.select("query_id", "rank", (F.col("size") > F.col("hi")).alias("more"))
+        seq = entries.join(ends, ["query_id", "rank"]).join(scored, ["query_id", "doc_id"]).select("query_id", "rank", "pos", "doc_id", "score", "more")
+        seq = seq.repartition("query_id").sortWithinPartitions("query_id", "rank", "pos")
+        walked = scratch.write(seq.mapInArrow(_walk(top_k, params.max_misses), "query_id long, rank int, doc_id long, score double, processed long, open boolean"), f"walked-{n}")
+        found = walked.where("not open").drop("open")
+        done = found if done is None else done.union(found)
+        wider = walked.where("open").select("query_id", "rank", F.lit(True).alias("open"))
+        if not wider.limit(1).count():
+            return done, scored
+        left = depth.join(wider.select("query_id").distinct(), "query_id", "left_semi").join(wider, ["query_id", "rank"], "left")
+        deeper = F.when(F.col("open"), F.col("hi") * GROWTH).otherwise(F.col("hi"))
+        n += 1
+        depth = scratch.write(left.select("query_id", "rank", "comp", "size", F.col("hi").alias("lo"), deeper.alias("hi")), f"depth-{n}")
+
+
+def _walk(top_k: int, max_misses: int):
+    """For each query its results, or the lists that must be read further before they are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, walk = None, None
+        query, walk, wider, last, more = None, None, [], None, False
+
+        def ended() -> None:
+            if more and walk.misses >= 0:
+                wider.append(last)
 
         def result() -> pa.RecordBatch:
+            ended()
             best = sorted((s, d) for s, _, d in walk.heap)
-            n = len(best)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([query] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array([d for _, d in best], pa.int64()), pa.array([-s for s, _ in best], pa.float64()), pa.array([len(walk.seen)] * n, pa.int64())],
-                ["query_id", "rank", "doc_id", "score", "processed"],
-            )
+            if wider:
+                rows = [(query, r, None, None, None, True) for r in wider]
+            else:
+                rows = [(query, k, d, -s, len(walk.seen), False) for k, (s, d) in enumerate(best, 1)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["query_id", "rank", "doc_id", "score", "processed", "open"])
 
         for b in batches:
-            for q, r, d, s in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+            for q, r, d, s, m in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
                 if q != query or walk is None:
                     if walk is not None:
                         yield result()
-                    query, walk = q, Walk(top_k, max_misses)
+                    query, walk, wider, last, more = q, Walk(top_k, max_misses), [], r, m
+                elif r != last:
+                    ended()
+                    last, more = r, m
                 walk.visit(r, d, s)
         if walk is not None:
             yield result()
 
-    ordered = seq.repartition("query_id").sortWithinPartitions("query_id", "rank", "pos")
-    return ordered.mapInArrow(run, "query_id long, rank int, doc_id long, score double, processed long")
+    return run
 
 
 def search(queries, x, docs, h, lists, k: int, cap: int, top_k: int, params: NaiveParams | AdaptiveParams | None = None) -> DataFrame:

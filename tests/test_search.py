@@ -63,6 +63,40 @@ def test_adaptive(fixture, misses, ratio, scores, processed):
     assert {r["processed"] for r in got} == ({processed} if scores else set())
 
 
+@pytest.mark.parametrize("slice_, growth", [(1, 2), (3, 2), (2, 4)])
+def test_rounds_score_little_more_than_the_walk(spark, monkeypatch, slice_, growth):
+    """Against a walk in memory, which scores no more rows than the rounds do, and they no more than the lists hold."""
+    monkeypatch.setattr(S, "SLICE", slice_)
+    monkeypatch.setattr(S, "GROWTH", growth)
+    r = random.Random(slice_)
+    n, comps = 150, 5
+    score = {(q, d): float(r.randint(0, 30)) for q in range(6) for d in range(n)}
+    q = spark.createDataFrame([(i, i, 1.0) for i in range(6)], "row_id long, col_id long, val double")
+    x = spark.createDataFrame([(d, i, s) for (i, d), s in score.items() if s], "row_id long, col_id long, val double")
+    held = {c: r.sample(range(n), r.randint(5, 60)) for c in range(comps)}
+    lists = spark.createDataFrame([(c, p, d) for c, ds in held.items() for p, d in enumerate(ds)], "comp int, pos int, doc_id long")
+    order = {i: r.sample(range(comps), comps) for i in range(6)}
+    ranked = spark.createDataFrame([(i, c, 1.0 / k, k) for i, cs in order.items() for k, c in enumerate(cs, 1)], "query_id long, comp int, q_score double, rank int")
+    docs = spark.range(n - 10).withColumnRenamed("id", "doc_id")
+    got, scored = S.adaptive_rounds(q, x, docs, ranked, lists, 4, S.AdaptiveParams(3, 0.0))
+    rows, most = {}, {}
+    for i, cs in order.items():
+        walk = S.Walk(4, 3)
+        for k, c in enumerate(cs, 1):
+            for d in held[c]:
+                if d < n - 10:
+                    walk.visit(k, d, score[i, d])
+        rows[i] = [(d, -s, len(walk.seen)) for s, d in sorted((s, d) for s, _, d in walk.heap)]
+        most[i] = len({d for ds in held.values() for d in ds if d < n - 10})
+    found: dict = {}
+    for row in got.orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append((row["doc_id"], row["score"], row["processed"]))
+    assert found == rows
+    counts = {row["query_id"]: row["count"] for row in scored.groupBy("query_id").count().collect()}
+    assert all(rows[i][0][2] <= counts[i] <= most[i] for i in rows) and sum(counts.values()) < 0.9 * sum(most.values())
+    assert scored.count() == scored.select("query_id", "doc_id").distinct().count()
+
+
 @pytest.mark.parametrize(
     "nprobe, factor, docs_, n",
     [(1, 1.0, [4, 0], 6), (2, 1.0, [4, 0], 8), (3, 1.0, [8, 4], 10), (3, 0.25, [8, 0], 6), (2, 0.5, [0, 6], 6), (99, 0.0, [8, 0], 3)],
