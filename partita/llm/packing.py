@@ -243,7 +243,7 @@ def pack(
     slots = _intervals(plan(counts, capacity))
     buckets = min(MOST_BUCKETS, rows_per_bucket(sum(counts.values())))
     mix = F.xxhash64("doc_id", "piece", "ids_crc32")
-    ranked = ranked_in(cut.withColumn("mix", mix), "length", ["mix"], F.shiftright("mix", 64 - (buckets.bit_length() - 1)), "rank")
+    ranked = ranked_in(cut.withColumn("mix", mix), "length", ["mix"], F.shiftright("mix", 64 - (buckets.bit_length() - 1)), "rank", copies=True)
     # at most a few classes of slots for each of at most `capacity` lengths, whatever the number of rows
     where = spark.createDataFrame(slots, "size long, lo long, hi long, sequence long, copies long, at long")
     placed = ranked.join(F.broadcast(where), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

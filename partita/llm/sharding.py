@@ -33,7 +33,7 @@ def stratified_shards(
     The law is ``rows``: shard sizes are at most one row apart, and slots run from 0 without gaps.  A null
     source is a source of its own; a null text counts as empty (size 1, checksum 0).  Repeated rows are
     shuffled like any others and keep their number; rows equal in id, text and source are
-    interchangeable.  Null ids are kept.  Other columns are ignored; an empty table gives no rows.
+    interchangeable, counted first and dealt out afterwards, so no task holds all of them.  Null ids are kept.  Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -49,7 +49,7 @@ def stratified_shards(
     buckets = min(MOST_BUCKETS, rows_per_bucket(n))
     bits = buckets.bit_length() - 1
     high = F.shiftright("mix", 4 * DIGITS - bits)  # the hash's upper bits: grows with the hash
-    ranked = ranked_in(base, "source", ["mix", "doc_id", "size"], high, "rank")
+    ranked = ranked_in(base, "source", ["mix", "doc_id", "size"], high, "rank", copies=True)
     of = base.groupBy("source").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("source", "_s")
     ranked = ranked.join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     offset = (seeded(seed, "source") % UNITS) / F.lit(float(UNITS))

@@ -25,15 +25,23 @@ def rows_per_bucket(n: int, target: int = 4096) -> int:
     return 1 << max(8, (max(n, 1) // target).bit_length())
 
 
-def ranked_in(df: DataFrame, group: str, order: list, bucket, rank: str) -> DataFrame:
+#: Copies of equal rows that are numbered together.
+COPIES = 4096
+
+
+def ranked_in(df: DataFrame, group: str, order: list, bucket, rank: str, copies: bool = False) -> DataFrame:
     """Adds the 0-based rank of each row within ``group`` by (bucket, order), without one task per group.
 
     ``bucket`` is an expression that does not decrease along the wanted order.  Rows are counted per
     (group, bucket) with map-side sums, the counts are summed over the buckets of a group, and only
-    rows of one bucket are sorted together; so a group holding a third of all rows is spread out.
+    rows of one bucket are sorted together; so a group holding a third of all rows is spread out.  With
+    ``copies``, rows equal in every column are counted with map-side sums too, ranked as one and
+    numbered afterwards in parts of ``COPIES`` rows that are dealt out; rows that only the
+    columns outside ``order`` tell apart follow those columns.
     """
     from pyspark.sql import Window as W
 
+    names = df.columns
     b = df.withColumn("_b", bucket)
     sizes = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
@@ -41,6 +49,16 @@ def ranked_in(df: DataFrame, group: str, order: list, bucket, rank: str) -> Data
         F.col("_b").alias("_c"),
         (F.sum("_n").over(W.partitionBy(group).orderBy("_b")) - F.col("_n")).alias("_before"),
     )
-    inner = b.withColumn("_k", F.row_number().over(W.partitionBy(group, "_b").orderBy(*order)) - 1)
-    joined = inner.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
-    return joined.withColumn(rank, F.col("_before") + F.col("_k")).drop("_b", "_k", "_g", "_c", "_before")
+    b = b.groupBy(*names, "_b").agg(F.count(F.lit(1)).alias("_m")) if copies else b.withColumn("_m", F.lit(1))
+    rest = [c for c in names if copies and c not in order]
+    rows = W.partitionBy(group, "_b").orderBy(*order, *rest)
+    upto = F.sum("_m").over(rows.rowsBetween(W.unboundedPreceding, W.currentRow)) if copies else F.row_number().over(rows)
+    joined = b.withColumn("_k", upto - F.col("_m")).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    ranked = joined.withColumn(rank, F.col("_before") + F.col("_k"))
+    if copies:
+        parts = ranked.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(COPIES).cast("long"))))
+        # a number of its own, as few bytes here may stand for many rows and would be put together
+        parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(rank, "_at"))
+        last = F.least(F.col("_at") + COPIES, F.col("_m")) - 1
+        ranked = parts.withColumn("_at", F.explode(F.sequence(F.col("_at"), last))).withColumn(rank, F.col(rank) + F.col("_at"))
+    return ranked.select(*names, rank)

@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from partita.llm import linededup as L
 from partita.llm import sharding, simhash, topk
 from partita.llm.components import components
-from partita.llm.shared import Scratch
+from partita.llm.shared import COPIES, Scratch, ranked_in
 
 from .test_text_operators import empty, odd  # noqa: F401
 
@@ -284,6 +285,17 @@ def test_shards(spark, odd):  # noqa: F811
     assert sharding.stratified_shards(empty(spark).selectExpr("*", "text as source")).collect() == []
 
 
+def test_equal_rows_are_counted_and_dealt_out(spark):
+    n = COPIES * 2 + 5
+    rows = [(None, None, 0)] * n + [(i % 50, i, 0) for i in range(500)] + [(7, 7, 0)] * 9
+    docs = spark.createDataFrame(rows, "mix long, more long, all int")
+    made = ranked_in(docs, "all", ["mix"], F.coalesce(F.col("mix"), F.lit(-1)), "rank", copies=True)
+    got = sorted(made.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(len(rows))) and Counter(map(tuple, (r[:3] for r in got))) == Counter(rows)
+    assert [-1 if r["mix"] is None else r["mix"] for r in got] == sorted(-1 if r[0] is None else r[0] for r in rows)
+    assert max(made.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]) < n
+
+
 def test_shards_use_no_python(spark, smallest):
     plan = sharding.op6_stratified_shards(spark, smallest)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
