@@ -12,6 +12,8 @@ from .matrix import x_ht
 
 #: Fixed value: lists hold this many times their even share of the rows.
 OVERLAP = 10
+#: Parts of a component's rows that are cut before they meet.
+PARTS = 32
 
 
 def list_cap(n_rows: int, k: int, overlap: float = OVERLAP) -> int:
@@ -28,10 +30,14 @@ def admitted(scores: DataFrame, cap: int) -> DataFrame:
     rows tied at the cap score those survive that came among the first ``cap`` rows of at least that score, less the
     lowest ids that better rows pushed out.
     """
-    by_score = W.partitionBy("comp").orderBy(F.desc("affinity"))
-    kept = scores.where("affinity > 0").withColumn("r", F.rank().over(by_score)).where(F.col("r") <= cap)
-    least = F.min("affinity").over(W.partitionBy("comp"))
-    kept = kept.withColumn("tied", F.col("affinity") == least)
+    # the first 2 cap by (falling score, id) hold every better row and the cap + 1 tied rows that come first, whatever the number of
+    # ties; parts of a component are cut alone before it meets in one task
+    order, twice = (F.desc("affinity"), "doc_id"), 2 * cap
+    part = W.partitionBy("comp", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).orderBy(*order)
+    kept = scores.where("affinity > 0").withColumn("r", F.row_number().over(part)).where(F.col("r") <= twice)
+    kept = kept.withColumn("r", F.row_number().over(W.partitionBy("comp").orderBy(*order))).where(F.col("r") <= twice)
+    kept = kept.withColumn("least", F.min(F.when(F.col("r") <= cap, F.col("affinity"))).over(W.partitionBy("comp")))
+    kept = kept.where("affinity >= least").withColumn("tied", F.col("affinity") == F.col("least"))
     kept = kept.withColumn("better", F.sum((~F.col("tied")).cast("long")).over(W.partitionBy("comp")))
     kept = kept.withColumn("arrival", F.row_number().over(W.partitionBy("comp").orderBy("doc_id")))
     # a tied row stays if it arrived before the heap was full and is among the cap - better largest such ids

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,11 +50,15 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csr_entries(spark: SparkSession, data: list, indices: list, indptr: list, shape: tuple[int, int]) -> DataFrame:
-    """Entries of a compressed-row matrix held in arrays on the driver; bounds are checked."""
-    if len(indptr) != shape[0] + 1 or indptr[-1] != len(data) or len(data) != len(indices) or any(not 0 <= c < shape[1] for c in indices):
+    """Entries of a compressed-row matrix held in arrays on the driver, handed on as columns; bounds are checked."""
+    data, indices, indptr = np.asarray(data, float), np.asarray(indices, np.int64), np.asarray(indptr, np.int64)
+    length = np.diff(indptr)
+    if len(indptr) != shape[0] + 1 or indptr[0] != 0 or indptr[-1] != len(data) or len(data) != len(indices) or (length < 0).any():
         raise ValueError("the arrays do not make a matrix of this shape")
-    rows = [(r, int(indices[p]), float(data[p])) for r in range(shape[0]) for p in range(indptr[r], indptr[r + 1])]
-    return spark.createDataFrame(rows, MATRIX).where("val <> 0")
+    if len(indices) and not 0 <= indices.min() <= indices.max() < shape[1]:
+        raise ValueError("the arrays do not make a matrix of this shape")
+    columns = (np.repeat(np.arange(shape[0], dtype=np.int64), length), indices, data)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=MATRIX.names), MATRIX).where("val <> 0")
 
 
 def read_ground_truth(spark: SparkSession, path: str, one_based: bool = True) -> DataFrame:

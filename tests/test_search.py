@@ -24,6 +24,14 @@ def bounded_heap(scores, cap):
     return [d for _, d in sorted(heap, reverse=True)]
 
 
+def test_many_ties_at_the_cap(spark):
+    r = random.Random(3)
+    for cap in (1, 7, 40):
+        rows = [(0, d, float(r.choice([1, 1, 1, 1, 2]) if d % 50 else 3)) for d in range(4000)]
+        got = L.admitted(spark.createDataFrame(rows, "comp int, doc_id long, affinity double"), cap).orderBy("pos").collect()
+        assert [g["doc_id"] for g in got] == bounded_heap([s for _, _, s in rows], cap)
+
+
 def test_lists_keep_what_a_bounded_heap_keeps(spark):
     random.seed(4)
     cases = [[1, 1, 1], [1, 1, 1, 2], [1, 2, 1], [2, 2, 2, 2], [0, -1, 3, 2, 3], [0, 0]]

@@ -107,6 +107,26 @@ def test_stream_of_queries(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [4, 5]
 
 
+def test_stream_of_packed_queries(spark, tmp_path):
+    from partita.operators.matrix import packed
+    from partita.operators.search import exact_top_k
+    from partita.streaming import search_stream
+
+    x = spark.createDataFrame([(r, c, 1.0 + r) for r in range(6) for c in range(3)], store.MATRIX)
+    packed(x.where("row_id in (1, 2)")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    kind = spark.read.parquet(f"{tmp_path}/in").schema
+    s = search_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), lambda q: exact_top_k(q, x, 2), f"{tmp_path}/out", f"{tmp_path}/cp")
+    s.processAllAvailable()
+    s.stop()
+    assert sorted((r["query_id"], r["doc_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 4), (1, 5), (2, 4), (2, 5)]
+
+
+@pytest.mark.parametrize("indptr, indices, data", [([0, 2, 1], [0, 1], [1.0, 2.0]), ([1, 1, 2], [0, 1], [1.0, 2.0]), ([0, 1, 2], [0, -1], [1.0, 2.0]), ([0, 1], [0], [1.0])])
+def test_arrays_that_make_no_matrix(spark, indptr, indices, data):
+    with pytest.raises(ValueError):
+        store.csr_entries(spark, data, indices, indptr, (2, 2))
+
+
 def test_recall_sweep_over_a_saved_index(spark, dataset, tmp_path):
     config = R.preset("toy", data_dir=str(dataset.parent), n_components=2, max_iter=1, backend="adaptive", save_index=f"{tmp_path}/index", save_results="")
     R.run(spark, config)
