@@ -58,7 +58,7 @@ def ranked_in(df: DataFrame, group: str, order: list, bucket, rank: str, copies:
     if copies:
         parts = ranked.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(COPIES).cast("long"))))
         # a number of its own, as few bytes here may stand for many rows and would be put together
-        parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(rank, "_at"))
+        parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(group, rank, "_at"))
         last = F.least(F.col("_at") + COPIES, F.col("_m")) - 1
         ranked = parts.withColumn("_at", F.explode(F.sequence(F.col("_at"), last))).withColumn(rank, F.col(rank) + F.col("_at"))
     return ranked.select(*names, rank)
