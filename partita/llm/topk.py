@@ -8,7 +8,9 @@ of a cell, and each keeps, for every slice, bounds of what its vectors can score
   of bounds.  One block of each is resolved, and so a score is known that the k-th best cannot be below.
 * Phase two sends every query that safe cutoff: a vector can only reach it if its partial score in at least one of m lists is the
   cutoff's m-th part or more, so only cells and blocks above that share in some list, and whose bounds sum up to the cutoff, are read.
-* Phase three resolves the remaining scores of what was read, exactly, and keeps what reaches the cutoff.
+* Phase three resolves the remaining scores of what was read, exactly, and keeps what reaches the cutoff.  Blocks are dealt to tiles of
+  bounded size and queries are sent once to each tile that holds a cell left open, so queries are copied per tile and not per cell; a task
+  holds one tile, through which its queries stream.
 
 Scores are exact integers.  What is sent to all tasks are the bounds of at most ``CELLS`` cells for each length of vectors.
 """
@@ -31,6 +33,8 @@ SLICES = 4
 CELLS, CELL, SAMPLE, ROUNDS = 1024, 256, 16384, 4
 #: Vectors of a block, and queries that meet a block at once.
 VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
+#: Components of the vectors that a task holds at once, and tiles that the vectors are dealt to at least.
+TILE, TILES = 1 << 23, 16
 #: Components are cut to what fits in a long after scaling; beyond these sizes sums are made of Python's integers and cut at the end.
 LONG = 2**63 - 1
 #: Stands for a cutoff where fewer than k entries are known.
@@ -55,12 +59,13 @@ def cuts(dim: int, slices: int) -> list[tuple[int, int]]:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times b transposed, exact: in doubles where they hold every sum, else in longs, else cut to longs."""
+    """a times b transposed, exact, in the smallest type that holds every sum: floats, doubles, longs, else cut to longs."""
     most = a.shape[1] * (int(np.abs(a.astype(np.float64)).max()) if a.size else 0) * (int(np.abs(b.astype(np.float64)).max()) if b.size else 0)
     if most < 2**52:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+        kind = np.float32 if most < 2**24 else np.float64
+        return a.astype(kind) @ b.T.astype(kind)
     if most < 2**62:
-        return a @ b.T
+        return a.astype(np.int64) @ b.T.astype(np.int64)
     return np.clip(a.astype(object) @ b.T.astype(object), -LONG, LONG).astype(np.int64)
 
 
@@ -110,6 +115,17 @@ def _matrix(column: pa.ListArray | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
+def _compact(x: np.ndarray) -> tuple[str, bytes]:
+    """The name of the smallest type that holds every number, and the numbers in it."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    kind = next(k for k in ("int16", "int32", "int64") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return kind, x.astype(kind).tobytes()
+
+
+def _unpacked(b: pa.RecordBatch, i: int, n: int) -> np.ndarray:
+    return np.frombuffer(b["data"][i].as_buffer(), b["kind"][i].as_py()).reshape(n, b["dim"][i].as_py())
+
+
 def _by_length(b: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]]:
     """(length, places) of the batch's vectors."""
     size = pc.list_value_length(b[column]).to_numpy(zero_copy_only=False)
@@ -143,10 +159,36 @@ def nearest(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
     return np.concatenate([(square - 2 * x[k : k + 1024] @ middle.T).argmin(axis=1) for k in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
 
 
-BLOCK = "dim int, cell int, part long, ids array<long>, data binary, middle binary, radius binary, low binary, high binary"
+class Tiles:
+    """Blocks in the order of their cells, cut into tiles of so many components at most, or one block more; no tile mixes lengths."""
+
+    def __init__(self, sizes: dict[tuple[int, int], int]):
+        self.at, self.n, self.block, share = {}, 0, VECTOR_BLOCK, -(-sum(sizes.values()) // TILES)
+        for d in sorted({key[0] for key in sizes}):
+            most, before = max(self.block, min(TILE // max(1, d), share)), 0
+            for key in sorted(key for key in sizes if key[0] == d):
+                self.at[key] = self.n, before, sizes[key], most
+                before += sizes[key]
+            self.n += before // most + 1
+
+    def of(self, dim: int, cell: int, part: int) -> int:
+        first, before, n, most = self.at[dim, cell]
+        return first + (before + n * part // max(1, -(-n // self.block))) // most
+
+    def reached(self, dim: int, cells: list[int]) -> tuple[int, np.ndarray]:
+        """The first tile of a length, and (cell, tile from there) of 1 where a tile holds blocks of the cell."""
+        last = [self.of(dim, c, max(0, -(-self.at[dim, c][2] // self.block) - 1)) for c in cells]
+        first = [self.of(dim, c, 0) for c in cells]
+        out = np.zeros((len(cells), max(last) + 1 - min(first)), np.float32)
+        for row, lo, hi in zip(out, first, last, strict=True):
+            row[lo - min(first) : hi + 1 - min(first)] = 1
+        return min(first), out
+
+
+BLOCK = "dim int, cell int, part long, tile int, ids array<long>, kind string, data binary, middle binary, radius binary, low binary, high binary"
 
 
-def _index(vectors: DataFrame, slices: int, scratch: Scratch, cells: int) -> DataFrame:
+def _index(vectors: DataFrame, slices: int, scratch: Scratch, cells: int) -> tuple[DataFrame, Tiles]:
     """Every vector in a block of its cell; a cell with more vectors has more blocks, so a hot one is spread out."""
     middles = pivots(vectors, cells)
 
@@ -160,7 +202,8 @@ def _index(vectors: DataFrame, slices: int, scratch: Scratch, cells: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(cell), b["vec_id"], b["x"]], ["dim", "cell", "vec_id", "x"])
 
     placed = scratch.write(vectors.select("vec_id", "x").mapInArrow(assign, "dim int, cell int, vec_id long, x array<long>"), "placed")
-    size = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    size = scratch.write(placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    tiles = Tiles({(r["dim"], r["cell"]): r["n"] for r in size.collect()})  # a number a cell
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / VECTOR_BLOCK)).cast("long")
     salted = placed.join(size, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts))
     packed = salted.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("vec_id", "x")).alias("v"))
@@ -171,11 +214,14 @@ def _index(vectors: DataFrame, slices: int, scratch: Scratch, cells: int) -> Dat
                 dim, v = b["dim"][i].as_py(), b["v"][i].values
                 x = _matrix(v.field("x"), dim)
                 box = Bounds.of(x, slices)
-                made = [m.tobytes() for m in (x, box.middle, box.radius, box.low, box.high)]
-                one = [pa.array([v.field("vec_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([m], pa.binary()) for m in made)]
-                yield pa.RecordBatch.from_arrays([b[c].slice(i, 1) for c in ("dim", "cell", "part")] + one, ["dim", "cell", "part", "ids", "data", "middle", "radius", "low", "high"])
+                kind, data = _compact(x)
+                made = [data, *(m.tobytes() for m in (box.middle, box.radius, box.low, box.high))]
+                tile = tiles.of(dim, b["cell"][i].as_py(), b["part"][i].as_py())
+                one = [pa.array([tile], pa.int32()), pa.array([v.field("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([kind]), *(pa.array([m], pa.binary()) for m in made)]
+                names = ["dim", "cell", "part", "tile", "ids", "kind", "data", "middle", "radius", "low", "high"]
+                yield pa.RecordBatch.from_arrays([b[c].slice(i, 1) for c in names[:3]] + one, names)
 
-    return scratch.write(packed.mapInArrow(pack, BLOCK), "blocks")
+    return scratch.write(packed.mapInArrow(pack, BLOCK), "blocks"), tiles
 
 
 class Cells:
@@ -214,11 +260,8 @@ def _joined(a: list, b: list, slices: int) -> list:
     return [a[0], np.array(far), np.minimum(a[2], b[2]), np.maximum(a[3], b[3])]
 
 
-def _sent(queries: DataFrame, cells: Cells, heads: bool) -> DataFrame:
-    """The queries once for each cell that they are sent to, packed: (dim, cell, queries).
-
-    ``queries``: (query_id, x) for the heads of the lists, and tau, last beside them for all cells that the cutoff leaves.
-    """
+def _sent(queries: DataFrame, cells: Cells) -> DataFrame:
+    """The queries (query_id, x) once for each cell whose heads they read, packed: (dim, cell, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,53 +272,92 @@ def _sent(queries: DataFrame, cells: Cells, heads: bool) -> DataFrame:
                         continue
                     names, bounds = cells.by[d]
                     found = bounds.partial(_matrix(part["x"].take(pa.array(at)), d))
-                    if heads:
-                        best = np.concatenate([found.argmax(axis=2), found.sum(axis=0).argmax(axis=1)[None]]).T
-                        row, cell = np.repeat(np.arange(len(at)), best.shape[1]), best.ravel()
-                        pairs = np.unique(np.column_stack([row, cell]), axis=0)
-                        row, cell = pairs[:, 0], pairs[:, 1]
-                    else:
-                        row, cell = np.nonzero(passing(found, part["tau"].to_numpy()[at].astype(np.float64)))
+                    best = np.concatenate([found.argmax(axis=2), found.sum(axis=0).argmax(axis=1)[None]]).T
+                    row, cell = np.repeat(np.arange(len(at)), best.shape[1]), best.ravel()
+                    pairs = np.unique(np.column_stack([row, cell]), axis=0)
+                    row, cell = pairs[:, 0], pairs[:, 1]
                     here = part.take(pa.array(at[row]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(names[cell]), *here.columns], ["dim", "cell", *here.schema.names])
 
-    made = queries.mapInArrow(run, "dim int, cell int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema))
+    made = queries.mapInArrow(run, "dim int, cell int, query_id long, x array<long>")
     # the queries of a hot cell are dealt to several packs
     size = made.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("packs"))
     salt = F.pmod(F.xxhash64("query_id", "x"), F.col("packs"))
-    return made.join(size, ["dim", "cell"]).groupBy("dim", "cell", salt.alias("pack")).agg(F.collect_list(F.struct(*queries.columns)).alias("q")).drop("pack")
+    return made.join(size, ["dim", "cell"]).groupBy("dim", "cell", salt.alias("pack")).agg(F.collect_list(F.struct("query_id", "x")).alias("q")).drop("pack")
+
+
+def _dealt(queries: DataFrame, cells: Cells, tiles: Tiles) -> DataFrame:
+    """The queries (query_id, x, tau, last) once for each tile with a cell that their cutoff leaves, in packs."""
+    reached = {d: tiles.reached(d, names.tolist()) for d, (names, _) in cells.by.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(s, QUERY_BLOCK)
+                for d, at in _by_length(part, "x"):
+                    if d not in cells.by:
+                        continue
+                    x = _matrix(part["x"].take(pa.array(at)), d)
+                    qid, tau, last = (part[c].to_numpy()[at] for c in ("query_id", "tau", "last"))
+                    first, held = reached[d]
+                    open_ = passing(cells.by[d][1].partial(x), tau.astype(np.float64)).astype(np.float32) @ held > 0
+                    for t in np.flatnonzero(open_.any(axis=0)).tolist():
+                        some = np.flatnonzero(open_[:, t])
+                        kind, data = _compact(x[some])
+                        cols = [pa.array([first + t], pa.int32()), pa.array([d], pa.int32()), pa.array([qid[some].tolist()], pa.list_(pa.int64())), pa.array([kind])]
+                        cols += [pa.array([m], pa.binary()) for m in (data, tau[some].tobytes(), last[some].tobytes())]
+                        yield pa.RecordBatch.from_arrays(cols, ["tile", "dim", "ids", "kind", "data", "tau", "last"])
+
+    return queries.mapInArrow(run, "tile int, dim int, ids array<long>, kind string, data binary, tau binary, last binary")
 
 
 FOUND = "query_id long, vec_ids array<long>, scores array<long>, resolved long"
 
 
-def resolve(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, bounds: Bounds | None = None, tau: np.ndarray | None = None, last: np.ndarray | None = None):
-    """Each query's (id, vec_ids, scores, products made) of its best k in a block of vectors, of those that reach its cutoff."""
-    some = np.arange(len(qid)) if tau is None else np.flatnonzero(passing(bounds.partial(q), tau.astype(np.float64))[:, 0])
-    if not len(some):
-        return
-    score = _product(q[some], v)
-    for i, s in zip(some.tolist(), score, strict=True):
-        keep = vid != qid[i]
-        if tau is not None:
-            keep &= (s > tau[i]) | ((s == tau[i]) & (vid <= last[i]))
-        at = np.flatnonzero(keep)
+def resolve(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
+    """Each query's (id, vec_ids, scores, products made) of its best k in a block of vectors."""
+    score = _product(q, v).astype(np.int64)
+    for i, s in enumerate(score):
+        at = np.flatnonzero(vid != qid[i])
         best = at[_first(s[at], vid[at], k)]
         yield int(qid[i]), vid[best].tolist(), s[best].tolist(), len(vid)
 
 
-def _scan(k: int, slices: int, cutoff: bool):
+def resolve_tile(qid: np.ndarray, q: np.ndarray, tau: np.ndarray, last: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, Bounds]], k: int):
+    """(query, vec_id, score) of the best k of each query in all blocks, of those that reach its cutoff, and the products made.
+
+    ``query`` is a place in qid, ascending.  A query's cutoff rises with its k best so far.
+    """
+    tau, last, made = tau.copy(), last.copy(), np.zeros(len(qid), np.int64)
+    row, vec, score = (np.zeros(0, np.int64) for _ in range(3))
+    for vid, v, bounds in blocks:
+        some = np.flatnonzero(passing(bounds.partial(q), tau.astype(np.float64))[:, 0])
+        if not len(some):
+            continue
+        made[some] += len(vid)
+        s = _product(q[some], v)
+        # a cutoff beyond what the type holds is rounded, but never to below a score that misses it
+        r, c = np.nonzero(s >= tau[some].astype(s.dtype)[:, None])
+        r, new, at = some[r], s[r, c].astype(np.int64), vid[c]
+        keep = (at != qid[r]) & ((new > tau[r]) | ((new == tau[r]) & (at <= last[r])))
+        if not keep.any():
+            continue
+        row, vec, score = np.concatenate([row, r[keep]]), np.concatenate([vec, at[keep]]), np.concatenate([score, new[keep]])
+        order = np.lexsort((vec, -score, row))
+        row, vec, score = row[order], vec[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, vec, score, place = (m[place < k] for m in (row, vec, score, place))
+        full = place == k - 1
+        tau[row[full]], last[row[full]] = score[full], vec[full]
+    return row, vec, score, made
+
+
+def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                dim, rows = b["dim"][i].as_py(), b["q"][i].values
-                qid, vid = rows.field("query_id").to_numpy(), b["ids"][i].values.to_numpy()
-                q, v = _matrix(rows.field("x"), dim), np.frombuffer(b["data"][i].as_buffer(), np.int64).reshape(len(vid), dim)
-                more: tuple = ()
-                if cutoff:
-                    box = [np.frombuffer(b[c][i].as_py())[None, :] for c in ("middle", "radius", "low", "high")]
-                    more = Bounds(slices, *box), rows.field("tau").to_numpy(), rows.field("last").to_numpy()
-                out = list(resolve(qid, q, vid, v, k, *more))
+                rows, vid = b["q"][i].values, b["ids"][i].values.to_numpy()
+                out = list(resolve(rows.field("query_id").to_numpy(), _matrix(rows.field("x"), b["dim"][i].as_py()), vid, _unpacked(b, i, len(vid)), k))
                 if out:
                     kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "vec_ids", "scores", "resolved"])
@@ -283,6 +365,29 @@ def _scan(k: int, slices: int, cutoff: bool):
     return run
 
 
+def _scan_tiles(k: int, slices: int):
+    """Of each tile come its blocks first, which are held, then packs of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                if b["tile"][i].as_py() != now:
+                    now, held = b["tile"][i].as_py(), []
+                ids = b["ids"][i].values.to_numpy()
+                x = _unpacked(b, i, len(ids))
+                if not b["pack"][i].as_py():
+                    box = [np.frombuffer(b[c][i].as_py())[None, :] for c in ("middle", "radius", "low", "high")]
+                    held.append((ids.copy(), x.copy(), Bounds(slices, *box)))
+                    continue
+                row, vec, score, made = resolve_tile(ids, x.astype(np.int64), *(np.frombuffer(b[c][i].as_buffer(), np.int64) for c in ("tau", "last")), held, k)
+                ends = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32))
+                out = [pa.array(ids), *(pa.ListArray.from_arrays(ends, pa.array(m)) for m in (vec, score)), pa.array(made)]
+                yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_ids", "scores", "resolved"])
+
+    return run
+
+
 def _entries(found: DataFrame, k: int) -> DataFrame:
     """The k best entries of each query."""
     e = found.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e"))
@@ -294,18 +399,20 @@ def _entries(found: DataFrame, k: int) -> DataFrame:
 def phases(queries: DataFrame, vectors: DataFrame, k: int, slices: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """What phases one and three resolved, as (query_id, vec_ids, scores, resolved); the second holds the result."""
     cells = min(CELLS, max(1, vectors.count() // CELL))
-    blocks = _index(vectors, slices, scratch, cells)
+    blocks, tiles = _index(vectors, slices, scratch, cells)
     bounds = Cells(blocks, slices)
     one = scratch.write(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x")), "queries")
-    names = ["dim", "cell", "q", "ids", "data"]
-    # a block and a pack of queries are of bounded size, and meet once
-    heads = _sent(one, bounds, True).join(blocks.where("part = 0"), ["dim", "cell"]).select(*names).mapInArrow(_scan(k, slices, False), FOUND)
+    # a block and a pack of queries are of bounded size, and meet once; neither side goes to the driver, whatever its size is taken for
+    heads = _sent(one, bounds).join(blocks.where("part = 0").hint("merge"), ["dim", "cell"]).select("dim", "q", "ids", "kind", "data").mapInArrow(_scan(k), FOUND)
     heads = scratch.write(heads, "heads")
     kth = _entries(heads, k).groupBy("query_id").agg(F.min("score").alias("least"), F.max_by("vec_id", "rank").alias("last"), F.count(F.lit(1)).alias("n"))
     known = F.col("n") >= k
     cut = one.join(kth, "query_id", "left").select("query_id", "x", F.when(known, F.col("least")).otherwise(F.lit(NO_CUTOFF)).alias("tau"), F.when(known, F.col("last")).otherwise(F.lit(LONG)).alias("last"))
     cut = scratch.write(cut, "cut")
-    rest = _sent(cut, bounds, False).join(blocks, ["dim", "cell"]).select(*names, "middle", "radius", "low", "high").mapInArrow(_scan(k, slices, True), FOUND)
+    shown = blocks.select("tile", F.lit(False).alias("pack"), "dim", "ids", "kind", "data", "middle", "radius", "low", "high")
+    met = shown.unionByName(_dealt(cut, bounds, tiles).withColumn("pack", F.lit(True)), allowMissingColumns=True)
+    met = met.repartition(max(1, 2 * tiles.n), "tile").sortWithinPartitions("tile", "pack")
+    rest = met.mapInArrow(_scan_tiles(k, slices), FOUND)
     return heads, scratch.write(rest, "rest")
 
 

@@ -87,3 +87,37 @@ def test_odd_tables(spark):
     v = T.quantised(frame(spark, [(1, [1.0]), (50, [2.0])]).selectExpr("*", "1 as x", "2 as cell", "3 as dim"))
     assert [tuple(r) for r in T.top_k(v.where("vec_id = 50"), v).collect()] == [(50, 1, 1, 256 * 512)]
     assert T.top_k(v.where("vec_id = 50"), v.limit(0)).collect() == [] and T.top_k(v.limit(0), v).collect() == []
+
+
+def test_queries_are_copied_per_tile_and_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELL", 8)
+    monkeypatch.setattr(T, "VECTOR_BLOCK", 16)
+    x = np.random.default_rng(2).normal(size=(2000, 16)).astype(np.float32)
+    v = T.quantised(frame(spark, [(i, e.tolist()) for i, e in enumerate(x)]))
+    q = v.where("vec_id % 50 = 0")
+    heads, rest = T.phases(q, v, 5, 4, Scratch(spark))
+    per_query = rest.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert per_query <= T.TILES + 1  # of 250 cells that are nearly all left open
+    blocks, tiles = T._index(v, 4, Scratch(spark), 250)
+    bounds = T.Cells(blocks, 4)
+    held = {(r["dim"], r["cell"], r["tile"]) for r in blocks.collect()}
+    for d, (names, _) in bounds.by.items():
+        first, reached = tiles.reached(d, names.tolist())
+        assert held == {(d, int(names[c]), first + int(t)) for c, t in np.argwhere(reached)}
+    assert 1 < tiles.n <= T.TILES + 1
+
+
+def test_no_join_of_packed_queries_is_broadcast(spark, monkeypatch):
+    plans = []
+    write = Scratch.write
+
+    def noted(self, df, name):
+        if name in ("heads", "rest"):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    v = T.quantised(frame(spark, [(i, e.tolist()) for i, e in enumerate(clustered(600, 5, 8))]))
+    T.phases(v.where("vec_id % 50 = 0"), v, 5, 4, Scratch(spark))
+    assert len(plans) == 2
+    assert "SortMergeJoin [dim" in plans[0] and "Join" not in plans[1]
