@@ -257,3 +257,15 @@ def test_naive_search_pairs_no_query_with_rows_that_share_nothing(spark, monkeyp
     monkeypatch.setattr(S.Scratch, "write", noted)
     S.naive_search(xs.where("row_id < 4"), xs, docs, rs, ls, 14, 1, S.NaiveParams(3, 1.0)).collect()
     assert 0 < sizes["scored"] <= 4 * 10
+
+
+def test_all_dots_lay_out_pairs_without_shuffling_them(spark, monkeypatch):
+    from partita.operators import matrix as M
+
+    monkeypatch.setattr(M, "LAID", 5)
+    x, _, _, (xs, docs, _, _) = small_search(spark, (-1, 1, 2))
+    cells = {(r, c): v for r, c, v in x}
+    got = M.all_dots(xs, xs.where("row_id < 4"), docs)
+    want = [(q, d, sum(cells.get((q, c), 0) * cells.get((d, c), 0) for c in range(6)) + 0.0) for q in {r for r, _, _ in x if r < 4} for d in range(28)]
+    assert sorted(tuple(g) for g in got.collect()) == sorted(want)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().sparkPlan().toString()) and "NestedLoop" not in plan
