@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship, slices, table
+from .shared import lean, ship, slices, table
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.08
@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
     ship(docs.sparkSession)
     out = None
     for items in _blocks(benchmark, item_col, item_text_col):
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_search(items, rate), LEAK)
+        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(lean(_search(items, rate)), LEAK)
         out = part if out is None else out.union(part)
     return out
 
@@ -192,7 +192,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
             for b in slices(batches):
                 yield b.filter(pa.array([not find(normalise(t.as_py())) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, slices, table
+from .shared import Scratch, lean, slices, table
 
 MIN_WORDS = 4
 AT = ["doc", "hash", "i"]
@@ -64,7 +64,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                     ["doc", "hash", "i", "fwd", "bwd", "a", "b"],
                 )
 
-    return docs.mapInArrow(run, "doc long, hash long, i int, fwd int, bwd int, a long, b long")
+    return docs.mapInArrow(lean(run), "doc long, hash long, i int, fwd int, bwd int, a long, b long")
 
 
 def _first(df: DataFrame, by: list[str]) -> DataFrame:
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("count", T.IntegerType())]))
     more = [T.StructField("removed", span), T.StructField("n_lines", T.IntegerType())] if report else []
     schema = T.StructType([*docs.schema.fields, *more])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def without(text: bytes | None, runs: list[dict]) -> tuple[bytes | None, list[tuple[int, int]]]:

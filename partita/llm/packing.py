@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ranked_in, rows_per_bucket, table
+from .shared import KEPT, Scratch, lean, ranked_in, rows_per_bucket, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -70,14 +70,11 @@ class Encoder:
         return b"".join(found)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder: a worker that serves many tasks keeps the words that it knows."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +97,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        lean(run, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learning import bounded, held_out, minimise, training_rows
-from .shared import Scratch, ship, slices, table
+from .shared import Scratch, lean, ship, slices, table
 
 #: Labelled documents of each class that the field learns from at most.
 PER_CLASS = 1500
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], ["f", "label"])
 
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.write(training_rows(docs, labels, "quality", per_class).mapInArrow(run, "f binary, label int"), "sample")
+    sample = scratch.write(training_rows(docs, labels, "quality", per_class).mapInArrow(lean(run), "f binary, label int"), "sample")
     rows = sorted((bytes(r["f"]), r["label"]) for r in bounded(sample, "f", SAMPLE_BYTES).collect())
     scratch.drop("sample")
     return fit([np.frombuffer(f, "<f4").reshape(-1, FEATURES) for f, _ in rows], [y for _, y in rows])
@@ -220,14 +220,14 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_c
     ship(docs.sparkSession)
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, per_class)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scored(rows, model, "text", False), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_scored(rows, model, "text", False)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose quality is ``THRESHOLD`` or more, with all their columns; see ``quality``."""
     ship(docs.sparkSession)
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, per_class)
-    return docs.mapInArrow(_scored(docs, model, text_col, True), docs.schema)
+    return docs.mapInArrow(lean(_scored(docs, model, text_col, True)), docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

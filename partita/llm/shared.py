@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +11,29 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, shared_dir, ship, table
 
-__all__ = ["Scratch", "ranked_in", "rows_per_bucket", "shared_dir", "ship", "slices", "table"]
+__all__ = ["KEPT", "Scratch", "lean", "ranked_in", "rows_per_bucket", "shared_dir", "ship", "slices", "table"]
+
+
+#: What a worker keeps from task to task, by name; tasks that do not use it drop it.
+KEPT: dict = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, leaving its worker small: workers stay for later tasks of any kind, and what they hold adds up.
+
+    What earlier tasks kept is dropped unless ``keep``, and memory that is free afterwards goes back to the system.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            KEPT.clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

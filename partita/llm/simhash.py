@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, table
+from .shared import Scratch, lean, table
 
 FAN = 8
 SEED = 42
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["doc_id", "hash", "fp"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, fp long")
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, hash long, fp long")
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -141,7 +141,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             made = [pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(second, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "hash", "node", "fp", "second", "bands"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, hash long, node long, fp long, second binary, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, hash long, node long, fp long, second binary, bands array<long>")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ def leaves_of(prints: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFram
             rank = _signed_rank(b["fp"].to_numpy())
             yield pa.RecordBatch.from_arrays([b["fp"], pa.array(np.searchsorted(cut, rank, "right").astype(np.int32))], ["fp", "leaf"])
 
-    return scratch.write(prints.select("fp").mapInArrow(run, "fp long, leaf int"), "leaves")
+    return scratch.write(prints.select("fp").mapInArrow(lean(run), "fp long, leaf int"), "leaves")
 
 
 def upper_tree(placed: DataFrame) -> tuple[np.ndarray, Tree]:
@@ -301,7 +301,7 @@ def routed(placed: DataFrame, names: np.ndarray, tree: Tree, bits: int) -> DataF
                 q, at = np.r_[np.arange(len(own)), q], np.r_[own, at]
                 yield pa.RecordBatch.from_arrays([part["fp"].take(pa.array(q)), pa.array(names[at].astype(np.int32))], ["fp", "leaf"])
 
-    return placed.mapInArrow(run, "fp long, leaf int")
+    return placed.mapInArrow(lean(run), "fp long, leaf int")
 
 
 def links(prints: DataFrame, scratch: Scratch, bits: int = 3, leaf: int = LEAF, comers: int = COMERS) -> DataFrame:
@@ -324,7 +324,7 @@ def links(prints: DataFrame, scratch: Scratch, bits: int = 3, leaf: int = LEAF,
     come = come.join(parts, "leaf").select(slot(F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(1).alias("kind"), "fp")
     held = placed.join(parts, "leaf").select("leaf", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     held = held.select(slot(F.col("part")), F.lit(0).alias("kind"), "fp")
-    return held.union(come).repartition("slot").sortWithinPartitions("slot", "kind", _rank("fp")).mapInArrow(_met(bits), "u long, v long")
+    return held.union(come).repartition("slot").sortWithinPartitions("slot", "kind", _rank("fp")).mapInArrow(lean(_met(bits)), "u long, v long")
 
 
 def _met(bits: int):
@@ -406,7 +406,7 @@ def _in_buckets(rows: DataFrame, found: Callable[[pa.Table], tuple[np.ndarray, n
             u, v = found(t)
             yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(run), "u long, v long")
 
 
 def alike(bucket: np.ndarray, second: np.ndarray, wide: int = WIDE, sure: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +487,7 @@ def near_links(docs: DataFrame, all_: DataFrame, scratch: Scratch, percent: int,
         return alike(t["bucket"].to_numpy(), _words(t["second"]), WIDE, sure)
 
     # rows that share id and text come more than once
-    made = scratch.write(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, bucket long, second binary, set binary"), "sets")
+    made = scratch.write(texts.dropDuplicates(["node"]).mapInArrow(lean(sets), "node long, bucket long, second binary, set binary"), "sets")
     scratch.drop("likely-roots", "wanted", "nodes", "large", "leaves", "routed", "parts", "prints", "print-links")
     return _in_buckets(_tiled(made, scratch, SETS, "large-sets").select("node", "second", "set", "bucket"), confirmed)
 
