@@ -8,15 +8,17 @@ packs what remains.  The plan is then dealt out to the pieces by their rank amon
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from struct import pack as pack_ids
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ from .shared import KEPT, Scratch, lean, ranked_in, rows_per_bucket, table
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Encodings of words a worker keeps at hand in each of two generations.
-KEPT_WORDS = 450_000
-#: A full stop or comma that ends a word; the splitting rule of the vocabulary always cuts before it.
-CLOSING = re.compile(rb"(?<=[a-z0-9])([.,])(?= |\Z)")
+KEPT_WORDS = 250_000
+#: Longer ones are not kept.
+LONGEST_KEPT = 64
+#: Bytes of text that are encoded at once (whole texts, so a longer one by itself).
+AT_ONCE = 1 << 22
 MOST_BUCKETS = 1 << 16
 
 
@@ -37,37 +41,150 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: What the vocabulary does to a text before the merges; texts are only cut into words for one that does this.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "suffix": "</w>",
+}
+#: Kinds of bytes.  LATIN is the second byte of a letter from U+00C0 to U+00FF, which begins with LEAD; REST are its candidates.
+OTHER, LETTER, DIGIT, MARK, QUOTE, SPACE, LEAD, REST, LATIN = range(9)
+
+
+def _kind(b: int) -> int:
+    if b >= 0x80:
+        return LEAD if b == 0xC3 else REST if b < 0xC0 and b not in (0x97, 0xB7) else OTHER
+    c = chr(b)
+    return LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else SPACE if c in " \n" else MARK
+
+
+def _cuts(prev: int, kind: int) -> bool:
+    """Whether the splitting rule always parts a byte of this kind from the one before."""
+    if kind == SPACE or prev == SPACE:
+        return kind == SPACE  # white space is dropped, so a word may begin with it
+    if prev in (LETTER, DIGIT, LATIN):
+        return kind in (DIGIT, MARK, QUOTE) or (prev, kind) == (DIGIT, LETTER)
+    return kind == DIGIT and prev in (MARK, QUOTE) or (prev, kind) == (MARK, LETTER)  # a quote may begin 's, 't, 're
+
+
+KINDS = bytes(map(_kind, range(256)))
+CUTS = bytes(_cuts(k >> 4, k & 15) for k in range(256))
+LOWER = bytes(range(256)).lower().replace(b"\n", b" ")
+#: Lower-case words of letters that are one token each before the merges and that no rule changes.
+PLAIN = re.compile(rb" ?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The vocabulary's names of the bytes in such words (it has names of its own for bytes without a printed form).
+NAMES = {b: 0x100 + 33 + k for k, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+#: Such words in one string for the tokenizer.
+JOINED = 64
+
+
+def _joined(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of large binary values one after the other, and where each begins and the last ends."""
+    if not len(values):
+        return memoryview(b""), np.zeros(1, np.int64)
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return memoryview(values.buffers()[2] or b"")[at[0] : at[-1]], at - at[0]
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    The vocabulary lower-cases, drops white space and never joins across it or between a letter or
-    digit and a mark, so a text's ids are those of its words and closing marks in order; each
-    distinct word is encoded once while it is in use.
+    The vocabulary lower-cases, drops white space and always cuts between some kinds of characters, so a
+    text's ids are those of the words between such places in order.  Words are numbered by
+    Arrow; each distinct word is encoded once while it is in use.  An added token is a word as it stands.
+    Under a vocabulary of other rules texts are taken whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        rules = json.loads(self.tokenizer.to_str())
+        rules["suffix"] = rules["model"].get("end_of_word_suffix")
+        loose = any(t[k] for t in rules["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.whole = loose or any(rules[k] != v for k, v in RULES.items())
+        self.added = [t["content"].encode() for t in rules["added_tokens"]]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for name, k in vocabulary.items() if name.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        # ASCII only: other letters are left to the tokenizer, whose rules for them differ from Python's
-        words = CLOSING.sub(rb" \1", text.replace(b"\n", b" ").lower()).split(b" ")
+    def __call__(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of these texts (binary, without nulls) one after the other, and the bytes at which each text's begin and the last ends."""
+        data, at = _joined(texts.cast(pa.large_binary()))
+        words, starts = self._words(bytes(data), at)
+        numbered = words.dictionary_encode()
+        distinct, ends = _joined(numbered.dictionary)
+        distinct, ends = bytes(distinct), ends.tolist()
+        made = self._encode([distinct[a:b] for a, b in pairwise(ends)])
+        ids, ends = _joined(pa.array(made, pa.large_binary()).take(numbered.indices))
+        return ids, ends[np.searchsorted(starts, at)]
+
+    def _words(self, data: bytes, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts that begin at these places, in lower case where that is safe, and where they start."""
+        begins, raw = at[:-1][at[1:] > at[:-1]], np.frombuffer(data, np.uint8)
+        low, cut = raw, np.zeros(len(data) + 1, bool)
+        if data and not self.whole:
+            kind = np.frombuffer(bytearray(data.translate(KINDS)), np.uint8)
+            kind[1:] += (kind[:-1] == LEAD) & (kind[1:] == REST)  # which makes it LATIN
+            kind[begins] -= kind[begins] == LATIN
+            cut[1:-1] = np.frombuffer((kind[:-1] << 4 | kind[1:]).tobytes().translate(CUTS), bool)
+            low = np.frombuffer(bytearray(data.translate(LOWER)), np.uint8)
+            # a letter may be composed with what follows in one case only, such as j and a caron
+            kept = np.flatnonzero((raw[1:] >= 0x80) & (raw[:-1] != low[:-1]))
+            low[kept] = raw[kept]
+            if any(a in data for a in self.added):
+                for m in re.finditer(b"|".join(map(re.escape, self.added)), data):
+                    a, b = m.span()
+                    if np.searchsorted(at, a, "right") == np.searchsorted(at, b, "left"):  # in one text
+                        low[a:b], cut[a:b] = raw[a:b], False
+                        cut[a] = cut[b] = True
+        cut[begins] = cut[-1] = True
+        starts = np.flatnonzero(cut)
+        return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(low)]), starts
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > KEPT_WORDS:  # words of the last generation that come up again move to the new one
-                self.older, self.known = self.known, {b"": b""}
-            known, older = self.known, self.older
-            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            known.update((w, older[w]) for w in missing if w in older)
-            new = [w for w in missing if w not in older]
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, pack_ids(f"<{len(ids)}I", *ids)) for w, ids in zip(new, (e.ids for e in made), strict=True))
-            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+        if None not in found:
+            return found
+        if len(self.known) > KEPT_WORDS:  # words of the last generation that come up again move to the new one
+            self.older, self.known = self.known, {}
+        at = [k for k, ids in enumerate(found) if ids is None]
+        plain, others = [], []
+        for k in at:
+            ids = self.older.get(words[k])
+            if ids is not None:
+                found[k] = ids
+            else:
+                (plain if not self.whole and PLAIN.fullmatch(words[k]) else others).append(k)
+        for k, ids in zip(plain, self._merged([words[k].lstrip(b" ") for k in plain]), strict=True):
+            found[k] = ids
+        made = self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in others], add_special_tokens=False)
+        for k, e in zip(others, made, strict=True):
+            found[k] = np.array(e.ids, "<u4").tobytes()
+        self.known.update((words[k], found[k]) for k in at if len(words[k]) <= LONGEST_KEPT)
+        return found
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words, many in one string: the last token of each, and no other, is one that ends a word."""
+        joined = [b" ".join(words[k : k + JOINED]).decode("latin-1").translate(NAMES) for k in range(0, len(words), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.merges.encode_batch_fast(joined, add_special_tokens=False)), "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):
+            raise ValueError("plain words end otherwise than by their last token")
+        data = ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
 
 def encoder(path: str) -> Encoder:
@@ -77,21 +194,34 @@ def encoder(path: str) -> Encoder:
     return KEPT[path]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows (an id and a text) in parts with at most so many bytes of text, or one row; null texts are empty."""
+    for b in batches:
+        texts = pc.fill_null(b.column(1).cast(pa.large_binary()), b"")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)], ["id", "text"])
+            lo = hi
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and its end id, cut where over ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in by_bytes(batches):
+            ids, at = encode(b.column(1))
             row: list[int] = []
             out: list[tuple] = []
-            for k, text in enumerate(b.column(1)):
-                ids = encode(text.as_py() or b"") + end
-                n = len(ids) // 4
+            for k, (lo, hi) in enumerate(pairwise(at.tolist())):
+                n = (hi - lo) // 4 + 1
                 for piece, start in enumerate(range(0, n, capacity)):
                     stop = min(n, start + capacity)
+                    crc = zlib.crc32(ids[lo + 4 * start : min(lo + 4 * stop, hi)])
                     row.append(k)
-                    out.append((piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    out.append((piece, start, stop - start, zlib.crc32(end, crc) if stop == n else crc))
             cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))] if out else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
